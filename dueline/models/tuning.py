@@ -203,7 +203,7 @@ def grid_search(
         ).fit(with_folds)
     finally:
         with_folds.unpersist()
-    return Search(search.bestModel, features, settings, list(search.avgMetrics))
+    return Search(search.bestModel, features, settings, [float(m) for m in search.avgMetrics])
 
 
 def fit_one(

@@ -1,0 +1,197 @@
+"""Queries for training, scoring and thresholds."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dueline.models import evaluation, tuning
+from dueline.plans.case_queries import HORIZON, labelled_orders, year_split
+from dueline.plans.experiment import run_experiment
+from dueline.plans.registry import SCORE_LOG, query, r6, rounded
+from dueline.plans.workflow import train_test_rows
+from dueline.session import scratch_path
+from dueline.sources import samples
+from dueline.sources.tables import write_parquet
+
+# Weights of the two errors in the cost of a threshold.
+R, P = 2.0, 3.0
+
+# The sweep, written out: every threshold against every score.
+_SWEEP = f"""WITH {SCORE_LOG},
+t AS (SELECT CAST(range AS INTEGER) AS step, range * (CAST(1 AS DOUBLE) / 999) AS threshold
+      FROM range(1000)),
+c AS (
+  SELECT step, threshold, count(*) FILTER (WHERE y = 0 AND p < threshold) AS tn,
+         count(*) FILTER (WHERE y = 0 AND p >= threshold) AS fp,
+         count(*) FILTER (WHERE y = 1 AND p < threshold) AS fn,
+         count(*) FILTER (WHERE y = 1 AND p >= threshold) AS tp
+  FROM t CROSS JOIN score_log GROUP BY 1, 2),
+k AS (
+  SELECT *, fp * (CAST({P} AS DOUBLE) / {R}) + fn * (CAST({R} AS DOUBLE) / {P}) AS risk,
+         tp / CAST(nullif(tp + fn, 0) AS DOUBLE) AS recall,
+         tn / CAST(nullif(tn + fp, 0) AS DOUBLE) AS specificity,
+         tp / CAST(nullif(tp + fp, 0) AS DOUBLE) AS precision
+  FROM c),
+best AS (SELECT * FROM k ORDER BY risk, step LIMIT 1)"""
+
+
+def _curve(spark, folder):
+    return evaluation.threshold_curve(samples.score_log(spark, folder), R, P)
+
+
+# -- scores and thresholds -----------------------------------------------------------
+
+
+@query(
+    "roc_auc",
+    f"""WITH {SCORE_LOG},
+g AS (SELECT p, count(*) FILTER (WHERE y = 1) AS np, count(*) FILTER (WHERE y = 0) AS nn
+      FROM score_log GROUP BY 1),
+r AS (SELECT *, sum(nn) OVER (ORDER BY p) - nn AS below FROM g)
+SELECT round(sum(np * (below + nn / CAST(2 AS DOUBLE)))
+             / (CAST(sum(np) AS DOUBLE) * CAST(sum(nn) AS DOUBLE)), 5) AS auc FROM r""",
+)
+def roc_auc(spark, folder):
+    return evaluation.roc_auc(samples.score_log(spark, folder))
+
+
+@query(
+    "ensemble",
+    f"""WITH {SCORE_LOG}
+SELECT case_id, {r6("(p + p2) / 2", "p_mean")},
+       CASE WHEN (p + p2) / 2 > 0.5 THEN 1 ELSE 0 END AS label FROM score_log""",
+)
+def ensemble(spark, folder):
+    log = samples.score_log(spark, folder)
+    both = evaluation.ensemble(
+        log.select("case_id", "p"), log.select("case_id", "p2"), "case_id", "p", "p2"
+    )
+    return rounded(both.select("case_id", "p_mean", "label"))
+
+
+@query(
+    "threshold_curve",
+    f"""{_SWEEP}
+SELECT step, {r6("threshold", "threshold")}, tn, fp, fn, tp, {r6("risk", "risk")},
+       {r6("recall", "recall")}, {r6("specificity", "specificity")},
+       {r6("precision", "precision")} FROM k""",
+)
+def threshold_curve(spark, folder):
+    return rounded(_curve(spark, folder))
+
+
+@query(
+    "threshold_best",
+    f"""{_SWEEP}
+SELECT step, {r6("threshold", "theta")}, {r6("risk", "risk")}, {r6("recall", "recall")},
+       {r6("precision", "precision")} FROM best""",
+)
+def threshold_best(spark, folder):
+    return rounded(evaluation.best_threshold(_curve(spark, folder)))
+
+
+@query(
+    "threshold_predict",
+    f"""{_SWEEP}
+SELECT case_id, y, CASE WHEN p >= (SELECT threshold FROM best) THEN 1 ELSE 0 END AS prediction
+FROM score_log""",
+)
+def threshold_predict(spark, folder):
+    log = samples.score_log(spark, folder)
+    found = evaluation.CostThreshold(R, P).fit(log)
+    return found.predict(log).select("case_id", "y", "prediction")
+
+
+@query(
+    "confusion",
+    f"""WITH {SCORE_LOG}
+SELECT count(*) FILTER (WHERE y = 0 AND p < 0.5) AS tn,
+       count(*) FILTER (WHERE y = 0 AND p >= 0.5) AS fp,
+       count(*) FILTER (WHERE y = 1 AND p < 0.5) AS fn,
+       count(*) FILTER (WHERE y = 1 AND p >= 0.5) AS tp FROM score_log""",
+)
+def confusion(spark, folder):
+    return evaluation.CostThreshold(R, P).confusion_matrix(samples.score_log(spark, folder))
+
+
+@query(
+    "threshold_auc",
+    f"""{_SWEEP},
+s AS (SELECT (specificity - lag(specificity) OVER (ORDER BY step))
+             * (recall + lag(recall) OVER (ORDER BY step)) / 2 AS a FROM k)
+SELECT round(abs(sum(a)), 2) AS auc FROM s""",
+)
+def threshold_auc(spark, folder):
+    return evaluation.threshold_auc(_curve(spark, folder))
+
+
+# -- training (no SQL form) -----------------------------------------------------------
+
+
+def _sides(spark, folder, horizon=HORIZON):
+    """Train and test rows of the orders, written once and read by every fit."""
+    log = labelled_orders(spark, folder)
+    sides = train_test_rows(log, horizon, *year_split(spark, folder, log.spec))
+    path = scratch_path(spark, "rows")
+    write_parquet(sides.train, f"{path}/train")
+    write_parquet(sides.test, f"{path}/test")
+    train, test = (spark.read.parquet(f"{path}/{n}") for n in ("train", "test"))
+    return log.spec, sides.encoder.columns, train, test
+
+
+def _fitted(classifier, point):
+    def run(spark, folder):
+        """Fit one point on the training orders and score the test orders."""
+        spec, columns, train, test = _sides(spark, folder)
+        found = tuning.fit_one(train, spec, columns, classifier, point)
+        return tuning.score(found, test, spec)
+
+    return run
+
+
+_POINTS = {
+    "model_lr": ("LogisticRegression", {"C": 0.1}),
+    "model_dt": ("DecisionTree", {"max_depth": 5, "min_samples_leaf": 2, "criterion": "entropy"}),
+    "model_rf": ("RandomForest", {"n_estimators": 50, "max_depth": 6, "min_samples_leaf": 2}),
+    "model_gbt": ("XGBoost", {"learning_rate": 0.1, "max_depth": 3, "n_estimators": 20}),
+    "model_svm": ("SVM", {"C": 0.1, "kernel": "linear"}),
+    "model_mlp": ("MLP", {"hidden_layer_sizes": (20,)}),
+}
+for _name, (_classifier, _point) in _POINTS.items():
+    query(_name)(_fitted(_classifier, _point))
+
+
+@query("grid_search")
+def grid_search(spark, folder):
+    """Ranked results of the whole logistic regression grid in five folds."""
+    spec, columns, train, _ = _sides(spark, folder)
+    return tuning.grid_search(train, spec, columns, "LogisticRegression").results(spark)
+
+
+@query("model_roundtrip")
+def model_roundtrip(spark, folder):
+    """Scores of a model before and after it was saved."""
+    spec, columns, train, test = _sides(spark, folder)
+    found = tuning.fit_one(train, spec, columns, *_POINTS["model_lr"])
+    path = scratch_path(spark, "model")
+    tuning.save_model(found, path)
+    again = tuning.load_model(spark, path)
+    before = tuning.score(found, test, spec, name="before")
+    after = tuning.score(again, test, spec, name="after").drop("y")
+    return before.join(after, spec.case)
+
+
+@query("experiment")
+def experiment(spark, folder):
+    """Test AUC of two classifiers at three horizons."""
+    log = labelled_orders(spark, folder)
+    train_ids, test_ids = year_split(spark, folder, log.spec)
+    grids = {
+        "LogisticRegression": {"C": [0.01, 1]},
+        "DecisionTree": {"max_depth": [3, 5], "min_samples_leaf": [2]},
+    }
+    results = run_experiment(
+        log, train_ids, test_ids, scratch_path(spark, "experiment"), tuple(grids), (0, 7, 14),
+        grids, folds=3,
+    )
+    return results.select("Classifier", "timediff", "AUC").orderBy("Classifier", F.col("timediff"))
