@@ -201,6 +201,15 @@ class CaseLog:
         )
         return self._both(short, long)
 
+    def numbered(self, name: str = "event_nr") -> CaseLog:
+        """With the event number, which from here on is the order of events.
+
+        Aggregates that pick a first or last value then compare one number
+        instead of several columns and stay hash aggregates.
+        """
+        log = self if self.has(name) else self.in_order(number=name)
+        return log.with_spec(order_by=(name,))
+
     # -- joins with a table of one row per case ---------------------------
 
     def _for_long(self, table: DataFrame) -> DataFrame:

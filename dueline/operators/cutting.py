@@ -51,25 +51,37 @@ def horizon_sweep(
 ) -> DataFrame:
     """Events, cases and value sums left at each horizon, in one pass.
 
-    Events are first added up per case and number of horizons reached; only
-    those few rows per case are repeated for the horizons they belong to.
+    No event is repeated per horizon: a case keeps one counter and one sum for
+    each, so one row per case is all that is shuffled.
     """
-    case = col(spec.case)
     reach = horizons_reached(spec, horizons)
-    sums = [F.sum(F.coalesce(col(v), F.lit(0.0))).alias(f"sum_{v}") for v in values]
+    steps = range(horizons)
+    sums = {v: F.coalesce(col(v), F.lit(0.0)) for v in values}
     per_case = (
         df.withColumn("_reach", reach)
         .filter(col("_reach") > 0)
-        .groupBy(case, "_reach")
-        .agg(F.count("*").alias("n_events"), *sums)
+        .groupBy(col(spec.case))
+        .agg(
+            *[F.count(F.when(col("_reach") > h, 1)).alias(f"_n{h}") for h in steps],
+            *[
+                F.sum(F.when(col("_reach") > h, v)).alias(f"_s{i}_{h}")
+                for i, v in enumerate(sums.values())
+                for h in steps
+            ],
+        )
     )
-    wide = per_case.withColumn("horizon", F.explode(F.sequence(F.lit(0), col("_reach") - 1)))
-    at_case = wide.groupBy("horizon", case).agg(
-        F.sum("n_events").alias("n_events"),
-        *[F.sum(f"sum_{v}").alias(f"sum_{v}") for v in values],
-    )
-    return at_case.groupBy("horizon").agg(
-        F.count("*").alias("n_cases"),
-        F.sum("n_events").alias("n_events"),
-        *[F.sum(f"sum_{v}").alias(f"sum_{v}") for v in values],
+    totals = per_case.agg(
+        *[F.count(F.when(col(f"_n{h}") > 0, 1)).alias(f"_c{h}") for h in steps],
+        *[F.sum(f"_n{h}").alias(f"_n{h}") for h in steps],
+        *[F.sum(f"_s{i}_{h}").alias(f"_s{i}_{h}") for i in range(len(sums)) for h in steps],
     )
+    rows = [
+        F.struct(
+            F.lit(h).alias("horizon"),
+            col(f"_c{h}").alias("n_cases"),
+            F.coalesce(col(f"_n{h}"), F.lit(0)).alias("n_events"),
+            *[col(f"_s{i}_{h}").alias(f"sum_{v}") for i, v in enumerate(sums)],
+        )
+        for h in steps
+    ]
+    return totals.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

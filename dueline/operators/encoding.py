@@ -37,10 +37,12 @@ def _as_text(name: str) -> Column:
     return col(name).cast("string")
 
 
-def category_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each event's categorical values as rows (column, value)."""
-    pairs = [F.struct(F.lit(c).alias("column"), _as_text(c).alias("value")) for c in columns]
-    return df.withColumn("_pair", F.explode(F.array(*pairs)))
+def category_pairs(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
+    """Each event's categorical values as rows (column, value), next to ``keep``."""
+    texts = df.select(*[col(k) for k in keep], *[_as_text(c).alias(c) for c in columns])
+    return texts.unpivot(
+        [col(k) for k in keep], [col(c) for c in columns], "column", "value"
+    )
 
 
 def dynamic_counts(df: DataFrame, spec: EventLogSpec) -> DataFrame:
@@ -48,7 +50,7 @@ def dynamic_counts(df: DataFrame, spec: EventLogSpec) -> DataFrame:
 
     Has no column per value, so it serves columns with any number of values.
     """
-    pairs = category_pairs(df, list(spec.dynamic)).select(col(spec.case), "_pair.*")
+    pairs = category_pairs(df, list(spec.dynamic), spec.case)
     return pairs.groupBy(col(spec.case), "column", "value").agg(F.count("*").alias("n"))
 
 
@@ -126,7 +128,7 @@ class CaseEncoder(Estimator, _Settings, DefaultParamsReadable, DefaultParamsWrit
         nulls: set[str] = set()
         if columns:
             most = self.get(self.maxValues)
-            pairs = category_pairs(df, columns).select("_pair.*").distinct()
+            pairs = category_pairs(df, columns).distinct()
             rows = pairs.limit(most + 1).collect()
             if len(rows) > most:
                 raise ValueError(f"more than {most} values; use dynamic_counts or raise maxValues")

@@ -22,7 +22,7 @@ ORDER_DEADLINES = {y: f"{y}-12-22" for y in range(1995, 2002)}
 
 
 def labelled_orders(spark, folder):
-    log = samples.order_log(spark, folder)
+    log = samples.order_log(spark, folder).numbered()
     return late_payment_label(log, samples.ORDER_BEGIN, samples.ORDER_ABORT)
 
 
@@ -122,11 +122,13 @@ def time_bucket(spark, folder):
 @query(
     "horizon_sweep",
     f"""WITH {ORDER_LOG}, {DAYS},
-h AS (SELECT CAST(range AS INTEGER) AS horizon FROM range(15)),
+target AS (
+  SELECT a.d, CAST(range AS INTEGER) AS horizon, w.d AS latest
+  FROM days a CROSS JOIN range(15) JOIN workdays w ON w.wd = a.wd - range),
 s AS (
-  SELECT horizon, case_id, l_quantity FROM order_log g CROSS JOIN h
-  JOIN days a ON a.d = CAST(g.deadline AS DATE) JOIN workdays w ON w.wd = a.wd - horizon
-  WHERE g.ts <= g.deadline + to_days(CAST(date_diff('day', a.d, w.d) AS INTEGER)))
+  SELECT horizon, case_id, l_quantity FROM order_log g
+  JOIN target t ON t.d = CAST(g.deadline AS DATE)
+  WHERE g.ts <= g.deadline + to_days(CAST(date_diff('day', t.d, t.latest) AS INTEGER)))
 SELECT horizon, count(DISTINCT case_id) AS n_cases, count(*) AS n_events,
        {r6("sum(l_quantity)", "sum_l_quantity")} FROM s GROUP BY 1""",
 )

@@ -446,11 +446,13 @@ def case_start(spark, folder):
 
 @query(
     "business_day_offset",
-    f"""WITH {DAYS}
-SELECT o_orderkey, k AS horizon,
-       o_orderdate + to_days(CAST(date_diff('day', a.d, w.d) AS INTEGER)) AS latest
-FROM orders CROSS JOIN (SELECT CAST(range AS INTEGER) AS k FROM range(15))
-JOIN days a ON a.d = CAST(o_orderdate AS DATE) JOIN workdays w ON w.wd = a.wd - k""",
+    f"""WITH {DAYS},
+target AS (
+  SELECT a.d, CAST(range AS INTEGER) AS horizon, w.d AS latest
+  FROM days a CROSS JOIN range(15) JOIN workdays w ON w.wd = a.wd - range)
+SELECT o_orderkey, horizon,
+       o_orderdate + to_days(CAST(date_diff('day', t.d, t.latest) AS INTEGER)) AS latest
+FROM orders JOIN target t ON t.d = CAST(o_orderdate AS DATE)""",
 )
 def business_day_offset(spark, folder):
     """Latest moment for each of 15 horizons before each order date."""
