@@ -80,6 +80,8 @@ SEED = 42
 
 # Deepest tree Spark ML builds; stands for "no limit".
 _DEEPEST = 30
+# Fits pass over the rows again and again, so a task should have some of them.
+_ROWS_PER_TASK = 50_000
 
 
 def _depth(value: int | None) -> int:
@@ -152,6 +154,11 @@ def assemble(rows: DataFrame, spec: EventLogSpec, features: list[str], label: st
     return vector.transform(plain).select(col(spec.case), "label", "features")
 
 
+def _sized(rows: DataFrame, n: int) -> DataFrame:
+    """Fewer partitions if there are few rows; never more."""
+    return rows.coalesce(max(1, -(-n // _ROWS_PER_TASK)))
+
+
 @dataclass
 class Search:
     """The best model of a grid and how all points did."""
@@ -182,14 +189,15 @@ def grid_search(
     """Cross-validated search by ROC AUC, refitted on all rows.
 
     Fits run as Spark jobs, ``parallelism`` of them at once. The training rows
-    (one per case) are kept on the executors, spilling to disk.
+    (one per case, read once more to count them) are kept on the executors,
+    spilling to disk.
     """
     estimator = _base(classifier)
-    with_folds = stratified_folds(
-        assemble(rows, spec, features, label), spec, "label", folds, SEED
+    n = rows.count()
+    with_folds = _sized(
+        stratified_folds(assemble(rows, spec, features, label), spec, "label", folds, SEED), n
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = with_folds.count()
         settings = spark_grid(classifier, grid or PARAM_GRIDS[classifier], n, len(features))
         maps = [{estimator.getParam(k): v for k, v in s.items()} for s in settings]
         scorer = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
@@ -215,10 +223,11 @@ def fit_one(
     label: str = "y",
 ) -> Search:
     """One grid point on all rows, without cross-validation."""
-    train = assemble(rows, spec, features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    n = rows.count()
+    train = _sized(assemble(rows, spec, features, label), n).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         grid = {k: [v] for k, v in point.items()}
-        settings = spark_grid(classifier, grid, train.count(), len(features))
+        settings = spark_grid(classifier, grid, n, len(features))
         model = _base(classifier).setParams(**settings[0]).fit(train)
     finally:
         train.unpersist()

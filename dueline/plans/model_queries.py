@@ -183,7 +183,7 @@ def model_roundtrip(spark, folder):
 
 @query("experiment")
 def experiment(spark, folder):
-    """Test AUC of two classifiers at three horizons."""
+    """Test AUC of two classifiers at two horizons."""
     log = labelled_orders(spark, folder)
     train_ids, test_ids = year_split(spark, folder, log.spec)
     grids = {
@@ -191,7 +191,7 @@ def experiment(spark, folder):
         "DecisionTree": {"max_depth": [3, 5], "min_samples_leaf": [2]},
     }
     results = run_experiment(
-        log, train_ids, test_ids, scratch_path(spark, "experiment"), tuple(grids), (0, 7, 14),
+        log, train_ids, test_ids, scratch_path(spark, "experiment"), tuple(grids), (0, HORIZON),
         grids, folds=3,
     )
     return results.select("Classifier", "timediff", "AUC").orderBy("Classifier", F.col("timediff"))
