@@ -16,6 +16,7 @@ first, which keeps the work per event constant.
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
@@ -143,7 +144,11 @@ class CaseEncoder(Estimator, _Settings, DefaultParamsReadable, DefaultParamsWrit
         }
         model = CaseEncoderModel()
         self._copyValues(model)
-        return model._set(learned=json.dumps(learned))
+        model._set(learned=json.dumps(learned))
+        twice = [c for c, n in Counter(model.columns).items() if n > 1]
+        if twice:
+            raise ValueError(f"columns encoded twice: {twice}")
+        return model
 
 
 class CaseEncoderModel(Model, _Settings, DefaultParamsReadable, DefaultParamsWritable):

@@ -67,20 +67,19 @@ def split_violations(train: DataFrame, test: DataFrame, spec: EventLogSpec) -> D
     ``overlap``: not before the start of all test cases; ``shared_cases``:
     number of cases on both sides.
     """
-    ts, start = col(spec.timestamp), F.col("StartTime")
+    ts, none = col(spec.timestamp), F.lit(None).cast("timestamp_ntz")
 
-    def side(df: DataFrame, is_train: bool) -> DataFrame:
+    def side(df: DataFrame, train_ts: Column, test_ts: Column, test_start: Column) -> DataFrame:
         return df.select(
             col(spec.case).alias("case"),
-            F.lit(is_train).alias("is_train"),
-            F.when(F.lit(is_train), ts).alias("train_ts"),
-            F.when(F.lit(not is_train), ts).alias("test_ts"),
-            F.when(F.lit(not is_train), start).alias("test_start"),
+            train_ts.alias("train_ts"),
+            test_ts.alias("test_ts"),
+            test_start.alias("test_start"),
         )
 
     per_case = (
-        side(train, True)
-        .unionByName(side(test, False))
+        side(train, ts, none, none)
+        .unionByName(side(test, none, ts, F.col("StartTime")))
         .groupBy("case")
         .agg(
             F.max("train_ts").alias("train_ts"),
