@@ -202,7 +202,7 @@ def packed(
             for part in in_parts(texts):
                 for i, code in zip(doc_ids[part], table.codes(texts[part]), strict=True):
                     ids.append(i)
-                    codes.append(code + end)
+                    codes.append(code.tobytes() + end)
                     tokens += len(codes[-1]) // 4
                     if tokens > BLOCK_TOKENS:
                         yield flush()

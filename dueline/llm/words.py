@@ -2,29 +2,43 @@
 
 Text is cut at white space into words, a word not met before is cut into the
 matches of a tokenizer's pattern, and each distinct match is encoded once; a
-text's code is the joined code of its words. A worker keeps a bounded number of
-words and matches, those used last; which ones it keeps changes the time that a
-text takes, never its code.
+text's code is the joined code of its words. Words of up to 16 bytes are found
+in a table of fixed size by their bytes, for a whole block of texts at once.
+What a worker keeps is bounded and changes the time that a text takes, never its
+code.
 """
 
 from __future__ import annotations
 
-import os
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import regex
 
 #: White_Space characters as tokenizers' patterns take them (fixed values).
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: White space other than blanks and line ends.
-_RARE = [c for c in map(chr, range(0x3001)) if regex.fullmatch(f"[{SPACE}]", c) and c not in " \n"]
-#: Words a worker keeps in each of two generations.
-KEPT = 250_000
+#: White space beyond ASCII: rare, and not to be seen in single bytes.
+_WIDE = [c for c in map(chr, range(128, 0x3001)) if regex.fullmatch(f"[{SPACE}]", c)]
+_BLANK, _LETTER, _SIGN = np.zeros((3, 256), bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: ASCII digits and signs, but for the apostrophe, which patterns join to letters.
+_SIGN[33:127] = ~_LETTER[33:127]
+_SIGN[39] = False
+#: Words a worker keeps in each of two generations besides the table.
+KEPT = 100_000
+#: Places of the table, and ids that its words may take.
+_SLOTS = 20
+_POOL = 6_000_000
 #: Characters of the texts whose new words are encoded together.
 BLOCK_CHARS = 8_000_000
+_PART_BYTES = 1 << 20
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
 def spelled_out(pattern: str) -> regex.Pattern:
@@ -39,19 +53,18 @@ def spelled_out(pattern: str) -> regex.Pattern:
 class Recent:
     """Codes by key: two generations, the older one dropped when the newer is full."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int = KEPT):
+    def __init__(self, encode: Callable[[list], Iterable[bytes]], most: int = KEPT):
         self.encode, self.most, self.new, self.old = encode, most, {}, {}
 
-    def holding(self, keys: set[str]) -> dict[str, bytes]:
+    def holding(self, keys: Iterable) -> dict:
         """A table with at least these keys."""
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
-        keys = keys.difference(self.new)
-        known = keys.intersection(self.old)
-        self.new.update((k, self.old[k]) for k in known)
-        keys -= known
-        if keys:
-            missing = list(keys)
+        missing = [k for k in dict.fromkeys(keys) if k not in self.new]
+        if self.old:
+            self.new.update((k, self.old[k]) for k in missing if k in self.old)
+            missing = [k for k in missing if k not in self.old]
+        if missing:
             self.new.update(zip(missing, self.encode(missing), strict=True))
         return self.new
 
@@ -59,11 +72,9 @@ class Recent:
 class WordTable:
     """Codes of texts from the codes of their pattern matches.
 
-    ``encode`` gives one bytes object per distinct match. With ``space_counts``
-    white space belongs to what follows, and texts are cut before white space
-    only; where no blank touches other white space the text is split at blanks and
-    its words, without their blank, stand in a table of their own. Else blanks are
-    dropped.
+    ``encode`` gives the ids of each distinct match as uint32 bytes. With
+    ``space_counts`` white space belongs to the word after it, and texts are cut
+    where white space begins; else ASCII white space is dropped between words.
     """
 
     def __init__(
@@ -74,35 +85,136 @@ class WordTable:
         prepare: Callable[[str], str] | None = None,
     ):
         self.pattern, self.space_counts, self.prepare = spelled_out(pattern), space_counts, prepare
-        self.matches = Recent(encode)
-        self.raw = Recent(self._words)
-        self.after = Recent(lambda words: self._words([" " + w for w in words]))
-
-    def _words(self, words: list[str]) -> Iterator[bytes]:
+        self.encode, self.matches, self.words = encode, Recent(encode), Recent(self._words)
+        self._clear()
+
+    def _clear(self) -> None:
+        n = 1 << _SLOTS
+        self.low, self.high = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.length = np.zeros(n, np.uint8)  # 0: an empty place
+        self.first, self.count = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.pool, self.used = np.zeros(_POOL // 4, np.uint32), 0
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        blank = " " if self.space_counts else ""
+        # Letters alone, behind a blank or not, are one match.
+        single = [t.removeprefix(blank).isalpha() for t in texts]
+        one = iter(self.encode([t for t, alone in zip(texts, single, strict=True) if alone]))
         find = self.pattern.findall
-        for i in range(0, len(words), 100_000):
-            parts = [find(w) for w in words[i : i + 100_000]]
-            code = self.matches.holding({m for p in parts for m in p})
-            for p in parts:
-                yield code[p[0]] if len(p) == 1 else b"".join([code[m] for m in p])
-
-    def _cut(self, text: str) -> tuple[list[str], list[str]]:
-        """Words to look up in ``raw``, then words to look up in ``after``."""
-        if not self.space_counts:
-            return self.prepare(text).split(" "), []
-        if "  " in text or " \n" in text or "\n " in text or any(c in text for c in _RARE):
-            return _WORD.findall(text), []
-        words = text.split(" ")
-        return words[:1], words[1:]
-
-    def codes(self, texts: list[str]) -> list[bytes]:
-        first, second = set(), set()
-        for t in texts:
-            x, y = self._cut(t)
-            first.update(x)
-            second.update(y)
-        one, two = self.raw.holding(first).__getitem__, self.after.holding(second).__getitem__
-        return [b"".join(map(one, x)) + b"".join(map(two, y)) for x, y in map(self._cut, texts)]
+        parts = [None if alone else find(t) for t, alone in zip(texts, single, strict=True)]
+        code_of = self.matches.holding(chain.from_iterable(filter(None, parts)))
+        return [next(one) if p is None else b"".join([code_of[m] for m in p]) for p in parts]
+
+    def _cut(self, data: bytes, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and length of each word; ``texts`` are the texts' first bytes.
+
+        A word ends where white space begins, and between an ASCII letter and a
+        sign; so does a match of the patterns. A line end between other characters
+        is a word as well.
+        """
+        of = np.frombuffer(data, np.uint8)[:-16]
+        blank, letter, sign = _BLANK[of], _LETTER[of], _SIGN[of]
+        begins = np.zeros(len(of), bool)
+        begins[texts[texts < len(of)]] = True
+        begins[1:] |= (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
+        if self.space_counts:
+            begins[1:] |= blank[1:] & ~blank[:-1]
+            begins[1:] |= begins[:-1] & (of[:-1] == 10) & ~blank[1:]
+            first = np.flatnonzero(begins)
+            return first, np.diff(np.append(first, len(of)))
+        begins[1:] |= blank[:-1]
+        border = np.flatnonzero(begins | blank)
+        words = ~blank[border]
+        return border[words], np.diff(np.append(border, len(of)))[words]
+
+    def _part(self, raw: list[bytes]) -> dict:
+        """Words of some texts: where they are, and where the table has them."""
+        gap = b"" if self.space_counts else b" "
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + len(gap)
+        texts = np.cumsum(sizes) - sizes
+        data = gap.join(raw) + bytes(16)
+        first, length = self._cut(data, texts)
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)).copy()
+        low = eight[first] & _MASKS[np.minimum(length, 8)]
+        high = eight[np.minimum(first + 8, len(eight) - 1)] & _MASKS[np.clip(length - 8, 0, 8)]
+        slot = (((low * _A) ^ (high * _B) ^ (high >> np.uint64(29))) * _C >> np.uint64(64 - _SLOTS)).astype(
+            np.int32
+        )
+        known = (self.low[slot] == low) & (self.high[slot] == high) & (self.length[slot] == length)
+        new = np.flatnonzero(~known)
+        ends = (first[new] + length[new]).tolist()
+        return {
+            "texts": np.searchsorted(first, texts),
+            "first": self.first[slot],
+            "count": self.count[slot],
+            "new": new,
+            "words": [data[a:b] for a, b in zip(first[new].tolist(), ends, strict=True)],
+            "keys": (slot[new], low[new], high[new], length[new]),
+        }
+
+    def _learn(self, parts: list[dict]) -> None:
+        """Give the new words of all parts their codes, and the table what fits."""
+        code_of = self.words.holding(chain.from_iterable(p["words"] for p in parts))
+        place: dict[bytes, int] = {}
+        codes = []
+        for w in dict.fromkeys(chain.from_iterable(p["words"] for p in parts)):
+            place[w] = len(codes)
+            codes.append(code_of[w])
+        count = np.fromiter((len(c) // 4 for c in codes), np.int32, len(codes))
+        first = self.used + np.cumsum(count, dtype=np.int64) - count
+        total = self.used + int(count.sum())
+        while total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        self.pool[self.used : total] = np.frombuffer(b"".join(codes), "<u4")
+        self.used = total
+        for p in parts:
+            at = np.fromiter(map(place.__getitem__, p["words"]), np.int64, len(p["words"]))
+            p["first"][p["new"]], p["count"][p["new"]] = first[at], count[at]
+            slot, low, high, length = p["keys"]
+            # One word for each place: the first with this place among the new ones.
+            slot, pick = np.unique(slot, return_index=True)
+            fits = length[pick] <= 16
+            slot, pick = slot[fits], pick[fits]
+            self.low[slot], self.high[slot], self.length[slot] = low[pick], high[pick], length[pick]
+            self.first[slot], self.count[slot] = first[at[pick]], count[at[pick]]
+
+    def _joined(self, part: dict) -> list[np.ndarray]:
+        first, count = part["first"].astype(np.int64), part["count"].astype(np.int64)
+        ends = np.cumsum(count)
+        shift = np.repeat(first - (ends - count), count)
+        ids = self.pool[shift + np.arange(len(shift))]
+        bounds = np.concatenate([[0], ends])[np.append(part["texts"], len(ends))].tolist()
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def codes(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out: list = [None] * len(texts)
+        fast, raw = [], []
+        for i, t in enumerate(texts):
+            t = self.prepare(t) if self.prepare else t
+            if self.space_counts and not t.isascii() and any(c in t for c in _WIDE):
+                words = [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(t)]
+                code_of = self.words.holding(words)
+                out[i] = np.frombuffer(b"".join([code_of[w] for w in words]), "<u4")
+            else:
+                fast.append(i)
+                raw.append(t.encode("utf-8", "surrogatepass"))
+        if self.used > _POOL:
+            self._clear()
+        parts, group, size = [], [], 0
+        for r in raw:
+            group.append(r)
+            size += len(r)
+            if size > _PART_BYTES:
+                parts.append(self._part(group))
+                group, size = [], 0
+        if group:
+            parts.append(self._part(group))
+        self._learn(parts)
+        for i, ids in zip(fast, chain.from_iterable(map(self._joined, parts)), strict=True):
+            out[i] = ids
+        return out
 
 
 def in_parts(texts: list[str], most: int = BLOCK_CHARS) -> Iterator[slice]:
@@ -122,53 +234,47 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _caseless(text: str) -> str:
-    """Composed, in lower case, with ASCII white space as blanks.
+    """Composed and in lower case.
 
     Each character is lowered by itself, a sigma like any other.
     """
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    text = text.lower()
-    for c in "\n\t\r\x0b\x0c":
-        text = text.replace(c, " ")
-    return text
+    return text.lower()
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte.
+
+    Visible characters of Latin-1 stand for themselves, other bytes in their
+    order for the letters from 256 on.
+    """
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in visible else next(others)) for b in range(256)]
 
 
 _LOADED: dict[tuple[str, str], WordTable] = {}
 
 
 def library_table(path: str, pattern: str, space_counts: bool) -> WordTable:
-    """Texts encoded by the tokenizers library from a file, ids as uint32 bytes.
-
-    The library gets each distinct match once. Visible ASCII needs none of the
-    file's normal forms and goes to the library's model at once.
-    """
+    """Texts encoded by the tokenizers library from a file, each distinct match once."""
     if (path, pattern) not in _LOADED:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        model = tokenizer.model
-        plain = regex.compile(r" ?[!-~]+")
+        # White space, case and normal form are settled before; the library's model
+        # gets matches in the letters that stand for bytes.
+        tokenize = Tokenizer.from_file(path).model.tokenize
+        letters = byte_letters()
+        visible = regex.compile(r" ?[!-~]+").fullmatch
 
-        def encode(matches: list[str]) -> list[bytes]:
-            out: list[bytes] = [b""] * len(matches)
-            others = []
-            tokenize, visible = model.tokenize, plain.fullmatch
-            for i, m in enumerate(matches):
+        def encode(matches: list[str]) -> Iterator[bytes]:
+            for m in matches:
                 if visible(m):
-                    # The byte-level alphabet writes a blank as this letter (fixed value).
-                    found = tokenize(m.replace(" ", "Ġ"))
-                    out[i] = array("I", [t.id for t in found]).tobytes()
+                    m = m.replace(" ", letters[32])
                 else:
-                    others.append(i)
-            for i in range(0, len(others), 5000):
-                part = others[i : i + 5000]
-                got = tokenizer.encode_batch_fast([matches[k] for k in part], add_special_tokens=False)
-                for k, e in zip(part, got, strict=True):
-                    out[k] = array("I", e.ids).tobytes()
-            return out
+                    m = "".join([letters[b] for b in m.encode("utf-8", "surrogatepass")])
+                yield array("I", [t.id for t in tokenize(m)]).tobytes()
 
         _LOADED[path, pattern] = WordTable(
             encode, pattern, space_counts, None if space_counts else _caseless
