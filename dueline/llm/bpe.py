@@ -50,8 +50,8 @@ class MergeReplay:
         hit = (self.pairs[at] == key) & (left >= 0) & (right >= 0)
         return np.where(hit, self.merged[at], -1)
 
-    def replay(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of distinct words."""
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, as uint32 bytes."""
         if not words:
             return []
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -120,12 +120,12 @@ class MergeReplay:
                     odd.append(touched[new < r])
                 add(touched, new)
         alive = np.flatnonzero(symbol >= 0)
-        bounds = np.searchsorted(alive, starts)
-        ids = symbol[alive].astype("<u4")
-        out = np.split(ids, bounds[1:])
+        bounds = [*(4 * np.searchsorted(alive, starts)).tolist(), 4 * len(alive)]
+        ids = symbol[alive].astype("<u4").tobytes()
+        out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         # A merge of a lower rank came up late: such words are done one by one.
         for w in set(np.searchsorted(starts, np.concatenate(odd), "right") - 1) if odd else ():
-            out[w] = np.array(self.alone(words[w]), "<u4")
+            out[w] = np.array(self.alone(words[w]), "<u4").tobytes()
         return out
 
     def alone(self, word: bytes) -> list[int]:
@@ -159,12 +159,11 @@ class MergeReplay:
     def _matches(self, matches: list[str]) -> list[bytes]:
         raw = [m.encode("utf-8", "surrogatepass") for m in matches]
         rest = [r for r in raw if r not in self.ranks]
-        ids = dict(zip(rest, self.replay(rest), strict=True))
-        whole = {r: np.uint32(self.ranks[r]) for r in raw if r in self.ranks}
-        return [(ids[r] if r in ids else whole[r]).tobytes() for r in raw]
+        code = dict(zip(rest, self.replay(rest), strict=True))
+        return [code[r] if r in code else self.ranks[r].to_bytes(4, "little") for r in raw]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(c, "<u4") for c in self.table.codes(texts)]
+        return self.table.codes(texts)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

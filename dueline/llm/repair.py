@@ -214,8 +214,8 @@ def write_ids(
                             yield from files.finish()
                         files, current = RollingFiles(folder, block, ".rpg", ROLL_BYTES), block
                     ids.append(i)
-                    codes.append(code + end)
-                    tokens += len(code) // 4 + 1
+                    codes.append(code.tobytes() + end)
+                    tokens += len(code) + 1
                     if tokens >= FRAME_TOKENS:
                         flush()
         if files:
