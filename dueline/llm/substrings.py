@@ -39,8 +39,8 @@ from dueline.llm.suffixes import repeated_starts
 WIDTH = 200
 ANCHOR = 24
 #: Bytes of segments in a bucket, and of documents that are cut at once.
-BUCKET_BYTES = 12 << 20
-BLOCK_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 CUT_BYTES = 1 << 20
 #: Bytes of segments whose suffixes are sorted together.
 SORT_BYTES = 1 << 20
@@ -124,7 +124,7 @@ class Blob:
             np.asarray(known, "<i8").tobytes(),
             bytes_of,
         ]
-        return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+        return zstandard.ZstdCompressor(level=5).compress(b"".join(parts))
 
     def __init__(self, packed: bytes):
         data = zstandard.ZstdDecompressor().decompress(packed)
@@ -149,23 +149,29 @@ _ONCE, _OFTEN, _AGAIN = 0, 1, 2
 
 def _block_blobs(found: dict, buckets: int) -> Iterator[tuple[int, bytes]]:
     """Blobs of a block: ``found`` maps (hash, bytes) to again and places."""
-    per: dict[int, list] = {}
+    rows: dict[int, list] = {}
+    known: dict[int, list] = {}
     for (h, piece), (again, places) in found.items():
-        columns = per.setdefault(h % buckets, ([], [], [], [], [], [], []))
-        once = len(places) == 1
-        columns[0].append(h)
-        columns[1].append(len(piece))
-        columns[2].append((_ONCE if once else _OFTEN) | (_AGAIN if again else 0))
-        columns[3].append(places[0][:2] if once else (0, 0))
-        columns[4].append(places[0][2] if once else 0)
-        columns[5].append(piece)
-        if not once:
+        more = _AGAIN if again else 0
+        if len(places) == 1:
+            one, two, start = places[0]
+            row = (h, len(piece), _ONCE | more, one, two, start, piece)
+        else:
+            row = (h, len(piece), _OFTEN | more, 0, 0, 0, piece)
             for one, two, start in places:
                 # Runs that are known already go along in a bucket of their document.
-                other = per.setdefault(one % buckets, ([], [], [], [], [], [], []))
-                other[6].append((one, two, start, start + len(piece)))
-    for bucket, (hashes, lengths, kinds, keys, places, pieces, known) in per.items():
-        yield bucket, Blob.pack(hashes, lengths, kinds, keys, places, b"".join(pieces), known)
+                known.setdefault(one % buckets, []).append((one, two, start, start + len(piece)))
+        bucket = h % buckets
+        if bucket in rows:
+            rows[bucket].append(row)
+        else:
+            rows[bucket] = [row]
+    for bucket in sorted({*rows, *known}):
+        columns = list(zip(*rows.get(bucket, ()), strict=True)) or [()] * 7
+        hashes, lengths, kinds, one, two, places, pieces = columns
+        keys = np.stack([np.array(one, np.int64), np.array(two, np.int64)], axis=1)
+        runs = known.get(bucket, ())
+        yield bucket, Blob.pack(hashes, lengths, kinds, keys, places, b"".join(pieces), runs)
 
 
 def _cut(batches, width: int, buckets: int) -> Iterator[dict]:

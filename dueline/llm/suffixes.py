@@ -4,9 +4,10 @@ Two suffixes are equal here if their first ``width`` bytes are. Positions 1 and
 modulo 3 are the sample: for any two positions there is a shift of at most two
 bytes that brings both into it.
 
-* Triples of 8-byte words at sampled positions are sorted and named by rank.
-* The names are the next text: triples of names are sorted and named again, until
-  a name covers ``width - 2`` bytes (24, 72, .. bytes).
+* The letters are 8-byte words, named by rank. Triples of them at sampled positions
+  are sorted and named by rank.
+* These names are the next text: its triples are sorted and named again, until a
+  name covers ``width - 2`` bytes (24, 72, .. bytes).
 * The suffixes left out are merged in by the byte or two before a sampled
   position: one order for the sample, one for positions 0 and 1 modulo 3 and one
   for 0 and 2, so that any two suffixes meet in one of the three orders.
@@ -18,21 +19,26 @@ from __future__ import annotations
 import numpy as np
 
 
-def ranks(keys: list[np.ndarray]) -> np.ndarray:
-    """Dense rank of rows, the first key counting most."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        in_order = k[order]
-        new[1:] |= in_order[1:] != in_order[:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
+def ranks(key: np.ndarray) -> np.ndarray:
+    """Dense rank of each key."""
+    order = np.argsort(key)
+    in_order = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], in_order[1:] != in_order[:-1]]))
     return out
 
 
+def triple_ranks(names: np.ndarray, at: np.ndarray, step: int, last: int) -> np.ndarray:
+    """Dense rank of the triples of names at, ``step`` after and ``last`` after ``at``."""
+    bits = int(names.max(initial=0)).bit_length()
+    if 3 * bits <= 63:
+        return ranks(names[at] << (2 * bits) | names[at + step] << bits | names[at + last])
+    return ranks(ranks(names[at] << 32 | names[at + step]) << 32 | names[at + last])
+
+
 def has_equal(key: np.ndarray) -> np.ndarray:
     """Which rows stand beside an equal one once sorted."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     same = key[order[1:]] == key[order[:-1]]
     out = np.zeros(len(key), bool)
     out[order[1:][same]] = True
@@ -47,20 +53,19 @@ def sample_names(text: np.ndarray, size: int, width: int) -> np.ndarray:
     """
     raw = text.tobytes()
     words = np.ndarray((len(text) - 7,), ">u8", raw, strides=(1,)).astype(np.uint64)
+    names = ranks(words)
     at = np.arange(size)
     at = at[at % 3 != 0]
-    triples = [words[at], words[at + 8], words[at + 16]]
-    covered = 24
-    while True:
+    covered, step, last = 8, 8, 16
+    while covered < width:
+        found = triple_ranks(names, at, step, last)
         names = np.zeros(len(text), np.int64)
-        names[at] = ranks(triples)
-        if covered == width:
-            return names
+        names[at] = found
+        covered += last
         # The last names overlap, so that they end where the prefix does.
-        step = covered if 3 * covered <= width else (width - covered) // 2 // 3 * 3
-        last = 2 * step if 3 * covered <= width else width - covered
-        triples = [names[at], names[at + step], names[at + last]]
-        covered = covered + last
+        step, last = covered, min(2 * covered, width - covered)
+        step = min(step, last // 2 // 3 * 3)
+    return names
 
 
 def repeated_starts(data: bytes, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
