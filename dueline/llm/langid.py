@@ -152,9 +152,10 @@ def training_sample(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataF
         F.col(f"`{text}`").alias("text"),
     )
     letters = rows.filter(F.col("text").rlike(r"\p{L}"))
-    # One row per language: how many rows may train, from narrow columns.
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), SAMPLE / F.count("*")).alias("share"))
-    drawn = letters.join(share, "lang").filter(F.col("draw") < F.col("share") * (1 << 30))
+    # One row per language, from narrow columns: the share of its rows that trains.
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), SAMPLE / F.count("*")).alias("share")).collect()
+    shares = docs.sparkSession.createDataFrame(share, "lang string, share double")
+    drawn = letters.join(F.broadcast(shares), "lang").filter(F.col("draw") < F.col("share") * (1 << 30))
     return drawn.select("text", "lang")
 
 
