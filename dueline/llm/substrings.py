@@ -40,10 +40,10 @@ WIDTH = 200
 ANCHOR = 24
 #: Bytes of segments in a bucket, and of documents that are cut at once.
 BUCKET_BYTES = 16 << 20
-BLOCK_BYTES = 12 << 20
-CUT_BYTES = 1 << 20
+BLOCK_BYTES = 8 << 20
+CUT_BYTES = 1 << 19
 #: Bytes of segments whose suffixes are sorted together.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 #: Segments take about this many times the bytes of their texts.
 _SPREAD = 3.3
 _PLACE_BITS = 24

@@ -30,12 +30,12 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SIGN[33:127] = ~_LETTER[33:127]
 _SIGN[39] = False
 #: Words a worker keeps in each of two generations besides the table.
-KEPT = 100_000
+KEPT = 50_000
 #: Places of the table, and ids that its words may take.
 _SLOTS = 20
 _POOL = 6_000_000
 #: Characters of the texts whose new words are encoded together.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 6_000_000
 _PART_BYTES = 1 << 20
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
