@@ -76,9 +76,11 @@ class CaseLog:
             ids = saved.select(col(spec.case))
         small = many <= _BROADCAST_ROWS
         known = F.broadcast(ids) if small else ids
-        short = df.join(known, spec.case, "left_anti")
+        # A join by name puts the name first; both halves keep the order of ``df``.
+        order = [col(c) for c in df.columns]
+        short = df.join(known, spec.case, "left_anti").select(*order)
         long = cut_into_ranges(
-            df.join(known, spec.case, "left_semi"),
+            df.join(known, spec.case, "left_semi").select(*order),
             [col(spec.case), *spec.order],
             chunks_for(rows, spec.long_case_events),
         )

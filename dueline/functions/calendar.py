@@ -2,8 +2,8 @@
 
 Days are numbered from Monday 1900-01-01, so ``n % 7`` is the weekday with
 Monday as 0, and ``5 * (n div 7) + least(n % 7, 5)`` counts the working days
-before day ``n``. Everything stays inside generated code: no lookup table, no
-Python. Dates before 1900 are outside the valid range.
+before day ``n``. Divisions round down, so days before 1900 are right as well.
+Everything stays inside generated code: no lookup table, no Python.
 """
 
 from __future__ import annotations
@@ -15,7 +15,12 @@ _FRIDAY = 4
 
 
 def _div(a: Column, b: int) -> Column:
-    return F.call_function("div", a, F.lit(b))
+    """Whole quotient, rounded down for negative numbers too."""
+    return F.call_function("div", a - _mod(a, b), F.lit(b))
+
+
+def _mod(a: Column, b: int) -> Column:
+    return F.pmod(a, F.lit(b))
 
 
 def _int(value: Column | int) -> Column:
@@ -27,7 +32,7 @@ def day_number(moment: Column) -> Column:
 
 
 def _workdays_before(n: Column) -> Column:
-    return _div(n, 7) * 5 + F.least(n % 7, F.lit(5))
+    return _div(n, 7) * 5 + F.least(_mod(n, 7), F.lit(5))
 
 
 def _time_of_day(moment: Column) -> Column:
@@ -48,7 +53,7 @@ def minus_business_days(moment: Column, count: Column | int) -> Column:
     """
     n = day_number(moment)
     w = (_workdays_before(n) - _int(count)).cast("int")
-    return add_days(moment, _div(w, 5) * 7 + w % 5 - n)
+    return add_days(moment, _div(w, 5) * 7 + _mod(w, 5) - n)
 
 
 def workday_steps(moment: Column, deadline: Column) -> Column:
@@ -75,7 +80,7 @@ def business_days_left(moment: Column, deadline: Column) -> Column:
     Friday when the start is a workday. An empty range gives -1.
     """
     a, b = day_number(moment), day_number(deadline)
-    last = F.when(a % 7 <= _FRIDAY, b - F.greatest(b % 7 - _FRIDAY, F.lit(0))).otherwise(b)
+    last = F.when(_mod(a, 7) <= _FRIDAY, b - F.greatest(_mod(b, 7) - _FRIDAY, F.lit(0))).otherwise(b)
     too_late = _time_of_day(moment) > _time_of_day(deadline)
     stop = last + F.when(too_late, 0).otherwise(1)
     days = _workdays_before(stop) - _workdays_before(a)
@@ -84,4 +89,4 @@ def business_days_left(moment: Column, deadline: Column) -> Column:
 
 def friday_on_or_after(moment: Column) -> Column:
     """First Friday not before the date; null stays null."""
-    return add_days(moment, (F.lit(_FRIDAY + 7) - day_number(moment) % 7) % 7)
+    return add_days(moment, (F.lit(_FRIDAY + 7) - _mod(day_number(moment), 7)) % 7)

@@ -94,7 +94,7 @@ def _base(classifier: str) -> Estimator:
         "DecisionTree": lambda: DecisionTreeClassifier(seed=SEED),
         "RandomForest": lambda: RandomForestClassifier(seed=SEED),
         "XGBoost": lambda: GBTClassifier(seed=SEED),
-        "SVM": lambda: LinearSVC(),
+        "SVM": lambda: LinearSVC(standardization=False),
         "MLP": lambda: MultilayerPerceptronClassifier(seed=SEED),
     }
     if classifier not in made:

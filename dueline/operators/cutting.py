@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dueline.caselog import CaseLog
@@ -51,37 +51,33 @@ def horizon_sweep(
 ) -> DataFrame:
     """Events, cases and value sums left at each horizon, in one pass.
 
-    No event is repeated per horizon: a case keeps one counter and one sum for
-    each, so one row per case is all that is shuffled.
+    An event belongs to the horizons below its reach and a case to those below
+    its largest, so counts by reach are enough: one small number per case is
+    shuffled, and what a horizon keeps are sums over at most ``horizons`` rows.
     """
-    reach = horizons_reached(spec, horizons)
-    steps = range(horizons)
-    sums = {v: F.coalesce(col(v), F.lit(0.0)) for v in values}
-    per_case = (
-        df.withColumn("_reach", reach)
-        .filter(col("_reach") > 0)
-        .groupBy(col(spec.case))
-        .agg(
-            *[F.count(F.when(col("_reach") > h, 1)).alias(f"_n{h}") for h in steps],
-            *[
-                F.sum(F.when(col("_reach") > h, v)).alias(f"_s{i}_{h}")
-                for i, v in enumerate(sums.values())
-                for h in steps
-            ],
-        )
+    reached = df.withColumn("_reach", horizons_reached(spec, horizons)).filter(col("_reach") > 0)
+    sums = [f"_s{i}" for i in range(len(values))]
+    events = reached.groupBy("_reach").agg(
+        F.count("*").alias("_n"),
+        *[F.sum(F.coalesce(col(v), F.lit(0.0))).alias(s) for v, s in zip(values, sums, strict=True)],
     )
-    totals = per_case.agg(
-        *[F.count(F.when(col(f"_n{h}") > 0, 1)).alias(f"_c{h}") for h in steps],
-        *[F.sum(f"_n{h}").alias(f"_n{h}") for h in steps],
-        *[F.sum(f"_s{i}_{h}").alias(f"_s{i}_{h}") for i in range(len(sums)) for h in steps],
+    cases = (
+        reached.groupBy(col(spec.case))
+        .agg(F.max("_reach").alias("_reach"))
+        .groupBy("_reach")
+        .agg(F.count("*").alias("_c"))
+    )
+    steps = df.sparkSession.range(1, horizons + 1).select(F.col("id").cast("int").alias("_reach"))
+    counted = steps.join(events, "_reach", "left").join(cases, "_reach", "left")
+    # One row per horizon.
+    farther = Window.orderBy("_reach").rowsBetween(0, Window.unboundedFollowing)
+
+    def total(name: str) -> Column:
+        return F.sum(name).over(farther)
+
+    return counted.select(
+        (F.col("_reach") - 1).alias("horizon"),
+        F.coalesce(total("_c"), F.lit(0)).alias("n_cases"),
+        F.coalesce(total("_n"), F.lit(0)).alias("n_events"),
+        *[total(s).alias(f"sum_{v}") for v, s in zip(values, sums, strict=True)],
     )
-    rows = [
-        F.struct(
-            F.lit(h).alias("horizon"),
-            col(f"_c{h}").alias("n_cases"),
-            F.coalesce(col(f"_n{h}"), F.lit(0)).alias("n_events"),
-            *[col(f"_s{i}_{h}").alias(f"sum_{v}") for i, v in enumerate(sums)],
-        )
-        for h in steps
-    ]
-    return totals.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -231,7 +231,7 @@ class CaseEncoderModel(Model, _Settings, DefaultParamsReadable, DefaultParamsWri
     def _numeric(self) -> list[Column]:
         out = []
         for c in self.get(self.numericCols):
-            v = F.coalesce(col(c).cast("double"), F.lit(0.0))
+            v = F.coalesce(F.nanvl(col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
             spread = F.coalesce(F.stddev_samp(v), F.lit(0.0))
             for kind, agg in zip(
                 ["mean", "max", "min", "sum", "std"],
@@ -284,7 +284,10 @@ class CaseEncoderModel(Model, _Settings, DefaultParamsReadable, DefaultParamsWri
             aggs.append(F.count("*").alias("_events"))
         rows = coded.groupBy(case).agg(*aggs)
         if not direct:
-            rows = rows.join(self._pivoted_counts(df), self.get(self.caseCol))
+            # Null-safe, as rows without a case id are a case as well.
+            name = self.get(self.caseCol)
+            wide = self._pivoted_counts(df).withColumnRenamed(name, "_wide_case")
+            rows = rows.join(wide, case.eqNullSafe(col("_wide_case"))).drop("_wide_case")
         out = [col(n) for n in [*self.numeric_columns, *self.dynamic_columns]]
         for i, c in enumerate(static):
             if not self.get(self.oneHotStatic):

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from dueline.caselog import CaseLog
 from dueline.models.evaluation import roc_auc
 from dueline.models.tuning import PARAM_GRIDS, grid_search, score
-from dueline.operators.features import count_cases
 from dueline.plans.workflow import train_test_rows
 from dueline.sources.tables import RESULT_SCHEMA, read_results, write_csv, write_parquet
 
@@ -44,7 +43,7 @@ def run_experiment(
         classes = saved["train"].select(label).distinct().count()
         for classifier in classifiers:
             auc = None
-            if classes == 2 and count_cases(saved["test"], log.spec).first()[0] > 0:
+            if classes == 2 and saved["test"].limit(1).collect():
                 found = grid_search(
                     saved["train"], log.spec, sides.encoder.columns, classifier,
                     grids[classifier], label, folds,

@@ -35,6 +35,12 @@ k AS (
 best AS (SELECT * FROM k ORDER BY risk, step LIMIT 1)"""
 
 
+# The same for scores around 0, some of them missing or no numbers.
+_SIGNED = f"""WITH {SCORE_LOG},
+signed AS (
+  SELECT y, CASE WHEN case_id % 11 = 3 THEN NULL ELSE 3 * p - 1 END AS p FROM score_log)"""
+
+
 def _curve(spark, folder):
     return evaluation.threshold_curve(samples.score_log(spark, folder), R, P)
 
@@ -80,6 +86,24 @@ def threshold_curve(spark, folder):
     return rounded(_curve(spark, folder))
 
 
+@query(
+    "threshold_curve_signed",
+    f"""{_SIGNED},
+t AS (SELECT CAST(range AS INTEGER) AS step, range * (CAST(1 AS DOUBLE) / 999) AS threshold
+      FROM range(1000))
+SELECT step, count(*) FILTER (WHERE y = 0 AND NOT coalesce(p >= threshold, FALSE)) AS tn,
+       count(*) FILTER (WHERE y = 0 AND p >= threshold) AS fp,
+       count(*) FILTER (WHERE y = 1 AND NOT coalesce(p >= threshold, FALSE)) AS fn,
+       count(*) FILTER (WHERE y = 1 AND p >= threshold) AS tp
+FROM t CROSS JOIN signed GROUP BY 1""",
+)
+def threshold_curve_signed(spark, folder):
+    log = samples.score_log(spark, folder)
+    score = F.when(F.col("case_id") % 11 != 3, F.col("p") * 3 - 1)
+    curve = evaluation.threshold_curve(log.withColumn("p", score), R, P)
+    return curve.select("step", "tn", "fp", "fn", "tp")
+
+
 @query(
     "threshold_best",
     f"""{_SWEEP}

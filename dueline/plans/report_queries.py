@@ -95,6 +95,17 @@ def busdays_hist20(spark, folder):
     return reports.equal_histogram(_last_events(spark, folder), "signed", 20)
 
 
+@query(
+    "value_hist",
+    """WITH m AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
+h AS (SELECT least(floor((l_extendedprice - lo) / (hi - lo) * 25), 24) AS bin, count(*) AS n
+      FROM lineitem, m GROUP BY 1)
+SELECT CAST(range AS INTEGER) AS bin, coalesce(n, 0) AS n FROM range(25) LEFT JOIN h ON bin = range""",
+)
+def value_hist(spark, folder):
+    return reports.equal_histogram(samples.table(spark, folder, "lineitem"), "l_extendedprice", 25)
+
+
 @query(
     "busdays_describe",
     f"""{_APPROVALS}

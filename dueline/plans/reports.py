@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,16 +75,17 @@ def unit_histogram(df: DataFrame, value: str) -> DataFrame:
 def equal_histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     """Counts in equal bins from least to largest value, the last one closed.
 
-    For whole-numbered values; they are counted first, so the window below sees
-    one row per value.
+    A column with one value gets bins over a width of one around it. Equal
+    values are counted first; missing values and such that are no number are out.
     """
-    counted = df.groupBy(col(value).alias("v")).agg(F.count("*").alias("c")).filter("v IS NOT NULL")
-    whole = Window.partitionBy()
-    low, high = F.min("v").over(whole), F.max("v").over(whole)
-    spot = F.floor((F.col("v") - F.col("lo")) * bins / F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))
-    placed = counted.select("v", "c", low.alias("lo"), high.alias("hi")).select(
-        F.least(spot, F.lit(bins - 1)).cast("int").alias("bin"), "c"
-    )
+    v = F.nanvl(col(value).cast("double"), F.lit(None).cast("double"))
+    counted = df.groupBy(v.alias("v")).agg(F.count("*").alias("c")).filter("v IS NOT NULL")
+    ends = counted.agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    half = F.when(F.col("a") == F.col("b"), 0.5).otherwise(0.0)
+    # One row.
+    ends = F.broadcast(ends.select((F.col("a") - half).alias("lo"), (F.col("b") + half).alias("hi")))
+    spot = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
+    placed = counted.join(ends).select(F.least(spot, F.lit(bins - 1)).cast("int").alias("bin"), "c")
     filled = placed.groupBy("bin").agg(F.sum("c").alias("n"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(filled, "bin", "left").fillna(0, ["n"])

@@ -18,6 +18,7 @@ from dueline.operators.labeling import (
     deadline_by_year,
     late_payment_label,
 )
+from dueline.session import scratch_path
 from dueline.spec import EventLogSpec, col
 
 
@@ -76,15 +77,26 @@ def train_test_rows(
     """Feature rows of the prefixes left so many business days before deadline.
 
     The encoder learns its columns from the training cases only. All cases are
-    encoded once; the split is then a semi join of case rows, not of events.
+    encoded once, joined with their side and written by side; both sides are
+    read from there.
     """
     cut = cut_before_deadline(log, business_days)
     encoder = CaseEncoder.for_spec(log.spec, oneHotStatic=one_hot_static, labelCol=label)
     model = encoder.fit(cut.keep_cases(train_ids).df)
     rows = model.transform(cut.df).withColumn(label, col(label).cast("int"))
     case = log.spec.case
+    side = "_side"
+    sides = (
+        train_ids.select(col(case)).distinct().withColumn(side, F.lit("train"))
+        .unionByName(test_ids.select(col(case)).distinct().withColumn(side, F.lit("test")))
+    )
+    spark = rows.sparkSession
+    path = scratch_path(spark, "sides")
+    both = rows.join(sides, case).select(*[col(c) for c in rows.columns], side)
+    both.write.partitionBy(side).parquet(path)
+    saved = spark.read.schema(both.schema).parquet(path)
     return TrainTest(
-        rows.join(train_ids.select(col(case)), case, "left_semi"),
-        rows.join(test_ids.select(col(case)), case, "left_semi"),
+        saved.filter(col(side) == "train").drop(side),
+        saved.filter(col(side) == "test").drop(side),
         model,
     )

@@ -57,14 +57,27 @@ def _typed(text: Column, kind: str) -> Column:
 
 
 def attribute_kinds(events: DataFrame) -> dict[str, list[tuple[str, str]]]:
-    """Names and kinds in use, by level: one row per attribute name."""
+    """Names and their kinds, by level: one row per attribute name and kind.
+
+    A name that stands with several kinds gets the narrowest that holds all its
+    values: float for int and float, else string.
+    """
     found = {}
     for level in ("trace", "event"):
         pairs = events.select(F.explode(f"_{level}").alias("a")).select("a.kind", "a.key")
-        found[level] = sorted({(r["key"], r["kind"]) for r in pairs.distinct().collect()})
+        kinds: dict[str, set[str]] = {}
+        for r in pairs.distinct().collect():
+            kinds.setdefault(r["key"], set()).add(r["kind"])
+        found[level] = sorted((key, common_kind(of)) for key, of in kinds.items())
     return found
 
 
+def common_kind(kinds: set[str]) -> str:
+    if len(kinds) == 1:
+        return next(iter(kinds))
+    return "float" if kinds == {"int", "float"} else "string"
+
+
 def read_xes(
     spark: SparkSession,
     path: str,
