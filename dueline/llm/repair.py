@@ -35,19 +35,18 @@ PAIRS_A_ROUND = 256
 LEAST_COUNT = 16
 _SLOTS = 18  # bits of the table in which pairs are counted before the exact count
 _HEAD = struct.Struct("<4sIIIIQ")  # name, terminals, rules, documents, symbols, bytes of the frame
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_LEFT, _RIGHT, _SHIFT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(32 - _SLOTS)
 
 
 def grammar(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules, symbols and which symbols end a document, for ids that end at ``ends``."""
-    symbols = ids.astype(np.int64)
+    symbols = ids.astype(np.uint32)
     last = np.zeros(len(ids), bool)
     last[ends] = True
     rules: list[np.ndarray] = []
     count = 0
     for _ in range(ROUNDS):
-        pair = symbols[:-1] << 32 | symbols[1:]
-        slot = ((pair.view(np.uint64) * _MIX) >> np.uint64(64 - _SLOTS)).astype(np.int32)
+        slot = (symbols[:-1] * _LEFT + symbols[1:] * _RIGHT) >> _SHIFT
         slot[last[:-1]] = 0
         counts = np.bincount(slot, minlength=1 << _SLOTS)
         counts[0] = 0
@@ -55,7 +54,8 @@ def grammar(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarr
         at = np.flatnonzero((counts >= floor)[slot])
         if not len(at):
             break
-        found, inverse, exact = np.unique(pair[at], return_inverse=True, return_counts=True)
+        pair = symbols[at].astype(np.int64) << 32 | symbols[at + 1]
+        found, inverse, exact = np.unique(pair, return_inverse=True, return_counts=True)
         best = np.argsort(-exact, kind="stable")[:PAIRS_A_ROUND]
         best = best[exact[best] >= LEAST_COUNT]
         if not len(best):
