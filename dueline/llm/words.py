@@ -30,7 +30,7 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SIGN[33:127] = ~_LETTER[33:127]
 _SIGN[39] = False
 #: Words a worker keeps in each of two generations besides the table.
-KEPT = 70_000
+KEPT = 50_000
 #: Places of the table, and ids that its words may take.
 _SLOTS = 20
 _POOL = 6_000_000
