@@ -13,7 +13,6 @@ from itertools import product
 
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
@@ -91,7 +90,8 @@ def _depth(value: int | None) -> int:
 def _base(classifier: str) -> Estimator:
     made = {
         "LogisticRegression": lambda: LogisticRegression(elasticNetParam=0.0, standardization=False),
-        "DecisionTree": lambda: DecisionTreeClassifier(seed=SEED),
+        # One tree over all rows: it alone knows how many features a split may see.
+        "DecisionTree": lambda: RandomForestClassifier(seed=SEED, numTrees=1, bootstrap=False),
         "RandomForest": lambda: RandomForestClassifier(seed=SEED),
         "XGBoost": lambda: GBTClassifier(seed=SEED),
         "SVM": lambda: LinearSVC(standardization=False),
@@ -115,6 +115,9 @@ def _settings(classifier: str, point: dict, rows: int, width: int) -> dict | Non
     if classifier == "DecisionTree":
         out["minInstancesPerNode"] = point.get("min_samples_leaf", 1)
         out["impurity"] = point.get("criterion", "gini")
+        # "auto" was another name of the square root.
+        seen = point.get("max_features") or "all"
+        out["featureSubsetStrategy"] = "sqrt" if seen == "auto" else seen
     elif classifier == "RandomForest":
         out["numTrees"] = point.get("n_estimators", 100)
         out["minInstancesPerNode"] = point.get("min_samples_leaf", 1)

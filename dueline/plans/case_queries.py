@@ -382,8 +382,38 @@ def random_split(spark, folder):
     )
 
 
+@query(
+    "random_split_parts",
+    """SELECT count(*) AS n_cases, CAST(0 AS BIGINT) AS in_both, TRUE AS near_share
+FROM orders""",
+)
+def random_split_parts(spark, folder):
+    """All cases are in one part, and the parts have about their shares."""
+    parts = random_split(spark, folder).groupBy("case_id").agg(
+        F.count_distinct("part").alias("parts"), F.max("part").alias("part")
+    )
+    share = F.avg((F.col("part") == "train").cast("double"))
+    return parts.agg(
+        F.count("*").alias("n_cases"),
+        F.count(F.when(F.col("parts") > 1, 1)).alias("in_both"),
+        (F.abs(share - 0.8) < 0.05).alias("near_share"),
+    )
+
+
 @query("fold_assign")
 def fold_assign(spark, folder):
     log = labelled_orders(spark, folder)
     cases = log.df.groupBy("case_id").agg(F.max("y").alias("y"))
     return splits.stratified_folds(cases, log.spec, "y", 5)
+
+
+@query(
+    "fold_sizes",
+    f"""WITH {ORDER_LOG}, {labelled("order_log", "NO", "RF")},
+c AS (SELECT case_id, max(y) AS y FROM lab GROUP BY 1),
+f AS (SELECT y, CAST((row_number() OVER (ORDER BY y, case_id) - 1) % 5 AS INTEGER) AS fold FROM c)
+SELECT y, fold, count(*) AS n FROM f GROUP BY 1, 2""",
+)
+def fold_sizes(spark, folder):
+    """How many cases of each label a fold has: fixed, whatever the random order."""
+    return fold_assign(spark, folder).groupBy("y", "fold").agg(F.count("*").alias("n"))

@@ -177,9 +177,9 @@ _POINTS = {
     "model_lr": ("LogisticRegression", {"C": 0.1}),
     "model_dt": ("DecisionTree", {"max_depth": 5, "min_samples_leaf": 2, "criterion": "entropy"}),
     "model_rf": ("RandomForest", {"n_estimators": 50, "max_depth": 6, "min_samples_leaf": 2}),
-    "model_gbt": ("XGBoost", {"learning_rate": 0.1, "max_depth": 3, "n_estimators": 20}),
+    "model_gbt": ("XGBoost", {"learning_rate": 0.1, "max_depth": 3, "n_estimators": 100}),
     "model_svm": ("SVM", {"C": 0.1, "kernel": "linear"}),
-    "model_mlp": ("MLP", {"hidden_layer_sizes": (20,)}),
+    "model_mlp": ("MLP", {"hidden_layer_sizes": (100,)}),
 }
 for _name, (_classifier, _point) in _POINTS.items():
     query(_name)(_fitted(_classifier, _point))

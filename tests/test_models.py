@@ -44,7 +44,7 @@ def test_search_score_and_auc(spark, sides, tmp_path):
 
 @pytest.mark.parametrize(
     ("name", "points"),
-    [("RandomForest", 6), ("XGBoost", 32), ("LogisticRegression", 4), ("DecisionTree", 24),
+    [("RandomForest", 6), ("XGBoost", 32), ("LogisticRegression", 4), ("DecisionTree", 48),
      ("SVM", 4), ("MLP", 5)],
 )
 def test_grids(name, points):
