@@ -10,8 +10,9 @@ part of all events does not fit. ``CaseLog`` keeps the two apart:
   per long case); order-dependent values are taken inside a range and mended
   at its edges from a table with one row per case and range.
 
-Both halves go through the same calls, and ``df`` is their union. Without long
-cases, the usual state, there is only the plain window plan.
+Both halves go through the same calls, and ``df`` is their union, with the same
+columns in the same order. Without long cases, the usual state, there is only the
+plain window plan. A log that only goes through row-wise steps is never parted.
 """
 
 from __future__ import annotations
@@ -39,32 +40,39 @@ class CaseLog:
         long: DataFrame | None = None,
         ids: DataFrame | None = None,
         small_ids: bool = True,
+        whole: bool = False,
     ) -> None:
-        self.spec, self.short, self.long = spec, short, long
-        self._ids, self._small = ids, small_ids
+        self.spec, self._short, self._long = spec, short, long
+        self._ids, self._small, self._whole = ids, small_ids, whole
 
     @classmethod
-    def of(cls, df: DataFrame, spec: EventLogSpec, case_ids: DataFrame | None = None) -> CaseLog:
-        """Wrap ``df``. Rows without a case id are left out, as a group key.
+    def of(cls, df: DataFrame, spec: EventLogSpec) -> CaseLog:
+        """Wrap ``df``. No job starts here, and row-wise steps keep every row.
 
-        One pass counts events per case. ``case_ids`` may name a cheaper frame
-        for that pass: a table with the case column whose counts are at least
-        those in ``df`` (the table before a filter or join).
+        The first step that needs the rows of a case together counts events per
+        case once. Rows without a case id are left out there, as a group key.
         """
         lost = spec.missing(df.columns)
         if lost:
             raise ValueError(f"columns missing from the log: {lost}")
-        df = df.filter(col(spec.case).isNotNull())
-        counted = case_ids if case_ids is not None else df
+        return cls(spec, df, whole=True)
+
+    def _divide(self) -> None:
+        """Part the cases into short and long ones, if that is not done yet."""
+        if not self._whole:
+            return
+        spec = self.spec
+        df = self._short.filter(col(spec.case).isNotNull())
+        self._short, self._whole = df, False
         sizes = (
-            counted.select(col(spec.case))
+            df.select(col(spec.case))
             .groupBy(col(spec.case))
             .agg(F.count("*").alias("_events"))
             .filter(F.col("_events") > spec.long_case_events)
         )
         listed = sizes.limit(_LISTED_IDS + 1).collect()
         if not listed:
-            return cls(spec, df)
+            return
         spark = df.sparkSession
         if len(listed) <= _LISTED_IDS:
             rows = sum(r["_events"] for r in listed)
@@ -74,42 +82,56 @@ class CaseLog:
             saved = cut_into_ranges(sizes, [col(spec.case)]).drop(RANGE)
             many, rows = saved.agg(F.count("*"), F.sum("_events")).first()
             ids = saved.select(col(spec.case))
-        small = many <= _BROADCAST_ROWS
-        known = F.broadcast(ids) if small else ids
+        self._ids, self._small = ids, many <= _BROADCAST_ROWS
+        known = F.broadcast(ids) if self._small else ids
         # A join by name puts the name first; both halves keep the order of ``df``.
         order = [col(c) for c in df.columns]
-        short = df.join(known, spec.case, "left_anti").select(*order)
-        long = cut_into_ranges(
+        self._short = df.join(known, spec.case, "left_anti").select(*order)
+        self._long = cut_into_ranges(
             df.join(known, spec.case, "left_semi").select(*order),
             [col(spec.case), *spec.order],
             chunks_for(rows, spec.long_case_events),
         )
-        return cls(spec, short, long, ids, small)
+
+    @property
+    def short(self) -> DataFrame:
+        self._divide()
+        return self._short
+
+    @property
+    def long(self) -> DataFrame | None:
+        self._divide()
+        return self._long
 
     # -- plain access -----------------------------------------------------
 
     @property
     def df(self) -> DataFrame:
-        if self.long is None:
-            return self.short
-        return self.short.unionByName(self.long.drop(RANGE))
+        if self._long is None:
+            return self._short
+        return self._short.unionByName(self._long.drop(RANGE))
 
     @property
     def columns(self) -> list[str]:
-        return self.short.columns
+        return self._short.columns
 
     def has(self, name: str) -> bool:
-        return name in self.short.columns
+        return name in self._short.columns
 
     def with_spec(self, **changes) -> CaseLog:
-        return CaseLog(self.spec.but(**changes), self.short, self.long, self._ids, self._small)
+        spec = self.spec.but(**changes)
+        if spec.case != self.spec.case:
+            return CaseLog.of(self.df, spec)
+        return CaseLog(spec, self._short, self._long, self._ids, self._small, self._whole)
 
     def _both(self, short: DataFrame, long: DataFrame | None) -> CaseLog:
-        return CaseLog(self.spec, short, long, self._ids, self._small)
+        if long is not None:
+            long = long.select(*[col(c) for c in short.columns], RANGE)
+        return CaseLog(self.spec, short, long, self._ids, self._small, self._whole)
 
     def map(self, fn: Callable[[DataFrame], DataFrame]) -> CaseLog:
         """Apply a row-wise step to both halves."""
-        return self._both(fn(self.short), None if self.long is None else fn(self.long))
+        return self._both(fn(self._short), None if self._long is None else fn(self._long))
 
     def with_columns(self, columns: dict[str, Column]) -> CaseLog:
         return self.map(lambda d: d.withColumns(columns))

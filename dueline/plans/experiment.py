@@ -32,7 +32,7 @@ def run_experiment(
     encoded rows of a horizon are written once and read by every classifier.
     A horizon at which no case or one class is left gives a null AUC.
     """
-    spark = log.short.sparkSession
+    spark = log.df.sparkSession
     for h in horizons:
         sides = train_test_rows(log, h, train_ids, test_ids, label=label)
         saved = {}

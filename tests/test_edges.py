@@ -63,6 +63,19 @@ def test_long_cases_keep_the_order_of_columns(spark, make_log):
     assert long.long is not None and long.df.columns == ["nr", "activity", "case_id", "ts"]
 
 
+def test_row_wise_steps_start_no_job(spark, make_log):
+    log = make_log([("a", "x", "2024-01-01"), (None, "x", "2024-01-01"), ("a", None, None)])
+    context = spark.sparkContext
+    context.setJobGroup("narrow", "row-wise steps")
+    kept = log.filter(F.col("activity") == "x").with_columns({"twice": F.col("nr") * 2}).with_spec(dynamic=())
+    plan = kept.df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert not context.statusTracker().getJobIdsForGroup("narrow")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    # The row without a case stays until its case is needed.
+    assert kept.df.count() == 2 and kept.in_order(number="n").df.count() == 1
+
+
 def test_sweep_of_an_empty_horizon(spark):
     spec = SMALL.but(deadline="due")
     start = datetime(2024, 3, 4, 9)
