@@ -22,6 +22,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -146,7 +147,14 @@ def spark_grid(classifier: str, grid: dict[str, list], rows: int, width: int) ->
 
 
 def assemble(rows: DataFrame, spec: EventLogSpec, features: list[str], label: str) -> DataFrame:
-    """Case id, label and one feature vector; any column name will do."""
+    """Case id, label and one feature vector; any column name will do.
+
+    A single column that holds vectors is taken as it is. Else the vector's
+    metadata names its features.
+    """
+    if holds_vectors(rows, features):
+        vector = col(features[0]).alias("features")
+        return rows.select(col(spec.case), col(label).cast("double").alias("label"), vector)
     safe = [f"f{i}" for i in range(len(features))]
     plain = rows.select(
         col(spec.case),
@@ -154,7 +162,21 @@ def assemble(rows: DataFrame, spec: EventLogSpec, features: list[str], label: st
         *[col(c).cast("double").alias(s) for c, s in zip(features, safe, strict=True)],
     )
     vector = VectorAssembler(inputCols=safe, outputCol="features", handleInvalid="error")
-    return vector.transform(plain).select(col(spec.case), "label", "features")
+    named = {"numeric": [{"idx": i, "name": c} for i, c in enumerate(features)]}
+    meta = {"ml_attr": {"attrs": named, "num_attrs": len(features)}}
+    made = F.col("features").alias("features", metadata=meta)
+    return vector.transform(plain).select(col(spec.case), "label", made)
+
+
+def holds_vectors(rows: DataFrame, features: list[str]) -> bool:
+    return len(features) == 1 and isinstance(rows.schema[features[0]].dataType, VectorUDT)
+
+
+def _width(rows: DataFrame, features: list[str]) -> int:
+    if not holds_vectors(rows, features):
+        return len(features)
+    first = rows.select(col(features[0])).first()
+    return first[0].size if first else 0
 
 
 def _sized(rows: DataFrame, n: int) -> DataFrame:
@@ -201,7 +223,7 @@ def grid_search(
         stratified_folds(assemble(rows, spec, features, label), spec, "label", folds, SEED), n
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        settings = spark_grid(classifier, grid or PARAM_GRIDS[classifier], n, len(features))
+        settings = spark_grid(classifier, grid or PARAM_GRIDS[classifier], n, _width(rows, features))
         maps = [{estimator.getParam(k): v for k, v in s.items()} for s in settings]
         scorer = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
         search = CrossValidator(
@@ -230,7 +252,7 @@ def fit_one(
     train = _sized(assemble(rows, spec, features, label), n).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         grid = {k: [v] for k, v in point.items()}
-        settings = spark_grid(classifier, grid, n, len(features))
+        settings = spark_grid(classifier, grid, n, _width(rows, features))
         model = _base(classifier).setParams(**settings[0]).fit(train)
     finally:
         train.unpersist()

@@ -104,8 +104,8 @@ def running_totals(
         .orderBy(col(key))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # At most one row per range and group in it.
-    out = cut.join(F.broadcast(parts), same)
+    # One row per range and group in it grows with the groups: no forced broadcast.
+    out = cut.join(parts, same)
     for new, src in before.items():
         local = F.coalesce(F.sum(col(src)).over(inside), F.lit(0))
         out = out.withColumn(new, F.col(f"_to_{new}") + local)

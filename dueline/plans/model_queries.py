@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from dueline.models import evaluation, tuning
+from dueline.operators import sparse
+from dueline.operators.cutting import cut_before_deadline
 from dueline.plans.case_queries import HORIZON, labelled_orders, year_split
 from dueline.plans.experiment import run_experiment
-from dueline.plans.registry import SCORE_LOG, query, r6, rounded
+from dueline.plans.registry import DAYS, ORDER_LOG, SCORE_LOG, cut, query, r6, rounded
 from dueline.plans.workflow import train_test_rows
 from dueline.session import scratch_path
 from dueline.sources import samples
@@ -185,6 +188,109 @@ for _name, (_classifier, _point) in _POINTS.items():
     query(_name)(_fitted(_classifier, _point))
 
 
+# Cases of the test side.
+_TEST_CASES = f"""WITH {ORDER_LOG}, {DAYS}, {cut("order_log", HORIZON)},
+t AS (SELECT count(DISTINCT case_id) AS n FROM cut WHERE case_year > 1998)"""
+
+
+@query(
+    "model_checks",
+    f"""{_TEST_CASES}
+SELECT classifier, n AS n_scored, CAST(0 AS BIGINT) AS n_unusable, TRUE AS auc_agrees
+FROM t, (VALUES {", ".join(f"('{n}')" for n in _POINTS)}) AS m (classifier)""",
+)
+def model_checks(spark, folder):
+    """Each model scores every test case, by a usable number, with one AUC.
+
+    Usable are finite numbers, from 0 to 1 where the model gives probabilities.
+    The AUC by ranks has to be that of Spark's evaluator.
+    """
+    spec, columns, train, test = _sides(spark, folder)
+    evaluator = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="y", numBins=0)
+    rows = []
+    for name, (classifier, point) in _POINTS.items():
+        found = tuning.fit_one(train, spec, columns, classifier, point)
+        path = scratch_path(spark, "scored")
+        write_parquet(tuning.score(found, test, spec), path)
+        scored = spark.read.parquet(path)
+        usable = F.col("p").isNotNull() & ~F.isnan("p") & (F.abs("p") < float("inf"))
+        if classifier != "SVM":
+            usable &= F.col("p").between(0, 1)
+        n, bad = scored.agg(F.count("*"), F.count(F.when(~usable, 1))).first()
+        auc = evaluation.roc_auc(scored).first()[0]
+        rows.append((name, n, bad, abs(auc - evaluator.evaluate(scored)) < 1e-5))
+    return spark.createDataFrame(
+        rows, "classifier string, n_scored long, n_unusable long, auc_agrees boolean"
+    )
+
+
+@query(
+    "model_kept",
+    f"""{_TEST_CASES}
+SELECT n AS n_cases, CAST(0 AS BIGINT) AS n_changed FROM t""",
+)
+def model_kept(spark, folder):
+    """A model that was saved and loaded scores every case as before."""
+    both = model_roundtrip(spark, folder)
+    return both.agg(
+        F.count("*").alias("n_cases"),
+        F.count(F.when(~F.col("before").eqNullSafe(F.col("after")), 1)).alias("n_changed"),
+    )
+
+
+# -- features without a bound on values ------------------------------------------------
+
+_WIDE = {"numeric": ("l_quantity",), "dynamic": ("resource", "flag"), "static": ("o_orderpriority", "status")}
+
+
+@query(
+    "wide_features",
+    f"""WITH {ORDER_LOG},
+slot_count AS (
+  SELECT CAST(5 AS BIGINT) + (SELECT count(*) FROM (SELECT DISTINCT resource FROM order_log))
+         + (SELECT count(*) FROM (SELECT DISTINCT flag FROM order_log))
+         + (SELECT count(*) FROM (SELECT DISTINCT o_orderpriority FROM order_log))
+         + (SELECT count(*) FROM (SELECT DISTINCT status FROM order_log)) AS size),
+n AS (
+  SELECT case_id, avg(q) AS mean, max(q) AS max, min(q) AS min, sum(q) AS sum,
+         coalesce(stddev_samp(q), 0) AS std
+  FROM (SELECT case_id, coalesce(CAST(l_quantity AS DOUBLE), 0) AS q FROM order_log) GROUP BY 1),
+filled AS (
+  SELECT case_id, 'l_quantity' AS "column", value, x
+  FROM n UNPIVOT (x FOR value IN (mean, max, min, sum, std)) WHERE x <> 0
+  UNION ALL
+  SELECT case_id, 'resource', resource, CAST(count(*) AS DOUBLE) FROM order_log GROUP BY 1, 3
+  UNION ALL
+  SELECT case_id, 'flag', flag, CAST(count(*) AS DOUBLE) FROM order_log GROUP BY 1, 3
+  UNION ALL
+  SELECT case_id, 'o_orderpriority', o_orderpriority, CAST(1 AS DOUBLE) FROM order_log WHERE event_nr = 1
+  UNION ALL
+  SELECT case_id, 'status', status, CAST(1 AS DOUBLE) FROM order_log WHERE event_nr = 1)
+SELECT case_id, "column", value, {r6("x", "x")}, CAST(size AS INTEGER) AS size FROM filled, slot_count""",
+)
+def wide_features(spark, folder):
+    """What the sparse vectors hold, with a slot for every resource."""
+    log = samples.order_log(spark, folder).numbered().with_spec(**_WIDE)
+    slots = sparse.learn_slots(log.df, log.spec)
+    rows = sparse.encode_sparse(log.df, log.spec, slots, None)
+    long = sparse.filled_slots(rows, log.spec, slots).drop("role")
+    return rounded(long.withColumn("size", F.lit(slots.size)))
+
+
+@query("model_wide")
+def model_wide(spark, folder):
+    """Logistic regression on sparse vectors; slots are those of the training cases."""
+    log = labelled_orders(spark, folder).with_spec(**_WIDE)
+    log = cut_before_deadline(log, HORIZON)
+    train_ids, test_ids = year_split(spark, folder, log.spec)
+    train = log.keep_cases(train_ids).df
+    slots = sparse.learn_slots(train, log.spec)
+    rows = sparse.encode_sparse(train, log.spec, slots)
+    found = tuning.fit_one(rows, log.spec, [sparse.FEATURES], "LogisticRegression", {"C": 0.1})
+    test = sparse.encode_sparse(log.keep_cases(test_ids).df, log.spec, slots)
+    return tuning.score(found, test, log.spec)
+
+
 @query("grid_search")
 def grid_search(spark, folder):
     """Ranked results of the whole logistic regression grid in five folds."""
