@@ -9,6 +9,10 @@ as ``suffixes`` describes; only groups with more than one segment are sorted.
 * Equal segments of a block of documents are one segment of the shuffle. Their
   strings are known to be repeated, so only one copy travels, without places: a
   passage that a third of all documents share is shuffled once per block.
+* A group of more than ``HOT_BYTES``, such as the contexts of a line that very
+  many documents share, is not sorted by the task that finds it: it streams out
+  and is dealt again by more of its bytes, half of what the key lacks of the
+  string in each round, until groups are small or the key is the whole string.
 * A bucket gets compressed pieces of about ``BUCKET_BYTES`` in total; the number
   of buckets follows the bytes of the corpus.
 * Repeated runs travel back to their documents by two 64-bit hashes of id and
@@ -29,11 +33,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dueline.llm._support import bounded_batches, map_batches, partitions, with_keys
+from dueline.llm._support import bounded_batches, map_batches, partitions, staged, with_keys
 from dueline.llm.suffixes import repeated_starts
 
 WIDTH = 200
@@ -44,6 +49,8 @@ BLOCK_BYTES = 8 << 20
 CUT_BYTES = 1 << 19
 #: Bytes of segments whose suffixes are sorted together.
 SORT_BYTES = 1 << 19
+#: Bytes of the segments of one key up to which they are sorted where they meet.
+HOT_BYTES = 32 << 20
 #: Segments take about this many times the bytes of their texts.
 _SPREAD = 3.3
 _PLACE_BITS = 24
@@ -75,11 +82,35 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def segments(data: bytes, starts: np.ndarray, lengths: np.ndarray, width: int = WIDTH):
+def widenings(width: int) -> list[int]:
+    """Bytes by which the key of a string grows in each round, from its anchor on."""
+    out, rest = [], width - ANCHOR
+    while rest:
+        out.append(max(1, rest // 2))
+        rest -= out[-1]
+    return out
+
+
+def key_spans(at: np.ndarray, anchor: np.ndarray, width: int, rounds: int):
+    """Where the keys of strings at ``at`` begin and end after ``rounds`` widenings.
+
+    A key grows to the left while the string reaches that far, else to the right,
+    so equal strings have equal keys, and neighbours that grow alike share one.
+    """
+    low, high = anchor.copy(), anchor + ANCHOR
+    for more in widenings(width)[:rounds]:
+        left = low - at >= more
+        low = np.where(left, low - more, low)
+        high = np.where(left, high, high + more)
+    return low, high
+
+
+def segments(data: bytes, starts: np.ndarray, lengths: np.ndarray, width: int = WIDTH, rounds: int = 0):
     """Segments of texts that lie one after the other in ``data``.
 
-    Gives the text, first byte and byte count of each, its anchor's hash, and
-    whether its anchor stands in it more than once. ``data`` has bytes to spare.
+    Gives the text, first byte and byte count of each, its key, and whether its
+    anchor stands in it more than once. The key is the anchor's hash, or after
+    ``rounds`` the hash of the bytes of ``key_spans``. ``data`` has bytes to spare.
     """
     span = width - ANCHOR + 1
     h = anchor_hashes(data)
@@ -96,6 +127,16 @@ def segments(data: bytes, starts: np.ndarray, lengths: np.ndarray, width: int =
     chosen = least[at]
     # The anchor is the place within this window that the low bits name.
     anchor = at + ((chosen - at.astype(np.uint64)) & low).astype(np.int64)
+    if rounds:
+        key_low, key_high = key_spans(at, anchor, width, rounds)
+        border = np.ones(len(at), bool)
+        border[1:] = (key_low[1:] != key_low[:-1]) | (key_high[1:] != key_high[:-1]) | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(border)
+        stop = np.append(first[1:], len(at))
+        spans = zip(key_low[first].tolist(), key_high[first].tolist(), strict=True)
+        keys = np.array([xxhash.xxh64_intdigest(data[a:b], rounds) for a, b in spans], np.uint64)
+        # One key span a segment: no string of it can repeat inside it.
+        return owner[first], at[first], at[stop - 1] + width - at[first], keys, np.zeros(len(first), bool)
     full = h[anchor]
     border = np.ones(len(at), bool)
     border[1:] = (full[1:] != full[:-1]) | (owner[1:] != owner[:-1])
@@ -142,18 +183,39 @@ class Blob:
         self.known = take("<i8", 4 * known).reshape(-1, 4)
         self.bytes_of = data[self._at : self._at + size]
 
+    def pieces(self) -> list[bytes]:
+        ends = np.cumsum(self.lengths, dtype=np.int64).tolist()
+        return [self.bytes_of[e - n : e] for e, n in zip(ends, self.lengths.tolist(), strict=True)]
+
+    def without(self, hot: np.ndarray) -> bytes | None:
+        """Take the segments of the keys ``hot`` out and give them, packed."""
+        gone = np.isin(self.hashes, hot)
+        if not gone.any():
+            return None
+        pieces = self.pieces()
+
+        def part(rows):
+            return (
+                self.hashes[rows], self.lengths[rows], self.kinds[rows], self.keys[rows], self.places[rows],
+                b"".join([pieces[i] for i in np.flatnonzero(rows)]),
+            )
+
+        packed = Blob.pack(*part(gone), ())
+        self.hashes, self.lengths, self.kinds, self.keys, self.places, self.bytes_of = part(~gone)
+        return packed
+
 
 #: Kinds of segments: seen once in its block, or more often.
 _ONCE, _OFTEN, _AGAIN = 0, 1, 2
 
 
 def _block_blobs(found: dict, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Blobs of a block: ``found`` maps (hash, bytes) to again and places."""
+    """Blobs of a block: ``found`` maps (hash, bytes) to a kind and places."""
     rows: dict[int, list] = {}
     known: dict[int, list] = {}
-    for (h, piece), (again, places) in found.items():
-        more = _AGAIN if again else 0
-        if len(places) == 1:
+    for (h, piece), (kind, places) in found.items():
+        more = kind & _AGAIN
+        if len(places) == 1 and not kind & _OFTEN:
             one, two, start = places[0]
             row = (h, len(piece), _ONCE | more, one, two, start, piece)
         else:
@@ -174,17 +236,18 @@ def _block_blobs(found: dict, buckets: int) -> Iterator[tuple[int, bytes]]:
         yield bucket, Blob.pack(hashes, lengths, kinds, keys, places, b"".join(pieces), runs)
 
 
+def _dealt_blobs(found: dict, buckets: int) -> Iterator[dict]:
+    rows = list(_block_blobs(found, buckets))
+    found.clear()
+    for i in range(0, len(rows), 64):
+        numbers, packed = zip(*rows[i : i + 64], strict=True)
+        yield {"bucket": list(numbers), "blob": list(packed)}
+
+
 def _cut(batches, width: int, buckets: int) -> Iterator[dict]:
-    found: dict[tuple[int, bytes], tuple[bool, list]] = {}
+    found: dict[tuple[int, bytes], tuple[int, list]] = {}
     held = 0
 
-    def blobs():
-        rows = list(_block_blobs(found, buckets))
-        found.clear()
-        for i in range(0, len(rows), 64):
-            numbers, packed = zip(*rows[i : i + 64], strict=True)
-            yield {"bucket": list(numbers), "blob": list(packed)}
-
     def cut(group):
         raw = [g[2] for g in group]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -193,7 +256,7 @@ def _cut(batches, width: int, buckets: int) -> Iterator[dict]:
         columns = segments(data, starts, lengths, width)
         for owner, at, n, h, again in zip(*[c.tolist() for c in columns], strict=True):
             one, two, _ = group[owner]
-            entry = found.setdefault((h, data[at : at + n]), (again, []))
+            entry = found.setdefault((h, data[at : at + n]), (_AGAIN if again else 0, []))
             entry[1].append((one, two, at - int(starts[owner])))
 
     group, size = [], 0
@@ -209,11 +272,38 @@ def _cut(batches, width: int, buckets: int) -> Iterator[dict]:
                 held += size
                 group, size = [], 0
                 if held > BLOCK_BYTES:
-                    yield from blobs()
+                    yield from _dealt_blobs(found, buckets)
                     held = 0
     if group:
         cut(group)
-    yield from blobs()
+    yield from _dealt_blobs(found, buckets)
+
+
+def _cut_again(batches, width: int, buckets: int, rounds: int) -> Iterator[dict]:
+    """Segments of hot keys, cut and dealt by wider keys."""
+    found: dict[tuple[int, bytes], list] = {}
+    held = 0
+    for batch in batches:
+        for packed in batch.column(0):
+            blob = Blob(packed.as_py())
+            columns = zip(blob.pieces(), blob.kinds.tolist(), blob.keys.tolist(), blob.places.tolist(), strict=True)
+            for piece, kind, (one, two), place in columns:
+                # Slices share the bytes that a string over their border needs.
+                for low in range(0, len(piece) - width + 1, CUT_BYTES):
+                    raw = piece[low : low + CUT_BYTES + width - 1]
+                    data = raw + bytes(width + ANCHOR + 8)
+                    cut = segments(data, np.zeros(1, np.int64), np.array([len(raw)]), width, rounds)
+                    for _, at, n, h, _ in zip(*[c.tolist() for c in cut], strict=True):
+                        entry = found.setdefault((h, data[at : at + n]), [0, []])
+                        held += n
+                        if kind & _OFTEN:
+                            entry[0] |= _OFTEN
+                        else:
+                            entry[1].append((one, two, place + low + at))
+                if held > BLOCK_BYTES:
+                    yield from _dealt_blobs(found, buckets)
+                    held = 0
+    yield from _dealt_blobs(found, buckets)
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,23 +363,57 @@ def _sort_part(part: list[tuple[bytes, list]], width: int) -> list[tuple[int, in
     return out
 
 
-def _sort_buckets(batches, width: int) -> Iterator[dict]:
-    def rows(blobs):
+def _hot(blobs: list[Blob], most: int) -> np.ndarray:
+    """Keys with segments of more than ``most`` bytes."""
+    keys, group = np.unique(np.concatenate([b.hashes for b in blobs]), return_inverse=True)
+    sizes = np.bincount(group, np.concatenate([b.lengths for b in blobs]), len(keys))
+    return keys[sizes > most]
+
+
+def _sort_buckets(batches, width: int, most: int | None) -> Iterator[dict]:
+    """Repeated runs of every bucket; segments of keys above ``most`` bytes as blobs."""
+
+    def runs(blobs):
         found = _sorted_runs(blobs, width)
         if found:
             one, two, start, end = zip(*found, strict=True)
-            yield {"one": list(one), "two": list(two), "start": list(start), "end": list(end)}
-
-    current, held = None, []
+            none = [None] * len(one)
+            yield {"one": list(one), "two": list(two), "start": list(start), "end": list(end), "blob": none}
+
+    def given(blobs, hot):
+        for b in blobs:
+            if packed := b.without(hot):
+                yield {"one": [None], "two": [None], "start": [None], "end": [None], "blob": [packed]}
+
+    def sifted(held, hot):
+        """Give what is found hot; whether a key is hot follows from all its bytes."""
+        new = _hot(held, most)
+        if len(new):
+            yield from given(held, new)
+            hot[0] = np.concatenate([hot[0], new])
+
+    def closed(held, size, hot):
+        if most is not None and size > most:
+            yield from sifted(held, hot)
+        if held:
+            yield from runs(held)
+
+    current, held, size, check, hot = None, [], 0, 0, [np.zeros(0, np.uint64)]
     for batch in batches:
-        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if bucket != current and held:
-                yield from rows(held)
-                held = []
-            current = bucket
-            held.append(Blob(blob.as_py()))
-    if held:
-        yield from rows(held)
+        for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if bucket != current:
+                yield from closed(held, size, hot)
+                current, held, size, check, hot = bucket, [], 0, most, [np.zeros(0, np.uint64)]
+            blob = Blob(packed.as_py())
+            if len(hot[0]):
+                yield from given([blob], hot[0])
+            held.append(blob)
+            size += len(blob.bytes_of)
+            if most is not None and size > check:
+                yield from sifted(held, hot)
+                size = sum(len(b.bytes_of) for b in held)
+                check = size + most
+    yield from closed(held, size, hot)
 
 
 def _without(raw: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -306,7 +430,7 @@ def _without(raw: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), spans
 
 
-def repeated_runs(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+def repeated_runs(rows: DataFrame, width: int = WIDTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(one, two, runs) of the texts of ``with_keys`` that have repeated strings."""
     if (width - 2) % 3 or width < 98:
         raise ValueError("width must be 2 more than a multiple of 3 and at least 98")
@@ -316,18 +440,35 @@ def repeated_runs(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     blobs = map_batches(
         rows.select("one", "two", "text"), partial(_cut, width=width, buckets=buckets), "bucket int, blob binary"
     )
-    parts = min(partitions(spark), buckets)
-    dealt = blobs.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket")
-    runs = map_batches(dealt, partial(_sort_buckets, width=width), "one long, two long, start int, end int")
-    return runs.groupBy("one", "two").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    last, found = len(widenings(width)), None
+    for rounds in range(last + 1):
+        parts = min(partitions(spark), buckets)
+        dealt = blobs.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket")
+        sort = partial(_sort_buckets, width=width, most=hot_bytes if rounds < last else None)
+        done = staged(map_batches(dealt, sort, "one long, two long, start int, end int, blob binary"), "runs")
+        runs = done.filter(F.col("blob").isNull()).drop("blob")
+        found = runs if found is None else found.unionByName(runs)
+        hot = done.filter(F.col("blob").isNotNull()).select("blob")
+        size = hot.agg(F.sum(F.octet_length("blob"))).first()[0]
+        if not size:
+            break
+        # Blobs are compressed to about an eighth, and cut again they overlap.
+        buckets = max(1, int(size * 8 * _SPREAD / BUCKET_BYTES))
+        again = partial(_cut_again, width=width, buckets=buckets, rounds=rounds + 1)
+        blobs = map_batches(hot.repartition(partitions(spark)), again, "bucket int, blob binary")
+    return found.groupBy("one", "two").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
 
 
 def without_repeats(
-    docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    width: int = WIDTH,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    hot_bytes: int = HOT_BYTES,
 ) -> DataFrame:
     """(doc_id, text, kept, n_removed, n_spans): kept is the text's other bytes."""
     rows = with_keys(docs, doc_id, text).drop("row")
-    joined = rows.join(repeated_runs(rows, width), ["one", "two"], "left").select("doc_id", "text", "runs")
+    joined = rows.join(repeated_runs(rows, width, hot_bytes), ["one", "two"], "left").select("doc_id", "text", "runs")
 
     def run(batches):
         for batch in batches:
@@ -348,9 +489,9 @@ def without_repeats(
     return map_batches(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def digests(docs: DataFrame, width: int = WIDTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Counts and the digest of what is kept of every document."""
-    return without_repeats(docs, width).select(
+    return without_repeats(docs, width, hot_bytes=hot_bytes).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -168,6 +170,60 @@ def test_repeats_are_removed(spark, docs, rows):
     )
 
 
+def runs_in_rounds(data, most, width=200, buckets=3):
+    """What the tasks of all rounds find, without Spark."""
+    dealt = list(
+        substrings._cut([pa.record_batch({"one": range(len(data)), "two": range(len(data)), "text": data})], width, buckets)
+    )
+    last, found, used = len(substrings.widenings(width)), [], 0
+    for rounds in range(last + 1):
+        rows = sorted(((b, x) for d in dealt for b, x in zip(d["bucket"], d["blob"], strict=True)), key=lambda r: r[0])
+        if not rows:
+            break
+        used = rounds
+        batch = pa.record_batch({"bucket": [r[0] for r in rows], "blob": [r[1] for r in rows]})
+        hot = []
+        for out in substrings._sort_buckets([batch], width, most if rounds < last else None):
+            for one, start, end, blob in zip(out["one"], out["start"], out["end"], out["blob"], strict=True):
+                if blob is None:
+                    found.append((one, start, end))
+                else:
+                    hot.append(blob)
+        dealt = list(substrings._cut_again([pa.record_batch({"blob": pa.array(hot, pa.binary())})], width, buckets, rounds + 1))
+    return found, used
+
+
+@pytest.mark.parametrize("most", [0, 300, 2000, 1 << 30])
+def test_hot_keys_are_cut_again(most):
+    rng = random.Random(3)
+    noise = ["".join(rng.choices("abcdef ", k=400)) for _ in range(30)]
+    line = "a line that many documents share, word by word, in places of all kinds"
+    data = [p.decode() for p in pieces()] + [n[:200] + line + n[200:] for n in noise]
+    data += [noise[i][100:200] + line + noise[i][200:330] for i in range(8)]
+    found, used = runs_in_rounds(data, most)
+    assert (used > 0) == (most < 1 << 30)
+    want = brute_repeats([t.encode() for t in data])
+    for i, t in enumerate(data):
+        kept, spans = substrings._without(t.encode(), [(a, b) for one, a, b in found if one == i])
+        assert (len(t) - len(kept), spans, kept) == want[i][1:], i
+
+
+def test_keys_grow_to_the_whole_string():
+    at = np.arange(0, 177)
+    for rounds in range(len(substrings.widenings(200)) + 1):
+        low, high = substrings.key_spans(at, np.full(177, 176), 200, rounds)
+        assert (low >= at).all() and (high <= at + 200).all()
+    assert (low == at).all() and (high == at + 200).all()
+
+
+def test_hot_keys_on_tables(docs, rows):
+    want = with_digest(brute_repeats([t.encode() for _, t in texts(rows)]))
+    same_rows(
+        [tuple(r) for r in substrings.digests(docs, hot_bytes=5000).collect()],
+        [(i, *w) for (i, _), w in zip(texts(rows), want, strict=True)],
+    )
+
+
 # -- SimHash -------------------------------------------------------------------
 
 
