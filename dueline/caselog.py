@@ -47,23 +47,22 @@ class CaseLog:
 
     @classmethod
     def of(cls, df: DataFrame, spec: EventLogSpec) -> CaseLog:
-        """Wrap ``df``. No job starts here, and row-wise steps keep every row.
+        """Wrap ``df``. Rows without a case id are left out, as a group key.
 
-        The first step that needs the rows of a case together counts events per
-        case once. Rows without a case id are left out there, as a group key.
+        No job starts here: the first step that needs the rows of a case
+        together counts events per case once.
         """
         lost = spec.missing(df.columns)
         if lost:
             raise ValueError(f"columns missing from the log: {lost}")
-        return cls(spec, df, whole=True)
+        return cls(spec, df.filter(col(spec.case).isNotNull()), whole=True)
 
     def _divide(self) -> None:
         """Part the cases into short and long ones, if that is not done yet."""
         if not self._whole:
             return
         spec = self.spec
-        df = self._short.filter(col(spec.case).isNotNull())
-        self._short, self._whole = df, False
+        df, self._whole = self._short, False
         sizes = (
             df.select(col(spec.case))
             .groupBy(col(spec.case))

@@ -193,6 +193,24 @@ _TEST_CASES = f"""WITH {ORDER_LOG}, {DAYS}, {cut("order_log", HORIZON)},
 t AS (SELECT count(DISTINCT case_id) AS n FROM cut WHERE case_year > 1998)"""
 
 
+_FACTS = "n_scored long, n_unusable long, auc_agrees boolean"
+
+
+def _facts(scores, probability):
+    """How many scores, how many of them unusable, and whether the AUCs agree."""
+    spark = scores.sparkSession
+    path = scratch_path(spark, "scored")
+    write_parquet(scores, path)
+    scored = spark.read.parquet(path)
+    usable = F.col("p").isNotNull() & ~F.isnan("p") & (F.abs("p") < float("inf"))
+    if probability:
+        usable &= F.col("p").between(0, 1)
+    n, bad = scored.agg(F.count("*"), F.count(F.when(~usable, 1))).first()
+    evaluator = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="y", numBins=0)
+    auc = evaluation.roc_auc(scored).first()[0]
+    return n, bad, abs(auc - evaluator.evaluate(scored)) < 1e-5
+
+
 @query(
     "model_checks",
     f"""{_TEST_CASES}
@@ -206,22 +224,12 @@ def model_checks(spark, folder):
     The AUC by ranks has to be that of Spark's evaluator.
     """
     spec, columns, train, test = _sides(spark, folder)
-    evaluator = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="y", numBins=0)
     rows = []
     for name, (classifier, point) in _POINTS.items():
         found = tuning.fit_one(train, spec, columns, classifier, point)
-        path = scratch_path(spark, "scored")
-        write_parquet(tuning.score(found, test, spec), path)
-        scored = spark.read.parquet(path)
-        usable = F.col("p").isNotNull() & ~F.isnan("p") & (F.abs("p") < float("inf"))
-        if classifier != "SVM":
-            usable &= F.col("p").between(0, 1)
-        n, bad = scored.agg(F.count("*"), F.count(F.when(~usable, 1))).first()
-        auc = evaluation.roc_auc(scored).first()[0]
-        rows.append((name, n, bad, abs(auc - evaluator.evaluate(scored)) < 1e-5))
-    return spark.createDataFrame(
-        rows, "classifier string, n_scored long, n_unusable long, auc_agrees boolean"
-    )
+        scored = tuning.score(found, test, spec)
+        rows.append((name, *_facts(scored, probability=classifier != "SVM")))
+    return spark.createDataFrame(rows, f"classifier string, {_FACTS}")
 
 
 @query(
@@ -277,9 +285,15 @@ def wide_features(spark, folder):
     return rounded(long.withColumn("size", F.lit(slots.size)))
 
 
-@query("model_wide")
+@query(
+    "model_wide",
+    f"""{_TEST_CASES}
+SELECT n AS n_scored, CAST(0 AS BIGINT) AS n_unusable, TRUE AS auc_agrees FROM t""",
+)
 def model_wide(spark, folder):
-    """Logistic regression on sparse vectors; slots are those of the training cases."""
+    """Logistic regression on sparse vectors, whose slots are those of the training
+    cases, checked like the other models.
+    """
     log = labelled_orders(spark, folder).with_spec(**_WIDE)
     log = cut_before_deadline(log, HORIZON)
     train_ids, test_ids = year_split(spark, folder, log.spec)
@@ -288,7 +302,8 @@ def model_wide(spark, folder):
     rows = sparse.encode_sparse(train, log.spec, slots)
     found = tuning.fit_one(rows, log.spec, [sparse.FEATURES], "LogisticRegression", {"C": 0.1})
     test = sparse.encode_sparse(log.keep_cases(test_ids).df, log.spec, slots)
-    return tuning.score(found, test, log.spec)
+    facts = _facts(tuning.score(found, test, log.spec), probability=True)
+    return spark.createDataFrame([facts], _FACTS)
 
 
 @query("grid_search")

@@ -72,8 +72,7 @@ def test_row_wise_steps_start_no_job(spark, make_log):
     assert "Exchange" not in plan
     assert not context.statusTracker().getJobIdsForGroup("narrow")
     context.setLocalProperty("spark.jobGroup.id", None)
-    # The row without a case stays until its case is needed.
-    assert kept.df.count() == 2 and kept.in_order(number="n").df.count() == 1
+    assert kept.df.count() == 1 and kept.in_order(number="n").df.count() == 1
 
 
 def test_sweep_of_an_empty_horizon(spark):

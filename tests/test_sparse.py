@@ -28,8 +28,8 @@ def by_name(rows, log, slots):
 def test_values_and_slots(make_log):
     log = make_log(ROWS, EXTRA, **ROLES)
     slots = sparse.learn_slots(log.df, log.spec)
-    # Five numbers; x, a literal nan and null; p, q and null; the same as flags.
-    assert slots.size == 5 + 3 + 3 + 3
+    # Five numbers; x, a literal nan and null; p and null; the same as flags.
+    assert slots.size == 5 + 3 + 2 + 2
     rows = sparse.encode_sparse(log.df, log.spec, slots)
     got = by_name(rows, log, slots)
     assert got[("a", 0, "v", "sum")] == 2 and got[("a", 0, "v", "max")] == 2
