@@ -164,7 +164,7 @@ def packed(
     """
 
     def run(batches):
-        table = library_table(path, WORD_PATTERN, space_counts=False)
+        table = library_table(path, WORD_PATTERN, space_counts=False, added=True)
         end = np.array([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 40
         ids, codes, tokens, sequences, groups = [], [], 0, 0, 0

@@ -193,7 +193,7 @@ def write_ids(
     )
 
     def run(batches):
-        table = library_table(path, pattern, space_counts=True)
+        table = library_table(path, pattern, space_counts=True, added=True)
         end = np.array([end_id], "<u4").tobytes()
         files, current, ids, codes, tokens = None, None, [], [], 0
 

@@ -14,10 +14,14 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
+from typing import TYPE_CHECKING
 
 import numpy as np
 import regex
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 #: White_Space characters as tokenizers' patterns take them (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -75,6 +79,8 @@ class WordTable:
     ``encode`` gives the ids of each distinct match as uint32 bytes. With
     ``space_counts`` white space belongs to the word after it, and texts are cut
     where white space begins; else ASCII white space is dropped between words.
+    ``added`` has the ids of strings that are looked for in the raw text before
+    anything else; what is between them is encoded as texts of their own.
     """
 
     def __init__(
@@ -83,8 +89,12 @@ class WordTable:
         pattern: str,
         space_counts: bool,
         prepare: Callable[[str], str] | None = None,
+        added: dict[str, int] | None = None,
     ):
         self.pattern, self.space_counts, self.prepare = spelled_out(pattern), space_counts, prepare
+        self.added = added or {}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.apart = regex.compile(f"({'|'.join(map(regex.escape, longest))})")
         self.encode, self.matches, self.words = encode, Recent(encode), Recent(self._words)
         self._clear()
 
@@ -189,6 +199,21 @@ class WordTable:
 
     def codes(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
+        split = {i: self.apart.split(t) for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        if not split:
+            return self._plain(texts)
+        pieces = [split[i][::2] if i in split else [t] for i, t in enumerate(texts)]
+        code = iter(self._plain(list(chain.from_iterable(pieces))))
+        out = []
+        for i in range(len(texts)):
+            ids = [next(code)]
+            for a in split.get(i, ())[1::2]:
+                ids += [np.array([self.added[a]], np.uint32), next(code)]
+            out.append(np.concatenate(ids) if i in split else ids[0])
+        return out
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts in which no added token is looked for."""
         out: list = [None] * len(texts)
         fast, raw = [], []
         for i, t in enumerate(texts):
@@ -254,17 +279,31 @@ def byte_letters() -> list[str]:
     return [chr(b if b in visible else next(others)) for b in range(256)]
 
 
-_LOADED: dict[tuple[str, str], WordTable] = {}
+_LOADED: dict[tuple[str, str, bool], WordTable] = {}
+
 
+def added_tokens(tokenizer: Tokenizer) -> dict[str, int]:
+    """Ids of a tokenizer's added tokens, which stand for themselves in raw text."""
+    found = tokenizer.get_added_tokens_decoder()
+    for t in found.values():
+        if t.normalized or t.single_word or t.lstrip or t.rstrip:
+            raise ValueError(f"added token {t.content!r} is not looked for as it stands in raw text")
+    return {t.content: i for i, t in found.items()}
 
-def library_table(path: str, pattern: str, space_counts: bool) -> WordTable:
-    """Texts encoded by the tokenizers library from a file, each distinct match once."""
-    if (path, pattern) not in _LOADED:
+
+def library_table(path: str, pattern: str, space_counts: bool, added: bool = False) -> WordTable:
+    """Texts encoded by the tokenizers library from a file, each distinct match once.
+
+    With ``added`` a literal added token in a text gets its id, as by the library's
+    default; else it is text like any other (``encode_special_tokens``).
+    """
+    if (path, pattern, added) not in _LOADED:
         from tokenizers import Tokenizer
 
         # White space, case and normal form are settled before; the library's model
         # gets matches in the letters that stand for bytes.
-        tokenize = Tokenizer.from_file(path).model.tokenize
+        tokenizer = Tokenizer.from_file(path)
+        tokenize = tokenizer.model.tokenize
         letters = byte_letters()
         visible = regex.compile(r" ?[!-~]+").fullmatch
 
@@ -276,7 +315,11 @@ def library_table(path: str, pattern: str, space_counts: bool) -> WordTable:
                     m = "".join([letters[b] for b in m.encode("utf-8", "surrogatepass")])
                 yield array("I", [t.id for t in tokenize(m)]).tobytes()
 
-        _LOADED[path, pattern] = WordTable(
-            encode, pattern, space_counts, None if space_counts else _caseless
+        _LOADED[path, pattern, added] = WordTable(
+            encode,
+            pattern,
+            space_counts,
+            None if space_counts else _caseless,
+            added_tokens(tokenizer) if added else None,
         )
-    return _LOADED[path, pattern]
+    return _LOADED[path, pattern, added]

@@ -63,6 +63,41 @@ def test_word_tables_give_the_librarys_ids(path, pattern, space):
         assert tokenizer.encode(text, add_special_tokens=False).ids == ids.tolist(), repr(text)
 
 
+@pytest.mark.parametrize(
+    ("path", "pattern", "space"), [(BYTE_LEVEL, PATTERN, True), (WORD_LEVEL, WORD_PATTERN, False)]
+)
+def test_added_tokens_get_their_ids_as_by_default(path, pattern, space):
+    tokenizer = Tokenizer.from_file(path)
+    r = random.Random(8)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "\n", "aB", "'s", "é", "́", "Σ", "\x85"]
+    odd = [*odd_texts(), *("".join(r.choices(parts, k=r.randrange(9))) for _ in range(1500))]
+    table = library_table(path, pattern, space, added=True)
+    for text, ids in zip(odd, table.codes(odd), strict=True):
+        assert tokenizer.encode(text, add_special_tokens=False).ids == ids.tolist(), repr(text)
+
+
+def literal_docs(spark):
+    rows = [(1, "a <|endoftext|> x"), (2, "b<|startoftext|><|endoftext|>"), (3, "plain")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_packed_literals_of_added_tokens(spark):
+    rows, df = literal_docs(spark)
+    tokenizer = Tokenizer.from_file(WORD_LEVEL)
+    want = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+    assert {r.doc_id: r.doc_tokens for r in packing.packed(df, WORD_LEVEL).collect()} == want
+
+
+def test_files_with_literals_of_added_tokens(spark):
+    rows, df = literal_docs(spark)
+    tokenizer, want, start = Tokenizer.from_file(BYTE_LEVEL), [], 0
+    for i, t in rows:
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    same_rows([tuple(r) for r in repair.written_and_read(df, BYTE_LEVEL, PATTERN).collect()], want)
+
+
 def test_round_trip_of_documents(docs, rows, library):
     want = []
     for i, t in texts(rows):
