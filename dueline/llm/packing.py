@@ -5,11 +5,14 @@ shuffle, so every id is encoded once and goes nowhere:
 
 * A document's ids are cut into full windows of the longest tier; the rest is
   routed to the shortest tier that holds it.
-* Each tier is packed longest first. The gap a rest leaves in its window is
-  filled with the longest waiting rest that fits, of whatever tier; if none
-  fits, with the first part of the shortest rest that is longer than the gap.
-* What is left when the partition ends is laid end to end and cut at powers of
-  two, so that the last sequences need no padding either.
+* Each tier is packed into sequences of its own length, the longest tier first.
+  A sequence opens with the longest rest of its tier; the gap is filled with the
+  longest waiting rest that fits, of this tier or a shorter one. If none fits,
+  it takes the first part of the shortest rest that is longer than the gap, and
+  what remains of that is routed anew.
+* When less than a sequence of a tier is waiting in all, it goes to the shorter
+  tiers; less than one of the shortest is laid end to end and cut at powers of
+  two. So no sequence needs padding.
 * Sequences of one block and length are dealt to step groups of about
   ``STEP_TOKENS`` tokens, costliest first and back and forth, so the steps of a
   group cost about the same; the cost of a sequence is the sum of the squares of
@@ -49,18 +52,21 @@ class Rests:
     def __init__(self) -> None:
         self.lengths: list[int] = []  # sorted, those with at least one rest
         self.of: dict[int, list[tuple[int, int]]] = {}
+        self.total = 0  # ids
 
     def add(self, doc: int, start: int, length: int) -> None:
         if length not in self.of:
             self.of[length] = []
             insort(self.lengths, length)
         self.of[length].append((doc, start))
+        self.total += length
 
     def take(self, length: int) -> tuple[int, int, int]:
         doc, start = self.of[length].pop()
         if not self.of[length]:
             del self.of[length]
             del self.lengths[bisect_left(self.lengths, length)]
+        self.total -= length
         return doc, start, length
 
     def longest(self, most: int) -> int:
@@ -69,8 +75,8 @@ class Rests:
         return self.lengths[i - 1] if i else 0
 
     def shortest_over(self, least: int) -> int:
-        i = bisect_left(self.lengths, least + 1)
-        return self.lengths[i] if i < len(self.lengths) else 0
+        """Smallest waiting length above ``least``; there must be one."""
+        return self.lengths[bisect_left(self.lengths, least + 1)]
 
 
 def tier_of(length: int, tiers: tuple[int, ...] = TIERS) -> int:
@@ -80,7 +86,8 @@ def tier_of(length: int, tiers: tuple[int, ...] = TIERS) -> int:
 def pack(lengths: list[int], window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> list[list]:
     """Sequences of pieces (document, start, length) for documents of a block.
 
-    Every sequence is full or as long as a power of two.
+    Every sequence is as long as a tier, but for a last few whose lengths are
+    powers of two. The longest tier is ``window``.
     """
     out, rests = [], Rests()
     for doc, n in enumerate(lengths):
@@ -88,37 +95,27 @@ def pack(lengths: list[int], window: int = WINDOW, tiers: tuple[int, ...] = TIER
             out.append([(doc, start, window)])
         if n % window:
             rests.add(doc, n - n % window, n % window)
-    for low in [*tiers[-2::-1], 0]:  # the longest tier first
-        while rests.lengths and rests.lengths[-1] > low:
-            # Short tiers fill what is left of long windows; they open one of
-            # their own only when no longer rest is waiting.
-            if not _fill(out, rests, window):
-                break
+    sizes = [0, *sorted(t for t in tiers if t < window), window]
+    for below, tier in zip(sizes[-2::-1], sizes[:0:-1], strict=True):
+        while rests.total >= tier and rests.lengths[-1] > below:
+            out.append(_filled(rests, tier))
     out += _powers_of_two(rests)
     return out
 
 
-def _fill(out: list, rests: Rests, window: int) -> bool:
-    """Fill one window from the longest rest; False if too little is waiting."""
-    few = len(rests.lengths) ** 2 <= 2 * window  # else lengths 1, 2, .. fill it anyway
-    if few and sum(n * len(x) for n, x in rests.of.items()) < window:
-        return False
-    pieces, gap = [], window
+def _filled(rests: Rests, tier: int) -> list[tuple[int, int, int]]:
+    """Pieces of one full sequence; at least ``tier`` ids must be waiting."""
+    pieces, gap = [], tier
     while gap:
         if fits := rests.longest(gap):
             pieces.append(rests.take(fits))
             gap -= fits
-        elif longer := rests.shortest_over(gap):
-            doc, start, n = rests.take(longer)
+        else:
+            doc, start, n = rests.take(rests.shortest_over(gap))
             pieces.append((doc, start, gap))
             rests.add(doc, start + gap, n - gap)
             gap = 0
-        else:
-            for p in pieces:
-                rests.add(*p)
-            return False
-    out.append(pieces)
-    return True
+    return pieces
 
 
 def _powers_of_two(rests: Rests) -> list[list]:
@@ -139,14 +136,15 @@ def _powers_of_two(rests: Rests) -> list[list]:
     return out
 
 
-def step_groups(sequences: list[list]) -> list[tuple[int, int]]:
+def step_groups(sequences: list[list], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, int]]:
     """(tier, group) of each sequence: groups of one tier, alike in cost."""
     sizes = [sum(n for _, _, n in s) for s in sequences]
     costs = [sum(n * n for _, _, n in s) for s in sequences]
     out: list[tuple[int, int]] = [(0, 0)] * len(sequences)
     base = 0
-    for tier in sorted(set(map(tier_of, sizes))):
-        mine = [i for i, n in enumerate(sizes) if tier_of(n) == tier]
+    tier_by = [tier_of(n, tiers) for n in sizes]
+    for tier in sorted(set(tier_by)):
+        mine = [i for i, t in enumerate(tier_by) if t == tier]
         groups = -(-len(mine) * tier // STEP_TOKENS)
         for k, i in enumerate(sorted(mine, key=lambda i: -costs[i])):
             turn, place = divmod(k, groups)

@@ -6,7 +6,7 @@ import base64
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -163,6 +163,27 @@ def test_pack_loses_nothing(n):
     assert sorted(spans) == list(range(n))
 
 
+def sizes_of(sequences):
+    return Counter(sum(n for _, _, n in s) for s in sequences)
+
+
+def test_each_tier_is_packed_into_its_own_length():
+    assert set(sizes_of(packing.pack([100] * 1280))) == {128}
+    assert set(sizes_of(packing.pack([700] * 1024))) == {1024}
+    assert set(sizes_of(packing.pack([100] * 2048, tiers=(1024, 2048)))) >= {1024}
+    assert 2048 not in sizes_of(packing.pack([100] * 2048, tiers=(1024, 2048)))
+    assert set(sizes_of(packing.pack([100] * 2048, tiers=(2048,)))) == {2048}
+    mixed = packing.pack([100] * 5000 + [400] * 1000 + [1900] * 10)
+    assert {128, 512, 2048} <= set(sizes_of(mixed))
+    assert {128, 512, 2048} <= {tier for tier, _ in packing.step_groups(mixed)}
+
+
+def test_gaps_of_long_sequences_are_filled_from_shorter_tiers():
+    sequences = packing.pack([1900, 100, 48] * 7)
+    assert sizes_of(sequences) == {2048: 7}
+    assert all(sorted(n for _, _, n in s) == [48, 100, 1900] for s in sequences)
+
+
 def test_step_groups_are_of_one_tier():
     sequences = packing.pack([900, 1500, 30, 4000, 2048, 77] * 30)
     groups = defaultdict(list)
