@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dueline.models import evaluation, tuning
@@ -308,9 +311,14 @@ def model_wide(spark, folder):
 
 @query("grid_search")
 def grid_search(spark, folder):
-    """Ranked results of the whole logistic regression grid in five folds."""
+    """Ranked results of all six grids in five folds."""
     spec, columns, train, _ = _sides(spark, folder)
-    return tuning.grid_search(train, spec, columns, "LogisticRegression").results(spark)
+    tables = [
+        tuning.grid_search(train, spec, columns, c).results(spark).withColumn("classifier", F.lit(c))
+        for c in tuning.PARAM_GRIDS
+    ]
+    names = ["classifier", "params", "mean_test_score", "rank_test_score"]
+    return reduce(DataFrame.unionByName, tables).select(names).orderBy("classifier", "rank_test_score", "params")
 
 
 @query("model_roundtrip")
@@ -328,15 +336,8 @@ def model_roundtrip(spark, folder):
 
 @query("experiment")
 def experiment(spark, folder):
-    """Test AUC of two classifiers at two horizons."""
+    """Test AUC of all classifiers of the experiment at all horizons, whole grids in five folds."""
     log = labelled_orders(spark, folder)
     train_ids, test_ids = year_split(spark, folder, log.spec)
-    grids = {
-        "LogisticRegression": {"C": [0.01, 1]},
-        "DecisionTree": {"max_depth": [3, 5], "min_samples_leaf": [2]},
-    }
-    results = run_experiment(
-        log, train_ids, test_ids, scratch_path(spark, "experiment"), tuple(grids), (0, HORIZON),
-        grids, folds=3,
-    )
+    results = run_experiment(log, train_ids, test_ids, scratch_path(spark, "experiment"))
     return results.select("Classifier", "timediff", "AUC").orderBy("Classifier", F.col("timediff"))

@@ -1,9 +1,12 @@
 """Training has no oracle: ranges, repeatability and agreement of the AUCs."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
 from dueline.models import evaluation, tuning
+from dueline.plans import experiment, model_queries
 from dueline.plans.case_queries import labelled_orders, year_split
 from dueline.plans.experiment import run_experiment
 from dueline.plans.workflow import train_test_rows
@@ -67,3 +70,54 @@ def test_experiment(spark, sides, folder, tmp_path):
     rows = {r["timediff"]: r["AUC"] for r in got.collect()}
     # Nothing is left so long before the deadline.
     assert 0 <= rows[0] <= 1 and rows[4000] is None
+
+
+def test_second_run_reads_the_tables_of_horizons(spark, sides, folder, tmp_path, monkeypatch):
+    log, columns, *_ = sides
+    ids = year_split(spark, folder, log.spec)
+    grids = {"DecisionTree": {"max_depth": [2]}}
+
+    def run():
+        return run_experiment(log, *ids, str(tmp_path), ("DecisionTree",), (5,), grids, folds=2).collect()
+
+    first = run()
+    saved = spark.read.parquet(f"{tmp_path}/05_train").columns
+    assert [c for c in saved if c not in (log.spec.case, "y")] == columns
+
+    def built(*args, **more):
+        raise AssertionError("built anew")
+
+    with monkeypatch.context() as m:
+        m.setattr(experiment, "train_test_rows", built)
+        assert run() == first
+        (tmp_path / "05_test" / "_SUCCESS").unlink()
+        with pytest.raises(AssertionError, match="built anew"):
+            run()
+
+
+def test_registered_searches_are_whole(spark, sides, folder, monkeypatch):
+    log, columns, train, test = sides
+    asked = []
+
+    def search(rows, spec, features, classifier, grid=None, label="y", folds=5, parallelism=2):
+        settings = tuning.spark_grid(classifier, grid or tuning.PARAM_GRIDS[classifier], 1000, 20)
+        asked.append((classifier, len(settings), folds))
+        return tuning.Search(None, features, settings, [0.5] * len(settings))
+
+    whole = {
+        "RandomForest": 6, "XGBoost": 32, "LogisticRegression": 4, "DecisionTree": 48, "SVM": 4, "MLP": 5,
+    }
+    monkeypatch.setattr(tuning, "grid_search", search)
+    monkeypatch.setattr(model_queries, "_sides", lambda spark, folder: (log.spec, columns, train, test))
+    rows = model_queries.grid_search(spark, "").collect()
+    assert sorted(asked) == sorted((c, n, 5) for c, n in whole.items()) and len(rows) == 99
+
+    asked.clear()
+    one = spark.createDataFrame([(0.5,)], "auc double")
+    monkeypatch.setattr(experiment, "grid_search", search)
+    monkeypatch.setattr(experiment, "score", lambda *a: None)
+    monkeypatch.setattr(experiment, "roc_auc", lambda *a: one)
+    monkeypatch.setattr(experiment, "train_test_rows", lambda *a, **m: SimpleNamespace(train=train, test=test))
+    got = {(r["Classifier"], r["timediff"]) for r in model_queries.experiment(spark, folder).collect()}
+    assert got == {(c, h) for c in experiment.CLASSIFIERS for h in range(15)}
+    assert asked == [(c, whole[c], 5) for _ in range(15) for c in experiment.CLASSIFIERS]
