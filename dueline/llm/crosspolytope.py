@@ -116,7 +116,7 @@ def classes_of(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> t
     return marked.select("vec_id", "class"), classes
 
 
-_MEET = "key long, class long, copies long, at int, probe int, codes binary, vector binary"
+_MEET = "key long, class long, copies long, label long, at int, probe int, codes binary, vector binary"
 
 
 def _placed(classes: DataFrame) -> DataFrame:
@@ -134,31 +134,32 @@ def _placed(classes: DataFrame) -> DataFrame:
                 packed = [c.tobytes() for c in codes]
                 # As floats of the input or doubles: no digit is lost.
                 values = [np.array(r, np.float64).tobytes() for r in raw]
-                group = groups.to_numpy()[at]
+                label = groups.to_numpy()[at]
                 for t in range(tables):
                     for p in range(probes):
-                        mixed = (group * 31 + t * 7919 + dim * 104729) * 1000003 + codes[:, t, p]
+                        mixed = (label * 31 + t * 7919 + dim * 104729) * 1000003 + codes[:, t, p]
                         yield {
                             "key": mixed,
                             "class": ids.to_numpy()[at],
                             "copies": copies.to_numpy()[at],
+                            "label": label,
                             "at": np.full(n, t),
                             "probe": np.full(n, p),
                             "codes": packed,
                             "vector": values,
                         }
 
-    slim = classes.select(
-        "class", "copies", F.col("embedding").cast("array<double>"), F.pmod(F.xxhash64("label"), F.lit(1 << 20))
-    )
+    slim = classes.select("class", "copies", F.col("embedding").cast("array<double>"), F.xxhash64("label"))
     return map_batches(slim, run, _MEET)
 
 
 def _bucket_links(rows: list[tuple], similarity: float) -> dict | None:
     """Link counts and a forest for the rows of one bucket or pair of blocks."""
-    _, ids, copies, tables, probes, codes, values, blocks, one, two = zip(*rows, strict=True)
+    _, ids, copies, labels, tables, probes, codes, values, blocks, one, two = zip(*rows, strict=True)
     ids, copies, probe = np.array(ids), np.array(copies), np.array(probes)
-    # A key stands for one table but for a clash of hashes; clashes are told by the codes.
+    # A key stands for one label and table but for a clash of hashes; clashes are
+    # told by the whole hash of the label and by the codes.
+    label = np.array(labels)
     table, block = np.array(tables), np.array(blocks)
     x = unit([np.frombuffer(v) for v in values])
     code = np.stack([np.frombuffer(c, np.int64).reshape(TABLES, -1) for c in codes])
@@ -170,6 +171,7 @@ def _bucket_links(rows: list[tuple], similarity: float) -> dict | None:
         i = mine[i]
         # Two own rows once; an own row with the probing rows of others.
         good = (ids[i] != ids[j]) & ((probe[j] > 0) | (ids[i] < ids[j])) & (table[i] == table[j])
+        good &= label[i] == label[j]
         good &= (block[i] != block[j]) | (one[0] == two[0])
         lefts.append(i[good])
         rights.append(j[good])
@@ -221,7 +223,7 @@ def links(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         held, current = [], None
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                mark = (row[0], row[8], row[9])
+                mark = (row[0], row[9], row[10])
                 if mark != current:
                     if len(held) > 1 and (found := _bucket_links(held, similarity)):
                         yield found

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dueline.llm import crosspolytope, kdtree, simhash, substrings, suffixes, warc
@@ -318,6 +319,28 @@ def test_vectors(spark, monkeypatch, most):
     assert crosspolytope.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_labels_whose_hashes_are_alike_are_not_linked(spark):
+    labels = spark.range(20_000).select(F.col("id").cast("int").alias("label"))
+    group = F.pmod(F.xxhash64("label"), F.lit(1 << 20))
+    alike = labels.groupBy(group).agg(F.collect_list("label").alias("labels")).filter(F.size("labels") > 1)
+    found = [([1.0, 2.0, 3.0, float(k)], x) for r in alike.collect() for x in r.labels for k in range(2)]
+    data = [(i, *row) for i, row in enumerate(found)]
+    assert len(data) > 100
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+    same_rows([tuple(r) for r in crosspolytope.near_duplicates(df).collect()], brute_vectors(data))
+
+
+def test_rows_of_one_key_are_linked_by_label():
+    x = np.array([1.0, 2.0, 3.0, 4.0])
+    codes = crosspolytope.buckets(crosspolytope.unit([x]))[0].tobytes()
+
+    def bucket(*labels):
+        return [(7, i, 1, label, 0, 0, codes, x.tobytes(), 0, 0, 0) for i, label in enumerate(labels)]
+
+    assert crosspolytope._bucket_links(bucket(5, 6), 0.93) is None
+    assert crosspolytope._bucket_links(bucket(5, 6, 5), 0.93)["class"].tolist() == [0, 2]
+
+
 def test_recall_of_real_vectors(spark, folder):
     df = spark.read.parquet(f"{folder}/embeddings.parquet")
     got = sum(r.n_links for r in crosspolytope.near_duplicates(df).collect())
