@@ -98,6 +98,10 @@ def train_machine(x: np.ndarray, y: np.ndarray, penalty: float = _PENALTY) -> np
     return w
 
 
+def has_letters(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 @dataclass
 class Machines:
     """Weights by family and by pair of languages."""
@@ -108,7 +112,7 @@ class Machines:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         out, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+        some = [i for i, t in enumerate(texts) if has_letters(t)]
         if not some or not self.members:
             return out, scores
         x = features([texts[i] for i in some])
@@ -233,14 +237,21 @@ def identified(docs: DataFrame) -> DataFrame:
 def with_known_language(
     docs: DataFrame, machines: Machines, text: str = "text", least: float = 0.0
 ) -> DataFrame:
-    """Rows of ``docs``, all columns, that have a language with more than this score."""
+    """Rows of ``docs``, all columns, that have a language with more than this score.
+
+    Rows without letters have none. If nothing was learned, all others stay.
+    """
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def keep(batches):
         for batch in batches:
-            langs, scores = machines.predict(batch.column(at).to_pylist())
-            mask = [x != UNKNOWN and s > least for x, s in zip(langs, scores, strict=True)]
+            texts = batch.column(at).to_pylist()
+            _, scores = machines.predict(texts)
+            mask = [
+                has_letters(t) and (not machines.members or s > least)
+                for t, s in zip(texts, scores, strict=True)
+            ]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -15,6 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from corpus_pipeline import language_id
 from dueline.llm import bpe, fingerprints, langid, packing, repair
 from dueline.llm.queries import BYTE_LEVEL, QUERIES, RANKS, WORD_LEVEL
 from dueline.llm.words import WORD_PATTERN, library_table
@@ -267,6 +268,15 @@ def test_languages_learned_from_few(spark):
     }
 
 
+def test_texts_with_letters_stay_whatever_was_learned(spark):
+    schema = "doc_id long, text string, lang string"
+    none = spark.createDataFrame([(1, "some text", None), (2, "1 2", None), (3, None, None)], schema)
+    for stage in (langid.with_known_language(none, langid.train(none)), language_id(spark, none, "")):
+        assert [r.doc_id for r in stage.collect()] == [1]
+    und = spark.createDataFrame([(3, "some text", "und"), (4, "1 2", "und")], schema)
+    assert [r.doc_id for r in langid.with_known_language(und, langid.train(und)).collect()] == [3]
+
+
 def test_lang_and_source_are_no_inputs(docs):
     machines = langid.train(docs)
     other = docs.withColumn("lang", F.lit("zz")).withColumn("source", F.lit("zz"))
