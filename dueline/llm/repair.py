@@ -2,8 +2,8 @@
 
 Texts are encoded in ascending doc_id order and their ids written in frames.
 A frame is compressed by itself: again and again its most frequent pairs of
-symbols are replaced by nonterminals, a batch of pairs per round, until pairs
-become rare. Pairs never cross the end of a document. A frame holds its rules,
+symbols are replaced by nonterminals, a batch of pairs per round, until no pair
+stands ``LEAST_COUNT`` times. Pairs never cross the end of a document. A frame holds its rules,
 the length each nonterminal expands to, where each document starts in ids and in
 symbols, and the symbols; so one document, or a range of its ids, is decoded
 without the others (``Frame.ids``).
@@ -29,7 +29,6 @@ from dueline.llm.words import in_parts, library_table
 
 FRAME_TOKENS = 1_000_000
 ROLL_BYTES = 16 << 20
-ROUNDS = 8
 PAIRS_A_ROUND = 256
 #: A pair has to save more symbols than its rule takes.
 LEAST_COUNT = 16
@@ -45,19 +44,22 @@ def grammar(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarr
     last[ends] = True
     rules: list[np.ndarray] = []
     count = 0
-    for _ in range(ROUNDS):
+    while True:
         slot = (symbols[:-1] * _LEFT + symbols[1:] * _RIGHT) >> _SHIFT
-        slot[last[:-1]] = 0
-        counts = np.bincount(slot, minlength=1 << _SLOTS)
-        counts[0] = 0
+        slot[last[:-1]] = 1 << _SLOTS  # a slot of its own, that is never full
+        counts = np.bincount(slot, minlength=(1 << _SLOTS) + 1)
+        counts[-1] = 0
         floor = max(LEAST_COUNT, np.partition(counts, -PAIRS_A_ROUND)[-PAIRS_A_ROUND])
-        at = np.flatnonzero((counts >= floor)[slot])
-        if not len(at):
-            break
-        pair = symbols[at].astype(np.int64) << 32 | symbols[at + 1]
-        found, inverse, exact = np.unique(pair, return_inverse=True, return_counts=True)
-        best = np.argsort(-exact, kind="stable")[:PAIRS_A_ROUND]
-        best = best[exact[best] >= LEAST_COUNT]
+        # Full slots may hold nothing but rare pairs; then all others are looked at.
+        for floor in (floor, LEAST_COUNT):
+            at = np.flatnonzero((counts >= floor)[slot])
+            pair = symbols[at].astype(np.int64) << 32 | symbols[at + 1]
+            found, inverse, exact = np.unique(pair, return_inverse=True, return_counts=True)
+            best = np.argsort(-exact, kind="stable")
+            # Also those as frequent as the last of them.
+            best = best[exact[best] >= max([LEAST_COUNT, *exact[best[:PAIRS_A_ROUND][-1:]]])]
+            if len(best) or floor == LEAST_COUNT:
+                break
         if not len(best):
             break
         name = np.full(len(found), -1)

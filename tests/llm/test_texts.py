@@ -232,6 +232,17 @@ def test_frames_decode_at_random():
     assert wide.ids(0).tolist() == [70000, 2]
 
 
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(5)
+    text = rng.integers(0, 3000, 5000)
+    for ids in (np.zeros(100_000, int), np.tile(text, 20), rng.zipf(1.3, 60_000) % 3000):
+        rules, symbols, last = repair.grammar(ids.astype("<u4"), np.array([len(ids) - 1]), 3000)
+        left = symbols[:-1].astype(int) << 32 | symbols[1:]
+        assert np.unique(left, return_counts=True)[1].max(initial=0) < repair.LEAST_COUNT
+        one = repair.Frame(repair.frame([1], [ids.astype("<u4").tobytes()], 3000))
+        assert (one.all_ids() == ids).all()
+
+
 def test_files_of_ids(docs, rows):
     tokenizer = Tokenizer.from_file(BYTE_LEVEL)
     tokenizer.encode_special_tokens = True
