@@ -122,7 +122,14 @@ def map_batches(
 def running_position(
     df: DataFrame, group: list[str], keys: list[Column], size: Column, name: str
 ) -> DataFrame:
-    """``df`` with the sum of ``size`` over the rows before this one in its group.
+    """``df`` with the sum of ``size`` over the rows before this one in its group."""
+    return running_sums(df, group, keys, {name: size})
+
+
+def running_sums(
+    df: DataFrame, group: list[str], keys: list[Column], sizes: dict[str, Column]
+) -> DataFrame:
+    """``df`` with sums over the rows before this one in its group, by name.
 
     Rows are cut into ranges of (group, keys), written, and summed inside their
     range; what lies before a range comes from one row per group and range. No
@@ -134,16 +141,16 @@ def running_position(
     ranged = df.repartitionByRange(partitions(spark), *by_group, *keys)
     cut = staged(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*by_group, "_range").agg(F.sum(size).alias("_size"))
+    totals = cut.groupBy(*by_group, "_range").agg(*[F.sum(s).alias(f"_size_{n}") for n, s in sizes.items()])
     before = totals.select(
         *[F.col(g).alias(f"_key_{g}") for g in group],
         F.col("_range").alias("_key"),
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_below"),
+        *[F.coalesce(F.sum(f"_size_{n}").over(earlier), F.lit(0)).alias(f"_below_{n}") for n in sizes],
     )
     same = F.col("_range") == F.col("_key")
     for g in group:
         same = same & (F.col(g) == F.col(f"_key_{g}"))
     inside = Window.partitionBy(*group, "_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    local = F.coalesce(F.sum(size).over(inside), F.lit(0))
-    joined = cut.join(before, same).withColumn(name, F.col("_below") + local)
-    return joined.select(*df.columns, name)
+    local = {n: F.coalesce(F.sum(s).over(inside), F.lit(0)) for n, s in sizes.items()}
+    joined = cut.join(before, same)
+    return joined.select(*df.columns, *[(F.col(f"_below_{n}") + v).alias(n) for n, v in local.items()])

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dueline.llm import (
     bpe,
+    cascade,
     crosspolytope,
+    divergence,
     fingerprints,
     kdtree,
     langid,
     packing,
+    prefix_trie,
     repair,
     simhash,
     substrings,
@@ -46,9 +49,15 @@ QUERIES = {
     "op8_simhash": _on("documents", simhash.near_duplicates),
     "op9_cross_polytope": _on("embeddings", crosspolytope.near_duplicates),
     "op10_language_id": _on("documents", langid.identified),
+    "op11_prefix_trie": _on("conversations", prefix_trie.families),
+    "op12_quality_cascade": _on("documents", cascade.verdicts),
+    "op13_source_divergence": _on("documents", divergence.audited),
 }
 
 SQL = {
+    "op11_prefix_trie": prefix_trie.SQL,
+    "op12_quality_cascade": cascade.SQL,
+    "op13_source_divergence": divergence.SQL,
     "op5_warc": """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
