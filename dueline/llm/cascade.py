@@ -64,19 +64,24 @@ def repeated_words(words: Column, hashes: Column) -> Column:
     """Words in windows that stand twice or more in the text, the first included.
 
     Equal windows have equal hashes, so if all hashes differ nothing repeats. Else
-    the windows themselves are sorted with their places, equal neighbours are kept
-    and the words they cover counted from left to right.
+    hashes, words and places are sorted, equal neighbours are kept and the words they
+    cover counted from left to right.
     """
     n = F.size(words)
+    ends = [str(k) for k in range(WINDOW + 1)]
 
     def covered(ordered: Column) -> Column:
         def alike(e: Column, i: Column) -> Column:
             def same(j: Column) -> Column:
-                return F.coalesce(F.get(ordered, j)["0"] == e["0"], F.lit(False))
+                other = F.get(ordered, j)
+                equal = other["0"] == e["0"]
+                for k in ends[1:]:
+                    equal = equal & (other[k] == e[k])
+                return F.coalesce(equal, F.lit(False))
 
             return same(i - 1) | same(i + 1)
 
-        places = F.sort_array(F.transform(F.filter(ordered, alike), lambda e: e["1"]))
+        places = F.sort_array(F.transform(F.filter(ordered, alike), lambda e: e[str(WINDOW + 1)]))
         start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("end"))
 
         def add(done: Column, place: Column) -> Column:
@@ -87,7 +92,10 @@ def repeated_words(words: Column, hashes: Column) -> Column:
 
         return F.aggregate(places, start, add, lambda done: done["words"])
 
-    placed = F.arrays_zip(_windows(words, n), F.sequence(F.lit(1), n - (WINDOW - 1)))
+    # One flat struct: Spark compares its fields in order, mostly the hash alone.
+    last = n - (WINDOW - 1)
+    slices = [F.slice(words, k + 1, last) for k in range(WINDOW)]
+    placed = F.arrays_zip(F.slice(hashes, 1, last), *slices, F.sequence(F.lit(1), last))
     exact = _let(F.sort_array(placed), covered)
     return (
         F.when(n <= WINDOW, 0).when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(exact)
@@ -142,20 +150,19 @@ def text_rules(text: str = "text") -> list[Rule]:
     """Rules for running prose, on the features and on the text itself."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     n = F.col("n_words")
-    lines = F.filter(F.split(body, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
-    wordless = F.size(F.filter(words_of(body), lambda w: ~F.rlike(w, F.lit(r"\p{L}"))))
 
-    def most(found: Column, share: int) -> Column:
-        """True if more than ``share`` percent of the lines are such as ``found`` counts."""
-        return _let(lines, lambda all_: 100 * F.size(F.filter(all_, lambda s: found(s))) > share * F.size(all_))
+    def lines(pattern: str) -> Column:
+        return F.regexp_count(body, F.lit(pattern))
 
+    blank = r"[\x20\x09\x0B-\x0D]*"
+    begun = lines(rf"(?:^|\n){blank}[^\x20\x09-\x0D]")
     return [
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)),
         Rule("symbols", 10 * F.col("n_symbols") > n),
-        Rule("duplicate_lines", 100 * F.col("n_dup_lines") > 30 * (F.regexp_count(body, F.lit("\n")) + 1)),
-        Rule("few_letters", 100 * wordless > 30 * n),
-        Rule("bullets", most(lambda s: F.rlike(s, F.lit(r"^[\x20\x09-\x0D]*[-*•]")), 90)),
-        Rule("cut_lines", most(lambda s: F.rlike(s, F.lit(r"(\.\.\.|…)[\x20\x09-\x0D]*$")), 30)),
+        Rule("duplicate_lines", 100 * F.col("n_dup_lines") > 30 * (lines("\n") + 1)),
+        Rule("few_letters", 100 * lines(r"[^\p{L}\x20\x09-\x0D]") > 30 * F.col("word_chars")),
+        Rule("bullets", 100 * lines(rf"(?:^|\n){blank}[-*•]") > 90 * begun),
+        Rule("cut_lines", 100 * lines(rf"(?:\.\.\.|…){blank}(?:\n|$)") > 30 * begun),
     ]
 
 
@@ -248,8 +255,9 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words
             OR 100 * n_dup_lines > 30 * len(string_split(t, chr(10)))
-            OR 100 * len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{L}'))) > 30 * n_words
+            OR 100 * len(regexp_extract_all(t, '[^\p{L}\x20\x09-\x0D]')) > 30 * word_chars
             OR 100 * len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{2022}]'))) > 90 * len(l)
-            OR 100 * len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$'))) > 30 * len(l)
+            OR 100 * len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$')))
+               > 30 * len(l)
            ) AS kept
 FROM b"""
