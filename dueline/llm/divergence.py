@@ -1,7 +1,7 @@
 """How the sources of a language differ in their words: an audit in exact numbers.
 
 Term counts come from single-pass in-memory indexing. A task keeps the postings of
-a block of documents in memory; when ``BLOCK_POSTINGS`` are held it spills them as
+a block of documents in memory; when the block has ``BLOCK_BYTES`` it spills them as
 a run: sorted by (shard, language, term), each shard's part cut into segments of
 ``SEGMENT_TERMS``. The shard of a term is a hash of language and term. A shard's
 task gets the segments of all runs in the order of their first terms and merges
@@ -26,17 +26,19 @@ from __future__ import annotations
 import heapq
 import marshal
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dueline.llm._support import map_batches, partitions, staged
 
-#: A run is spilled at so many counters of a block.
-BLOCK_POSTINGS = 400_000
+#: Bytes of the texts of a block, and terms of a segment at most.
+BLOCK_BYTES = 8 << 20
 SEGMENT_TERMS = 1000
 #: Documents of a language that a kept term stands in, and ranks of a report of terms.
 LEAST_DOCUMENTS = 3
@@ -52,87 +54,140 @@ _LETTERS = bytes(
 )
 
 
-def terms(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_LETTERS).split()
-
-
 class Block:
-    """Postings of some documents in memory."""
+    """Documents of a block, and the postings of their terms."""
 
     def __init__(self) -> None:
-        self.counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        self.documents: dict[str, Counter] = defaultdict(Counter)
-
-    def add(self, lang: str, source: str, text: str) -> int:
-        """Takes a document in; returns how many counters it added."""
-        found = terms(text)
-        count, documents = self.counts[lang, source], self.documents[lang]
-        before = len(count) + len(documents)
-        count.update(found)
-        documents.update(set(found))
-        return len(count) + len(documents) - before
+        self.documents: list[tuple[str, str, bytes]] = []
+        self.bytes = 0
+
+    def add(self, lang: str, source: str, text: str) -> None:
+        data = text.encode("utf-8", "surrogatepass")
+        self.documents.append((lang, source, data))
+        self.bytes += len(data)
+
+    def _words(self) -> tuple[pa.Array, np.ndarray]:
+        """All terms in the order of the documents, and how many each document has."""
+        sizes = np.fromiter((len(d[2]) for d in self.documents), np.int64, len(self.documents)) + 1
+        joined = b" ".join([b"", *(d[2] for d in self.documents), b""])
+        data = np.frombuffer(joined.translate(_LETTERS), np.uint8)
+        letter = data != 32
+        edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        begin, end = edges[::2], edges[1::2]
+        offsets = np.concatenate([[0], np.cumsum(end - begin)])
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[letter])]
+        words = pa.Array.from_buffers(pa.large_binary(), len(begin), buffers)
+        starts = np.searchsorted(begin, np.concatenate([[0], np.cumsum(sizes)]) + 1)
+        return words, np.diff(starts)
 
     def run(self, shards: int) -> Iterator[tuple[int, str, bytes, bytes]]:
         """(shard, language, first term, segment) in the order of shard, language, term."""
-        postings: dict[tuple[str, bytes], list] = {}
-        for lang, documents in self.documents.items():
-            for term, n in documents.items():
-                postings[lang, term] = [n]
-        for (lang, source), count in self.counts.items():
-            for term, n in count.items():
-                postings[lang, term] += (source, n)
-        self.__init__()
-        dealt = [(shard_of(lang, term, shards), lang, term) for lang, term in postings]
-        dealt.sort()
-        segment: list[tuple] = []
-        for shard, lang, term in dealt:
-            if segment and (shard != segment_of or len(segment) >= SEGMENT_TERMS):
-                yield segment_of, segment[0][0], segment[0][1], marshal.dumps(segment)
-                segment = []
-            segment_of = shard
-            segment.append((lang, term, postings[lang, term]))
-        if segment:
-            yield segment_of, segment[0][0], segment[0][1], marshal.dumps(segment)
-
-
-def shard_of(lang: str, term: bytes, shards: int) -> int:
-    return zlib.crc32(term, zlib.crc32(lang.encode("utf-8", "surrogatepass"))) % shards
-
-
-def merged(segments: Iterable[tuple[str, bytes, bytes]]) -> Iterator[tuple[str, bytes, list]]:
+        self.documents.sort(key=itemgetter(0, 1))
+        words, many = self._words()
+        if not len(words):
+            return
+        groups = sorted({d[:2] for d in self.documents})
+        langs = sorted({g[0] for g in groups})
+        number = {g: i for i, g in enumerate(groups)}
+        group = np.array([number[d[:2]] for d in self.documents])
+        tongue = np.array([langs.index(g[0]) for g in groups])
+        # Terms by rank; then (term, document) pairs in order, which is that of groups too.
+        coded = words.dictionary_encode()
+        by_term = pc.array_sort_indices(coded.dictionary)
+        vocabulary = coded.dictionary.take(by_term).to_pylist()
+        rank = np.empty(len(vocabulary), np.int64)
+        rank[by_term.to_numpy()] = np.arange(len(vocabulary))
+        pair = rank[coded.indices.to_numpy()] * len(many) + np.repeat(np.arange(len(many)), many)
+        pair, times = _runs(np.sort(pair))
+        term, of_group = pair // len(many), group[pair % len(many)]
+        # Postings (term, group) with their counts, entries (term, language) with their documents.
+        starts = _starts(term * len(groups) + of_group)
+        count = np.add.reduceat(times, starts)
+        posted, posted_group = term[starts], of_group[starts]
+        lang = tongue[of_group]
+        entry = _starts(term * len(langs) + lang)
+        documents = np.diff(np.append(entry, len(term)))
+        first = _starts(posted * len(langs) + tongue[posted_group])
+        size = np.diff(np.append(first, len(posted)))
+        term, lang = term[entry], lang[entry]
+        seeds = [zlib.crc32(g.encode("utf-8", "surrogatepass")) for g in langs]
+        shard = np.array(
+            [zlib.crc32(vocabulary[t], seeds[g]) % shards for t, g in zip(term.tolist(), lang.tolist(), strict=True)]
+        )
+        order = np.lexsort((term, lang, shard))
+        shard, lang, term, documents, first, size = (
+            x[order] for x in (shard, lang, term, documents, first, size)
+        )
+        ends = np.cumsum(size)
+        moved = np.repeat(first - (ends - size), size) + np.arange(ends[-1])
+        count, source = count[moved], posted_group[moved]
+        cuts = _starts(shard * len(langs) + lang).tolist()
+        for a, z in zip(cuts, [*cuts[1:], len(term)], strict=True):
+            for low in range(a, z, SEGMENT_TERMS):
+                high = min(low + SEGMENT_TERMS, z)
+                inside = slice(int(ends[low] - size[low]), int(ends[high - 1]))
+                here = [vocabulary[t] for t in term[low:high].tolist()]
+                yield int(shard[low]), langs[lang[low]], here[0], marshal.dumps((
+                    here, documents[low:high].tolist(), size[low:high].tolist(),
+                    [groups[g][1] for g in source[inside].tolist()], count[inside].tolist(),
+                ))
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of runs and their lengths."""
+    starts = _starts(ordered)
+    return ordered[starts], np.diff(np.append(starts, len(ordered)))
+
+
+def entries(segment: bytes) -> Iterator[tuple[bytes, int, list, list]]:
+    """(term, documents, sources, counts) of a segment."""
+    terms, documents, sizes_, sources, counts = marshal.loads(segment)
+    at = 0
+    for term, n, size in zip(terms, documents, sizes_, strict=True):
+        yield term, n, sources[at : at + size], counts[at : at + size]
+        at += size
+
+
+def merged(segments: Iterable[tuple[str, bytes, bytes]]) -> Iterator[tuple[str, tuple]]:
     """Entries of segments that come in the order of their first terms, merged by a heap."""
     heap: list = []
     coming = iter(segments)
     ahead, serial = next(coming, None), 0
     while heap or ahead is not None:
-        if ahead is not None and (not heap or (ahead[0], ahead[1]) <= heap[0][:2]):
-            entries = iter(marshal.loads(ahead[2]))
-            lang, term, posting = next(entries)
-            heapq.heappush(heap, (lang, term, serial, posting, entries))
+        if ahead is not None and (not heap or ahead[:2] <= (heap[0][0], heap[0][1])):
+            rest = entries(ahead[2])
+            entry = next(rest)
+            heapq.heappush(heap, (ahead[0], entry[0], serial, entry, rest))
             ahead, serial = next(coming, None), serial + 1
             continue
-        lang, term, mark, posting, entries = heap[0]
-        yield lang, term, posting
-        following = next(entries, None)
-        if following is None:
+        lang, _, mark, entry, rest = heap[0]
+        yield lang, entry
+        entry = next(rest, None)
+        if entry is None:
             heapq.heappop(heap)
         else:
-            heapq.heapreplace(heap, (*following[:2], mark, following[2], entries))
+            heapq.heapreplace(heap, (lang, entry[0], mark, entry, rest))
 
 
-def frequencies(entries: Iterable[tuple[str, bytes, list]]) -> Iterator[tuple[str, bytes, int, dict]]:
+def frequencies(found: Iterable[tuple[str, tuple]]) -> Iterator[tuple[str, bytes, int, dict]]:
     """(language, term, documents, counts by source) from merged entries."""
-    now, documents, counts = None, 0, {}
-    for lang, term, posting in entries:
-        if (lang, term) != now:
-            if now:
-                yield *now, documents, counts
-            now, documents, counts = (lang, term), 0, {}
-        documents += posting[0]
-        for source, n in zip(posting[1::2], posting[2::2], strict=True):
-            counts[source] = counts.get(source, 0) + n
-    if now:
-        yield *now, documents, counts
+    now = last = None
+    documents, counts = 0, {}
+    for lang, (term, n, sources, times) in found:
+        if term != last or lang != now:
+            if now is not None:
+                yield now, last, documents, counts
+            now, last, documents, counts = lang, term, 0, {}
+        documents += n
+        for source, k in zip(sources, times, strict=True):
+            counts[source] = counts.get(source, 0) + k
+    if now is not None:
+        yield now, last, documents, counts
 
 
 def kept_terms(docs: DataFrame) -> DataFrame:
@@ -144,19 +199,19 @@ def kept_terms(docs: DataFrame) -> DataFrame:
     shards = partitions(docs.sparkSession)
 
     def index(batches):
-        block, held = Block(), 0
+        block = Block()
 
         def spilled():
-            rows = list(zip(*block.run(shards), strict=True))
+            rows = list(zip(*block.run(shards), strict=True)) or [()] * 4
             return dict(zip(("shard", "lang", "term", "segment"), map(list, rows), strict=True))
 
         for batch in batches:
             for text, lang, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held += block.add(lang, source, text)
-                if held >= BLOCK_POSTINGS:
+                block.add(lang, source, text)
+                if block.bytes >= BLOCK_BYTES:
                     yield spilled()
-                    held = 0
-        if held:
+                    block = Block()
+        if block.documents:
             yield spilled()
 
     def rows(batches):
