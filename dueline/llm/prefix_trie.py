@@ -37,7 +37,7 @@ from dueline.llm._support import map_batches, partitions, running_position, runn
 from dueline.llm.cascade import words_of
 
 #: Strings below a prefix from which on it is dealt by longer prefixes.
-GROUP_STRINGS = 1000
+GROUP_STRINGS = 250
 #: Strings located at once, ids digested at once, rows of an Arrow batch.
 BATCH = 256
 PIECE_IDS = 8192
