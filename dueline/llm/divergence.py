@@ -44,8 +44,9 @@ SEGMENT_TERMS = 1000
 LEAST_DOCUMENTS = 3
 RANKS = 200
 SCALE = 1_000_000_000
-#: Pairs of postings compared at once, sources in a block, shares of a histogram at once.
+#: Pairs of postings compared at once, rows taken for them, sources in a block, shares at once.
 PAIRS = 1 << 20
+CORRECTED_ROWS = 30_000
 SOURCES = 256
 SHARES = 4096
 #: Bytes of terms: ASCII letters, lowered, and whatever is beyond ASCII.
@@ -256,8 +257,9 @@ def kept_terms(docs: DataFrame) -> DataFrame:
 
 def share(count: str) -> str:
     """SQL for 1 + floor(10^9 (count + 1) / (words + kinds)), exact; null without terms."""
-    whole = f"{SCALE}BD * (CAST({count} AS DECIMAL(20,0)) + 1BD)"
-    return f"1 + ({whole}) div CAST(nullif(words + kinds, 0) AS DECIMAL(20,0))"
+    wide = f"{SCALE}BD * (CAST({count} AS DECIMAL(20,0)) + 1BD) div CAST(nullif(words + kinds, 0) AS DECIMAL(20,0))"
+    # A long holds 9.2 * 10^18.
+    return f"1 + CASE WHEN {count} < 9000000000 THEN {SCALE}L * ({count} + 1) div nullif(words + kinds, 0) ELSE {wide} END"
 
 
 def sizes(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -365,51 +367,49 @@ def corrections(postings: DataFrame) -> DataFrame:
     parts = partitions(postings.sparkSession)
     ordered = slim.repartition(parts, "lang", "term").sortWithinPartitions("lang", "term")
 
-    def summed(lang, source, of, p, p0):
-        """Rows of whole terms: ``of`` numbers the terms, equal ones stand together."""
-        names, code = np.unique(source, return_inverse=True)
-        langs, tongue = np.unique(lang, return_inverse=True)
-        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        sizes_ = np.diff(np.append(first, len(of)))
-        begin, size = np.repeat(first, sizes_), np.repeat(sizes_, sizes_)
-        for a, b in pair_blocks(begin, size):
+    def coded(column):
+        found = column.combine_chunks().dictionary_encode()
+        return found.dictionary.to_numpy(zero_copy_only=False), found.indices.to_numpy().astype(np.int64)
+
+    def summed(rows):
+        """Sums by pair over the rows of whole terms."""
+        langs, lang = coded(rows["lang"])
+        names, source = coded(rows["source"])
+        _, term = coded(rows["term"])
+        p, p0 = rows["p"].to_numpy(), rows["p0"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (lang[1:] != lang[:-1])]))
+        many = np.diff(np.append(first, len(term)))
+        for a, b in pair_blocks(np.repeat(first, many), np.repeat(many, many)):
             if not len(a):
                 continue
             value = _apart(p[a], p[b]) - _apart(p[a], p0[b]) - _apart(p0[a], p[b]) + _apart(p0[a], p0[b])
-            key = (tongue[a] * len(names) + code[a]) * len(names) + code[b]
-            pairs, at = np.unique(key, return_inverse=True)
-            total = np.zeros(len(pairs), np.int64)
-            np.add.at(total, at, value)
+            key = (lang[a] * len(names) + source[a]) * len(names) + source[b]
+            order = np.argsort(key, kind="stable")
+            starts = _starts(key[order])
+            pairs = key[order][starts]
             yield {
                 "lang": langs[pairs // len(names) ** 2].tolist(),
                 "source": names[pairs // len(names) % len(names)].tolist(),
                 "item": names[pairs % len(names)].tolist(),
-                "value": total,
+                "value": np.add.reduceat(value[order], starts),
             }
 
     def run(batches):
-        held: list[tuple] = []  # rows whose last term may go on
+        held, n = [], 0
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            if not rows:
+            held.append(batch)
+            n += batch.num_rows
+            if n < CORRECTED_ROWS:
                 continue
-            held += rows
-            cut = len(held)
-            while cut and held[cut - 1][:2] == held[-1][:2]:
-                cut -= 1
+            rows = pa.Table.from_batches(held).combine_chunks()
+            # The last term may go on.
+            ends = [pc.equal(rows[c], rows[c][n - 1]) for c in ("lang", "term")]
+            cut = n - pc.sum(pc.and_(*ends)).as_py()
             if cut:
-                yield from whole(held[:cut])
-                held = held[cut:]
-        if held:
-            yield from whole(held)
-
-    def whole(rows):
-        lang, term, source, p, p0 = zip(*rows, strict=True)
-        changes = [i and (lang[i] != lang[i - 1] or term[i] != term[i - 1]) for i in range(len(rows))]
-        of = np.cumsum(np.array(changes, np.int64))
-        yield from summed(
-            np.array(lang, object), np.array(source, object), of, np.array(p, np.int64), np.array(p0, np.int64)
-        )
+                yield from summed(rows.slice(0, cut))
+            held, n = rows.slice(cut).to_batches(), n - cut
+        if n:
+            yield from summed(pa.Table.from_batches(held))
 
     return map_batches(ordered, run, "lang string, source string, item string, value long")
 
