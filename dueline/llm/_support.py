@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -99,14 +101,34 @@ def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
+def lean(keep: str | None = None) -> None:
+    """Give back what earlier tasks of this worker hold, but for one table of words.
+
+    Spark uses a worker again for whatever comes next, and what a worker has freed
+    stays with the process until it is trimmed.
+    """
+    if words := sys.modules.get("dueline.llm.words"):
+        words.forget(keep)
+    pa.default_memory_pool().release_unused()
+    if hasattr(library := ctypes.CDLL(None), "malloc_trim"):
+        library.malloc_trim(0)
+
+
 def map_batches(
-    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str
+    df: DataFrame,
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]],
+    schema: str,
+    words: str | None = None,
 ) -> DataFrame:
-    """``mapInArrow`` for a function that yields columns by name."""
+    """``mapInArrow`` for a function that yields columns by name.
+
+    ``words`` is the tokenizer file whose table of words the function uses.
+    """
     bounded_batches(df.sparkSession)
     wanted = arrow_schema(T.StructType.fromDDL(schema))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean(words)
         for columns in run(batches):
             arrays = [
                 columns[f.name]
@@ -115,6 +137,7 @@ def map_batches(
                 for f in wanted
             ]
             yield pa.RecordBatch.from_arrays(arrays, schema=wanted)
+        lean(words)
 
     return df.mapInArrow(go, schema)
 

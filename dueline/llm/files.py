@@ -17,9 +17,19 @@ MANIFEST = "file string, block int, bytes long, records long, units long, sha256
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """URI of a new folder in the shared folder."""
-    path = scratch_path(spark, name)
-    return path if ":" in path.split("/", 1)[0] else f"file://{path}"
+    """URI of a new folder in the shared folder.
+
+    A path without a scheme is in the default file system of the cluster, as it is
+    for Spark; tasks are told the whole URI.
+    """
+    return qualified(spark, scratch_path(spark, name))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    # Hadoop writes file:/x, others want file:///x.
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") else whole
 
 
 class RollingFiles:

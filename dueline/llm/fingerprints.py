@@ -6,9 +6,10 @@ not matter and a paragraph is inserted or deleted by adding or subtracting its
 vector (``plus``, ``minus``). A vector has two parts:
 
 * 32 lanes modulo 2**32 from SHAKE-128 of the whole paragraph, for equality;
-* 512 lanes modulo 2**16: each window of 16 bytes of the paragraph adds 1 or -1
+* 512 lanes modulo 2**32: each window of 16 bytes of the paragraph adds 1 or -1
   to one lane. Read as signed numbers, inner products of such sums estimate how
-  many windows two texts share, which gives ``likeness``.
+  many windows two texts share, which gives ``likeness``. A text below 2 GiB has
+  too few windows for a lane to go around.
 
 Both parts are functions of the paragraph alone. Null texts count as empty; an
 empty text is one empty paragraph. Equal multisets have equal fingerprints.
@@ -34,7 +35,7 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD
 
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Exact lanes (uint32) and likeness lanes (int64, signed sums) of texts."""
+    """Exact lanes (uint32) and likeness lanes (int32) of texts, as they are stored."""
     n = len(texts)
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     pieces = [r.split(b"\n") for r in raw]
@@ -74,17 +75,19 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         minlength=n * lanes,
     )
     counts = counts.reshape(n, LIKE_LANES, 2)
-    return exact, counts[:, :, 0] - counts[:, :, 1]
+    return exact, (counts[:, :, 0] - counts[:, :, 1]).astype(np.uint32).view(np.int32)
 
 
 def as_text(exact: np.ndarray, like: np.ndarray) -> list[str]:
-    low = (like & 0xFFFF).astype("<u2")
-    return [a.astype("<u4").tobytes().hex() + b.tobytes().hex() for a, b in zip(exact, low, strict=True)]
+    return [
+        a.astype("<u4").tobytes().hex() + b.astype("<i4").tobytes().hex()
+        for a, b in zip(exact, like, strict=True)
+    ]
 
 
 def _lanes(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw[: 4 * EXACT_LANES], "<u4"), np.frombuffer(raw[4 * EXACT_LANES :], "<u2")
+    return np.frombuffer(raw[: 4 * EXACT_LANES], "<u4"), np.frombuffer(raw[4 * EXACT_LANES :], "<u4")
 
 
 def of_text(text: str | None) -> str:
@@ -116,7 +119,7 @@ def likenesses(a: tuple, b: tuple) -> np.ndarray:
 
 def likeness(a: str, b: str) -> float:
     one, two = _lanes(a), _lanes(b)
-    signed = [(e[None], v.view("<i2").astype(np.int64)[None]) for e, v in (one, two)]
+    signed = [(e[None], v.view("<i4")[None]) for e, v in (one, two)]
     return float(likenesses(*signed)[0])
 
 

@@ -4,7 +4,9 @@ The language family is predicted first, one-versus-rest; inside a family with
 several languages one-versus-one machines vote. All are L2-regularized with
 squared hinge loss, over hashed byte bigrams and trigrams of whole lower-case
 texts. Each machine is trained by a task of its own, on a sample of at most
-about ``SAMPLE`` texts per language; everything else covers all rows.
+``SAMPLE`` texts per language; everything else covers all rows. Labels with fewer
+than ``LEAST_TEXTS`` texts with letters, and those beyond the ``LANGUAGES`` most
+frequent ones, are not learned.
 
 ``lang`` is only read to train, and only from rows whose crc32(doc_id) modulo 4
 is not 2; rows without doc_id or lang do not train. A text that is null or has
@@ -20,13 +22,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dueline.llm._support import bounded_batches, map_batches, staged
+from dueline.llm._support import bounded_batches, lean, map_batches, staged
 
 DIMENSIONS = 1024
+#: Texts of a language that train, and texts of a side of a machine.
 SAMPLE = 500
+SIDE = 2000
+#: Languages that are learned at most, and the texts a learned one has at least.
+LANGUAGES = 256
+LEAST_TEXTS = 1
 UNKNOWN = "und"
 HELD_OUT = 2
 _PENALTY = 10.0
@@ -56,7 +63,8 @@ def family_of(lang: str) -> str:
 
 def features(texts: list[str]) -> np.ndarray:
     """Unit rows of hashed bigrams and trigrams, square roots of their counts."""
-    raw = [(" " + t.lower() + " ").encode("utf-8", "surrogatepass") for t in texts]
+    # Two blanks before and one after: no window sees letters of the next text.
+    raw = [("  " + t.lower() + " ").encode("utf-8", "surrogatepass") for t in texts]
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
     start = 0
     while start < len(raw):
@@ -147,24 +155,39 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_sample(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
-    """(text, lang) of about ``SAMPLE`` texts per language, chosen by a hash of the id."""
+    """(text, lang, place) of the ``SAMPLE`` texts of each learned language that a hash puts first.
+
+    Only texts with letters count. Languages are those with the most of them, at
+    most ``LANGUAGES`` and each with ``LEAST_TEXTS`` at least; ``place`` is from 1.
+    """
     rows = docs.filter(
-        F.col(f"`{lang}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull() & ~held_out(doc_id)
+        F.col(f"`{lang}`").isNotNull()
+        & F.col(f"`{doc_id}`").isNotNull()
+        & ~held_out(doc_id)
+        & F.col(f"`{text}`").rlike(r"\p{L}")
     ).select(
         F.col(f"`{lang}`").alias("lang"),
-        F.pmod(F.xxhash64(F.col(f"`{doc_id}`")), F.lit(1 << 30)).alias("draw"),
+        F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("draw"),
         F.col(f"`{text}`").alias("text"),
     )
-    letters = rows.filter(F.col("text").rlike(r"\p{L}"))
-    # One row per language, from narrow columns: the share of its rows that trains.
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), SAMPLE / F.count("*")).alias("share")).collect()
-    shares = docs.sparkSession.createDataFrame(share, "lang string, share double")
-    drawn = letters.join(F.broadcast(shares), "lang").filter(F.col("draw") < F.col("share") * (1 << 30))
-    return drawn.select("text", "lang")
+    # Slim rows find where each language's sample ends; tasks keep SAMPLE of them.
+    order = Window.partitionBy("lang").orderBy("draw")
+    firsts = rows.select("lang", "draw").withColumn("place", F.row_number().over(order))
+    last = firsts.filter(F.col("place") <= SAMPLE).groupBy("lang").agg(F.max("draw").alias("last"))
+    many = rows.groupBy("lang").count().filter(F.col("count") >= LEAST_TEXTS)
+    learned = many.orderBy(F.desc("count"), "lang").limit(LANGUAGES).join(last, "lang").drop("count")
+    drawn = rows.join(F.broadcast(learned), "lang").filter(F.col("draw") <= F.col("last"))
+    # Equal draws are equal rows but for a clash; they may swap places.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    return drawn.select("text", "lang", place.alias("place")).filter(F.col("place") <= SAMPLE)
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Machines:
-    """Machines for the languages of ``docs``; they alone come to the driver."""
+    """Machines for the languages of ``docs``; they alone come to the driver.
+
+    A side of a machine has about ``SIDE`` texts at most, the same number of each
+    of its languages, so a task has a bounded matrix however many there are.
+    """
     spark = docs.sparkSession
     sample = staged(training_sample(docs, doc_id, text, lang), "sample")
     langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
@@ -184,20 +207,34 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     ]
     if not jobs:
         return out
-    sides = [(name, x, 1) for name, plus, _ in jobs for x in plus]
-    sides += [(name, x, -1) for name, _, minus in jobs for x in minus]
-    table = spark.createDataFrame(sides, "machine string, lang string, side int")
-    rows = sample.join(F.broadcast(table), "lang").select("machine", "side", "text")
+    sides = [
+        (name, x, side, max(1, SIDE // len(of)))
+        for name, plus, minus in jobs
+        for side, of in ((1, plus), (-1, minus))
+        for x in of
+    ]
+    # At most LANGUAGES rows for each of as many families, and one for each end of a pair.
+    table = spark.createDataFrame(sides, "machine string, lang string, side int, most int")
+
+    def prepared(batches):
+        for batch in batches:
+            texts, lang_, place = batch.columns
+            yield {"lang": lang_, "place": place, "x": list(features(texts.to_pylist()))}
+
+    # Texts become vectors once; these travel to the machines, not the texts.
+    vectors = staged(map_batches(sample, prepared, "lang string, place int, x array<float>"), "vectors")
+    rows = vectors.join(F.broadcast(table), "lang").filter(F.col("place") <= F.col("most"))
     bounded_batches(spark)
 
     def fit(key, rows):
         # The order of rows must not matter for the result of a rerun task.
-        ordered = rows.sort_by([("text", "ascending"), ("side", "ascending")])
-        x = features(ordered.column("text").to_pylist())
+        ordered = rows.sort_by([("lang", "ascending"), ("place", "ascending")])
+        x = ordered.column("x").combine_chunks().flatten().to_numpy().reshape(-1, DIMENSIONS)
         w = train_machine(x, ordered.column("side").to_numpy())
         return pa.table({"machine": [key[0].as_py()], "weights": [w.tolist()]})
 
-    fitted = rows.groupBy("machine").applyInArrow(fit, "machine string, weights array<double>")
+    slim = rows.select("machine", "side", "lang", "place", "x")
+    fitted = slim.groupBy("machine").applyInArrow(fit, "machine string, weights array<double>")
     for r in fitted.collect():
         kind, *names = r["machine"].split("\t")
         weights = np.array(r["weights"])
@@ -235,22 +272,29 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def with_known_language(
-    docs: DataFrame, machines: Machines, text: str = "text", least: float = 0.0
+    docs: DataFrame,
+    machines: Machines,
+    text: str = "text",
+    least: float = 0.0,
+    wanted: list[str] | None = None,
 ) -> DataFrame:
-    """Rows of ``docs``, all columns, that have a language with more than this score.
+    """Rows of ``docs``, all columns, in a wanted language, told with at least this score.
 
-    Rows without letters have none. If nothing was learned, all others stay.
+    ``wanted`` has learned languages, all of them if it is None. Rows without
+    letters have no language. If nothing was learned, all others stay.
     """
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def keep(batches):
+        lean()
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            _, scores = machines.predict(texts)
+            langs, scores = machines.predict(texts)
             mask = [
-                has_letters(t) and (not machines.members or s > least)
-                for t, s in zip(texts, scores, strict=True)
+                has_letters(t)
+                and (not machines.members or (s >= least and (wanted is None or lang in wanted)))
+                for t, lang, s in zip(texts, langs, scores, strict=True)
             ]
             yield batch.filter(pa.array(mask, pa.bool_()))
 

@@ -208,4 +208,4 @@ def packed(
         if codes:
             yield flush()
 
-    return map_batches(texts_of(docs, doc_id, text), run, SCHEMA)
+    return map_batches(texts_of(docs, doc_id, text), run, SCHEMA, words=path)

@@ -2,8 +2,8 @@
 
 Texts are encoded in ascending doc_id order and their ids written in frames.
 A frame is compressed by itself: again and again its most frequent pairs of
-symbols are replaced by nonterminals, a batch of pairs per round, until no pair
-stands ``LEAST_COUNT`` times. Pairs never cross the end of a document. A frame holds its rules,
+symbols are replaced by nonterminals, a batch of pairs of like counts per round,
+until no pair stands ``LEAST_COUNT`` times. Pairs never cross the end of a document. A frame holds its rules,
 the length each nonterminal expands to, where each document starts in ids and in
 symbols, and the symbols; so one document, or a range of its ids, is decoded
 without the others (``Frame.ids``).
@@ -29,7 +29,9 @@ from dueline.llm.words import in_parts, library_table
 
 FRAME_TOKENS = 1_000_000
 ROLL_BYTES = 16 << 20
-PAIRS_A_ROUND = 256
+PAIRS_A_ROUND = 128
+#: Pairs with this share of the last one's count are replaced in the same round.
+ALIKE = 0.8
 #: A pair has to save more symbols than its rule takes.
 LEAST_COUNT = 16
 _SLOTS = 18  # bits of the table in which pairs are counted before the exact count
@@ -42,29 +44,42 @@ def grammar(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarr
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(ids), bool)
     last[ends] = True
+
+    def slots(at: np.ndarray) -> np.ndarray:
+        """Slots of the pairs that begin at these places; document ends have one of their own."""
+        after = symbols[np.minimum(at + 1, len(symbols) - 1)]
+        found = (symbols[at] * _LEFT + after * _RIGHT) >> _SHIFT
+        return np.where(last[at], 1 << _SLOTS, found).astype(np.intp)
+
+    # Kept up to date where symbols change, not counted anew.
+    slot = slots(np.arange(len(symbols)))
+    counts = np.bincount(slot, minlength=(1 << _SLOTS) + 1)
+    counts[-1] = 0
     rules: list[np.ndarray] = []
     count = 0
     while True:
-        slot = (symbols[:-1] * _LEFT + symbols[1:] * _RIGHT) >> _SHIFT
-        slot[last[:-1]] = 1 << _SLOTS  # a slot of its own, that is never full
-        counts = np.bincount(slot, minlength=(1 << _SLOTS) + 1)
-        counts[-1] = 0
-        floor = max(LEAST_COUNT, np.partition(counts, -PAIRS_A_ROUND)[-PAIRS_A_ROUND])
+        floor = np.partition(counts, -PAIRS_A_ROUND)[-PAIRS_A_ROUND]
+        floor = max(LEAST_COUNT, int(ALIKE * floor))
         # Full slots may hold nothing but rare pairs; then all others are looked at.
         for floor in (floor, LEAST_COUNT):
             at = np.flatnonzero((counts >= floor)[slot])
             pair = symbols[at].astype(np.int64) << 32 | symbols[at + 1]
-            found, inverse, exact = np.unique(pair, return_inverse=True, return_counts=True)
+            order = np.argsort(pair)
+            changes = np.concatenate([[True], np.diff(pair[order]) != 0]) if len(at) else np.zeros(0, bool)
+            found = pair[order[changes]]
+            exact = np.diff(np.append(np.flatnonzero(changes), len(at)))
             best = np.argsort(-exact, kind="stable")
-            # Also those as frequent as the last of them.
-            best = best[exact[best] >= max([LEAST_COUNT, *exact[best[:PAIRS_A_ROUND][-1:]]])]
+            # Also those about as frequent as the last of them.
+            low = [int(ALIKE * n) for n in exact[best[:PAIRS_A_ROUND][-1:]]]
+            best = best[exact[best] >= max([LEAST_COUNT, *low])]
             if len(best) or floor == LEAST_COUNT:
                 break
         if not len(best):
             break
         name = np.full(len(found), -1)
         name[best] = terminals + count + np.arange(len(best))
-        new = name[inverse]
+        new = np.empty(len(at), np.int64)
+        new[order] = name[np.cumsum(changes) - 1]
         at, new = at[new >= 0], new[new >= 0]
         # Where chosen pairs overlap, every other one from the left is replaced.
         linked = np.concatenate([[False], np.diff(at) == 1])
@@ -72,11 +87,24 @@ def grammar(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarr
         begin = np.maximum.accumulate(np.where(linked, 0, place))
         keep = (place - begin) % 2 == 0
         at, new = at[keep], new[keep]
+        # Pairs with a symbol that goes, and those around it, leave their slots.
+        before = at[at > 0] - 1
+        gone = at + 1
+        kind = np.zeros(len(symbols), np.uint8)  # 1: stays and changes, 2: goes
+        kind[at] = 1
+        kind[before] = 1
+        kind[gone] = 2
+        around = np.flatnonzero(kind)
+        counts -= np.bincount(slot[around], minlength=len(counts))
         symbols[at] = new
-        last[at] = last[at + 1]
-        alive = np.ones(len(symbols), bool)
-        alive[at + 1] = False
-        symbols, last = symbols[alive], last[alive]
+        last[at] = last[gone]
+        stays = np.flatnonzero(kind != 2)
+        symbols, last, slot = symbols.take(stays), last.take(stays), slot.take(stays)
+        changed = around[kind[around] == 1]
+        changed -= np.searchsorted(gone, changed)
+        slot[changed] = slots(changed)
+        counts += np.bincount(slot[changed], minlength=len(counts))
+        counts[-1] = 0
         rules.append(np.stack([found[best] >> 32, found[best] & 0xFFFFFFFF], axis=1))
         count += len(best)
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), symbols, last
@@ -224,7 +252,7 @@ def write_ids(
             flush()
             yield from files.finish()
 
-    map_batches(ordered, run, MANIFEST).write.parquet(f"{folder.rstrip('/')}/_manifest")
+    map_batches(ordered, run, MANIFEST, words=path).write.parquet(f"{folder.rstrip('/')}/_manifest")
     return read_manifest(spark, folder)
 
 

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dueline.llm._support import bounded_batches, map_batches, partitions, staged, with_keys
+from dueline.llm._support import bounded_batches, lean, map_batches, partitions, staged, with_keys
 from dueline.llm.suffixes import repeated_starts
 
 WIDTH = 200
@@ -517,6 +517,7 @@ def cleaned(
     at, count = names.index(text), names.index(n_chars) if n_chars in names else None
 
     def run(batches):
+        lean()
         for batch in batches:
             columns = batch.column(0).flatten()
             texts, found = columns[at].to_pylist(), batch.column(1).to_pylist()

@@ -282,6 +282,12 @@ def byte_letters() -> list[str]:
 _LOADED: dict[tuple[str, str, bool], WordTable] = {}
 
 
+def forget(keep: str | None = None) -> None:
+    """Drop the tables of all tokenizer files but one."""
+    for key in [k for k in _LOADED if k[0] != keep]:
+        del _LOADED[key]
+
+
 def added_tokens(tokenizer: Tokenizer) -> dict[str, int]:
     """Ids of a tokenizer's added tokens, which stand for themselves in raw text."""
     found = tokenizer.get_added_tokens_decoder()
@@ -305,11 +311,10 @@ def library_table(path: str, pattern: str, space_counts: bool, added: bool = Fal
         tokenizer = Tokenizer.from_file(path)
         tokenize = tokenizer.model.tokenize
         letters = byte_letters()
-        visible = regex.compile(r" ?[!-~]+").fullmatch
 
         def encode(matches: list[str]) -> Iterator[bytes]:
             for m in matches:
-                if visible(m):
+                if m.isascii() and m.isprintable():
                     m = m.replace(" ", letters[32])
                 else:
                     m = "".join([letters[b] for b in m.encode("utf-8", "surrogatepass")])

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dueline.llm import crosspolytope, kdtree, simhash, substrings, suffixes, warc
+from dueline.llm import crosspolytope, kdtree, langid, simhash, substrings, suffixes, warc
 from dueline.llm._support import staged
 from dueline.llm.components import components
 
@@ -372,7 +372,10 @@ def test_stages(spark, docs, rows):
     known, single, clean, packed = results
     for kept in (known, single, clean):
         assert kept.columns == docs.columns
-    letters = [r for r in rows if r[1] and any(map(str.isalpha, r[1]))]
+    # Labels here are drawn by chance, so many a language cannot be told.
+    _, scores = langid.train(docs).predict([r[1] for r in rows])
+    sure = [s >= corpus_pipeline.LEAST_SCORE for s in scores]
+    letters = [r for r, s in zip(rows, sure, strict=True) if s and any(map(str.isalpha, r[1]))]
     same_rows([tuple(r) for r in known.collect()], letters)
     # One row of each group, unchanged.
     left = [tuple(r) for r in single.collect()]

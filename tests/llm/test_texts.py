@@ -269,6 +269,54 @@ def test_languages(docs, rows, folder, spark):
     assert both.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.95
 
 
+def plain_lanes(text):
+    """Likeness lanes of a text, window by window."""
+    lanes = [0] * fingerprints.LIKE_LANES
+    for p in text.encode().split(b"\n"):
+        for i in range(max(0, len(p) - fingerprints.WINDOW + 1)):
+            one, two = (int.from_bytes(p[i + k : i + k + 8], "little") for k in (0, 8))
+            h = one * int(fingerprints._A) % 2**64
+            h ^= h >> 31
+            h = (h + two * int(fingerprints._B)) % 2**64
+            h ^= h >> 29
+            slot = h * int(fingerprints._C) % 2**64 >> 54
+            lanes[slot // 2] += -1 if slot % 2 else 1
+        if 0 < len(p) < fingerprints.WINDOW:
+            slot = int.from_bytes(hashlib.shake_128(p).digest(4), "little") >> 22
+            lanes[slot // 2] += -1 if slot % 2 else 1
+    return lanes
+
+
+def test_likeness_is_that_of_the_fingerprints(spark):
+    texts_ = ["a" * 40_000, "a" * 66_000 + "b", "a" * 65_551, "", "short\nlines\n", "ü" * 90 + "\nmore of it " * 9]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id int, text string")
+    found = fingerprints.compare_with_edits(docs).orderBy("doc_id").collect()
+    for i, r in enumerate(found):
+        after = found[i - 1].fingerprint
+        assert r.near_edited == pytest.approx(fingerprints.likeness(r.fingerprint, r.edited_fingerprint), abs=1e-12)
+        assert r.near_next == pytest.approx(fingerprints.likeness(r.fingerprint, after), abs=1e-12)
+        mine, other = plain_lanes(texts_[i]), plain_lanes(texts_[i - 1])
+        dot = sum(a * b for a, b in zip(mine, other, strict=True))
+        norm = (sum(a * a for a in mine) * sum(b * b for b in other)) ** 0.5
+        assert r.near_next == pytest.approx(min(1.0, max(0.0, dot / norm if norm else 0.0)), abs=1e-9)
+    assert found[1].near_next > 0.99 and found[2].near_next > 0.99
+
+
+def test_folders_are_in_the_default_file_system(spark):
+    from dueline.llm.files import qualified
+
+    assert qualified(spark, "/a/b") == qualified(spark, "file:/a/b") == "file:///a/b"
+    settings = spark._jsc.hadoopConfiguration()
+    before = settings.get("fs.defaultFS")
+    settings.set("fs.defaultFS", "viewfs://cluster")
+    settings.set("fs.viewfs.mounttable.cluster.link./a", "file:///tmp")
+    try:
+        assert qualified(spark, "/a/b") == "viewfs://cluster/a/b"
+        assert qualified(spark, "file:/a/b") == "file:///a/b"
+    finally:
+        settings.set("fs.defaultFS", before or "file:///")
+
+
 def test_languages_learned_from_few(spark):
     none = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[2:] for r in langid.identified(none).collect()] == [("und", 0.0)]
@@ -288,6 +336,65 @@ def test_texts_with_letters_stay_whatever_was_learned(spark):
     assert [r.doc_id for r in langid.with_known_language(und, langid.train(und)).collect()] == [3]
 
 
+ENGLISH = "the cat and the other thing with that"
+GERMAN = "der hund und die straße nicht mit dem"
+
+
+def test_language_of_mostly_empty_texts_is_learned(spark):
+    """Empty texts of a language take nothing from its few real ones."""
+    rows = [(i, f"{ENGLISH} {i % 7}", "en") for i in range(400)]
+    rows += [(1000 + i, None if i % 2 else " 12 ", "de") for i in range(9000)]
+    rows += [(20_000 + i, f"{GERMAN} {i % 5}", "de") for i in range(30)]
+    rows += [(30_001, "hapax", "once")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.training_sample(docs, "doc_id", "text", "lang").groupBy("lang").count()
+    real = [(i, lang) for i, t, lang in rows if t and t != " 12 " and zlib.crc32(str(i).encode()) % 4 != 2]
+    assert {r["lang"]: r["count"] for r in sample.collect()} == {
+        lang: sum(r[1] == lang for r in real) for lang in ("de", "en", "once")
+    }
+    found = {r.doc_id: r.lang_pred for r in langid.identified(docs).collect()}
+    assert all(found[20_000 + i] == "de" for i in range(30)) and found[0] == "en" and found[1000] == "und"
+
+
+def test_hundreds_of_labels(spark, monkeypatch):
+    rows = [(i, f"w{i % 300} " + (ENGLISH if i % 2 else GERMAN), f"label {i % 300:03d}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "LANGUAGES", 40)
+    machines = langid.train(docs)
+    assert len([x for m in machines.members.values() for x in m]) == 40
+    langs, scores = machines.predict([GERMAN, ENGLISH, "123"])
+    assert set(langs[:2]) <= {r[2] for r in rows} and langs[2] == "und" and all(0 <= s <= 1 for s in scores)
+
+
+def test_features_are_those_of_the_text_alone():
+    texts_ = ["a", "", "zebra über", "b c", "日本"]
+    assert (langid.features(texts_) == np.vstack([langid.features([t]) for t in texts_])).all()
+
+
+def test_machine_is_at_its_optimum():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(80, 6))
+    y = np.where(x[:, 0] + 0.7 * r.normal(size=80) > 0.3, 1.0, -1.0)
+    w = langid.train_machine(x, y)
+    whole = np.hstack([x, np.ones((80, 1))])
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * langid._PENALTY * 100
+    gap = np.maximum(0, 1 - y * (whole @ w))
+    gradient = w - whole.T @ (weight * y * gap)
+    assert np.abs(gradient).max() < 1e-8
+
+
+def test_predicted_language_and_score_decide(spark):
+    rows = [(i, ENGLISH if i % 2 else GERMAN, "en" if i % 2 else "de") for i in range(200)]
+    rows += [(500, "12 !", "en"), (501, ENGLISH, "de"), (502, GERMAN, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    machines = langid.train(docs)
+    german = langid.with_known_language(docs, machines, wanted=["de"])
+    assert sorted(r.doc_id for r in german.collect()) == [*range(0, 200, 2), 502]
+    every = langid.with_known_language(docs, machines, least=0.3)
+    assert sorted(r.doc_id for r in every.collect()) == [*range(200), 501, 502]
+    assert langid.with_known_language(docs, machines, least=1.1).collect() == []
+
+
 def test_lang_and_source_are_no_inputs(docs):
     machines = langid.train(docs)
     other = docs.withColumn("lang", F.lit("zz")).withColumn("source", F.lit("zz"))
@@ -308,4 +415,4 @@ def test_empty_tables(nothing):
         langid.identified(nothing),
     ):
         assert got.collect() == []
-    assert len(QUERIES) == 10
+    assert len(QUERIES) == 13
