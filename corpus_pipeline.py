@@ -14,10 +14,18 @@ from dueline.llm import langid, packing, simhash, substrings
 from dueline.llm._support import staged
 from dueline.llm.queries import WORD_LEVEL
 
+#: Least score of a predicted language, and languages that stay (None: all learned ones).
+LEAST_SCORE = 0.3
+WANTED: list[str] | None = None
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language: texts without letters go."""
-    return langid.with_known_language(docs, langid.train(docs))
+    """Documents in a language that can be told.
+
+    Those without letters go, those whose predicted language has a score below
+    ``LEAST_SCORE``, and, if ``WANTED`` names languages, those predicted as another.
+    """
+    return langid.with_known_language(docs, langid.train(docs), least=LEAST_SCORE, wanted=WANTED)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
