@@ -31,7 +31,7 @@ FRAME_TOKENS = 1_000_000
 ROLL_BYTES = 16 << 20
 PAIRS_A_ROUND = 128
 #: Pairs with this share of the last one's count are replaced in the same round.
-ALIKE = 0.8
+ALIKE = 0.7
 #: A pair has to save more symbols than its rule takes.
 LEAST_COUNT = 16
 _SLOTS = 18  # bits of the table in which pairs are counted before the exact count
@@ -223,7 +223,7 @@ def write_ids(
     )
 
     def run(batches):
-        table = library_table(path, pattern, space_counts=True, added=True)
+        table = library_table(path, pattern, space_counts=True, added=True, room=2)
         end = np.array([end_id], "<u4").tobytes()
         files, current, ids, codes, tokens = None, None, [], [], 0
 

@@ -80,7 +80,8 @@ class WordTable:
     ``space_counts`` white space belongs to the word after it, and texts are cut
     where white space begins; else ASCII white space is dropped between words.
     ``added`` has the ids of strings that are looked for in the raw text before
-    anything else; what is between them is encoded as texts of their own.
+    anything else; what is between them is encoded as texts of their own. ``room``
+    times as many words are kept as by default: less work for more memory.
     """
 
     def __init__(
@@ -90,20 +91,23 @@ class WordTable:
         space_counts: bool,
         prepare: Callable[[str], str] | None = None,
         added: dict[str, int] | None = None,
+        room: int = 1,
     ):
         self.pattern, self.space_counts, self.prepare = spelled_out(pattern), space_counts, prepare
         self.added = added or {}
         longest = sorted(self.added, key=len, reverse=True)
         self.apart = regex.compile(f"({'|'.join(map(regex.escape, longest))})")
-        self.encode, self.matches, self.words = encode, Recent(encode), Recent(self._words)
+        self.slots, self.most = _SLOTS + room.bit_length() - 1, _POOL * room
+        self.encode = encode
+        self.matches, self.words = Recent(encode, KEPT * room), Recent(self._words, KEPT * room)
         self._clear()
 
     def _clear(self) -> None:
-        n = 1 << _SLOTS
+        n = 1 << self.slots
         self.low, self.high = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         self.length = np.zeros(n, np.uint8)  # 0: an empty place
         self.first, self.count = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.pool, self.used = np.zeros(_POOL // 4, np.uint32), 0
+        self.pool, self.used = np.zeros(self.most // 4, np.uint32), 0
 
     def _words(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
@@ -148,7 +152,7 @@ class WordTable:
         eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)).copy()
         low = eight[first] & _MASKS[np.minimum(length, 8)]
         high = eight[np.minimum(first + 8, len(eight) - 1)] & _MASKS[np.clip(length - 8, 0, 8)]
-        slot = (((low * _A) ^ (high * _B) ^ (high >> np.uint64(29))) * _C >> np.uint64(64 - _SLOTS)).astype(
+        slot = (((low * _A) ^ (high * _B) ^ (high >> np.uint64(29))) * _C >> np.uint64(64 - self.slots)).astype(
             np.int32
         )
         known = (self.low[slot] == low) & (self.high[slot] == high) & (self.length[slot] == length)
@@ -165,12 +169,10 @@ class WordTable:
 
     def _learn(self, parts: list[dict]) -> None:
         """Give the new words of all parts their codes, and the table what fits."""
-        code_of = self.words.holding(chain.from_iterable(p["words"] for p in parts))
-        place: dict[bytes, int] = {}
-        codes = []
-        for w in dict.fromkeys(chain.from_iterable(p["words"] for p in parts)):
-            place[w] = len(codes)
-            codes.append(code_of[w])
+        place = dict.fromkeys(chain.from_iterable(p["words"] for p in parts))
+        code_of = self.words.holding(place)
+        codes = [code_of[w] for w in place]
+        place = dict(zip(place, range(len(codes)), strict=True))
         count = np.fromiter((len(c) // 4 for c in codes), np.int32, len(codes))
         first = self.used + np.cumsum(count, dtype=np.int64) - count
         total = self.used + int(count.sum())
@@ -225,7 +227,7 @@ class WordTable:
             else:
                 fast.append(i)
                 raw.append(t.encode("utf-8", "surrogatepass"))
-        if self.used > _POOL:
+        if self.used > self.most:
             self._clear()
         parts, group, size = [], [], 0
         for r in raw:
@@ -297,7 +299,9 @@ def added_tokens(tokenizer: Tokenizer) -> dict[str, int]:
     return {t.content: i for i, t in found.items()}
 
 
-def library_table(path: str, pattern: str, space_counts: bool, added: bool = False) -> WordTable:
+def library_table(
+    path: str, pattern: str, space_counts: bool, added: bool = False, room: int = 1
+) -> WordTable:
     """Texts encoded by the tokenizers library from a file, each distinct match once.
 
     With ``added`` a literal added token in a text gets its id, as by the library's
@@ -326,5 +330,6 @@ def library_table(path: str, pattern: str, space_counts: bool, added: bool = Fal
             space_counts,
             None if space_counts else _caseless,
             added_tokens(tokenizer) if added else None,
+            room,
         )
     return _LOADED[path, pattern, added]
