@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from dueline.models import joint
 from dueline.operators.splits import stratified_folds
 from dueline.spec import EventLogSpec, col
 
@@ -213,17 +214,24 @@ def grid_search(
 ) -> Search:
     """Cross-validated search by ROC AUC, refitted on all rows.
 
-    Fits run as Spark jobs, ``parallelism`` of them at once. The training rows
-    (one per case, read once more to count them) are kept on the executors,
-    spilling to disk.
+    Linear models of all points and folds are trained together, C counting the rows
+    of a fold. Other fits run as Spark jobs, ``parallelism`` of them at once. The
+    training rows (one per case, read once more to count them) are kept on the
+    executors, spilling to disk.
     """
     estimator = _base(classifier)
     n = rows.count()
+    width = _width(rows, features)
     with_folds = _sized(
         stratified_folds(assemble(rows, spec, features, label), spec, "label", folds, SEED), n
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        settings = spark_grid(classifier, grid or PARAM_GRIDS[classifier], n, _width(rows, features))
+        settings = spark_grid(classifier, grid or PARAM_GRIDS[classifier], n, width)
+        if classifier in ("LogisticRegression", "SVM") and 0 < width <= joint.NEWTON_WIDTH:
+            cs = [1 / (s["regParam"] * n) for s in settings]
+            metrics = joint.cross_validated(with_folds, width, classifier, cs, folds)
+            best = settings[max(range(len(cs)), key=lambda i: metrics[i])]
+            return Search(estimator.setParams(**best).fit(with_folds), features, settings, metrics)
         maps = [{estimator.getParam(k): v for k, v in s.items()} for s in settings]
         scorer = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
         search = CrossValidator(

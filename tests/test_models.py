@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
 from dueline.models import evaluation, tuning
-from dueline.plans import experiment, model_queries
+from dueline.plans import catalog, experiment, model_queries
 from dueline.plans.case_queries import labelled_orders, year_split
 from dueline.plans.experiment import run_experiment
 from dueline.plans.workflow import train_test_rows
@@ -109,7 +109,8 @@ def test_registered_searches_are_whole(spark, sides, folder, monkeypatch):
     }
     monkeypatch.setattr(tuning, "grid_search", search)
     monkeypatch.setattr(model_queries, "_sides", lambda spark, folder: (log.spec, columns, train, test))
-    rows = model_queries.grid_search(spark, "").collect()
+    grids = ["grid_linear", "grid_tree", "grid_forest", "grid_boosted", "grid_network"]
+    rows = [r for q in grids for r in catalog.QUERIES[q](spark, "").collect()]
     assert sorted(asked) == sorted((c, n, 5) for c, n in whole.items()) and len(rows) == 99
 
     asked.clear()
@@ -118,6 +119,7 @@ def test_registered_searches_are_whole(spark, sides, folder, monkeypatch):
     monkeypatch.setattr(experiment, "score", lambda *a: None)
     monkeypatch.setattr(experiment, "roc_auc", lambda *a: one)
     monkeypatch.setattr(experiment, "train_test_rows", lambda *a, **m: SimpleNamespace(train=train, test=test))
-    got = {(r["Classifier"], r["timediff"]) for r in model_queries.experiment(spark, folder).collect()}
+    families = ["experiment_linear", "experiment_forest", "experiment_boosted"]
+    got = {(r["Classifier"], r["timediff"]) for q in families for r in catalog.QUERIES[q](spark, folder).collect()}
     assert got == {(c, h) for c in experiment.CLASSIFIERS for h in range(15)}
-    assert asked == [(c, whole[c], 5) for _ in range(15) for c in experiment.CLASSIFIERS]
+    assert sorted(asked) == sorted((c, whole[c], 5) for _ in range(15) for c in experiment.CLASSIFIERS)
