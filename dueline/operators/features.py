@@ -92,9 +92,13 @@ def remaining_time(log: CaseLog) -> CaseLog:
     return log.with_columns({"remaining_time": timing.days_between(col(ts), col("_end"))}).drop("_end")
 
 
-def remaining_business_days(log: CaseLog) -> CaseLog:
+def remaining_business_days(
+    log: CaseLog, days_off: calendar.Holidays | None = None
+) -> CaseLog:
     """Time to the end of the case, less the days that are not workdays.
 
+    ``days_off`` are public holidays, none by default.
+
     ``holidays`` compares full 24 hour spans with workday dates, so a short
     night across midnight gives -1; that is the measure as defined.
     """
@@ -102,7 +106,7 @@ def remaining_business_days(log: CaseLog) -> CaseLog:
     log = log.per_case(end_timestamp=log.last(ts))
     start, end = col(ts), col("end_timestamp")
     days = timing.whole_days_between(start, end)
-    workdays = calendar.business_days_between(start, end)
+    workdays = calendar.business_days_between(start, end, days_off or calendar.Holidays([]))
     left = timing.days_between(start, end)
     return log.with_columns(
         {

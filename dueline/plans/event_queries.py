@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from dueline.functions import calendar
@@ -17,6 +19,7 @@ from dueline.sources.xes import read_xes
 
 E_COLS = "case_id, ts, l_linenumber, l_partkey, l_suppkey"
 C_COLS = "case_id, ts"
+HORIZON_DAYS = 10
 
 
 def _order(log, *names):
@@ -477,6 +480,40 @@ def busday_count(spark, folder):
     return _order(log.with_columns({"business_days": days}), "business_days")
 
 
+# Days off of the next query: the first and the last week of each year, and a day in May.
+_DAYS_OFF = [
+    date(y, m, d) for y in range(1991, 2003) for m, d in ((1, 1), (1, 2), (5, 1), (12, 24), (12, 25), (12, 26))
+]
+
+
+@query(
+    "busday_holidays",
+    f"""WITH {ORDER_LOG},
+off AS (SELECT make_date(y, md // 100, md % 100) AS d
+        FROM range(1991, 2003) r(y), (SELECT unnest([101, 102, 501, 1224, 1225, 1226]) AS md)),
+c AS (SELECT d, isodow(d) < 6 AND d NOT IN (SELECT d FROM off) AS work
+      FROM (SELECT CAST(unnest(generate_series(DATE '1990-01-01', DATE '2004-01-01', INTERVAL 1 DAY)) AS DATE) AS d)),
+n AS (SELECT d, work, coalesce(count(*) FILTER (WHERE work)
+      OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM c),
+w AS (SELECT d, k FROM n WHERE work)
+SELECT {E_COLS}, CAST(CASE WHEN b.d >= a.d THEN b.k - a.k ELSE b1.k - a1.k END AS INTEGER) AS business_days,
+       deadline + to_days(CAST(w.d - b.d AS INTEGER)) AS start_by
+FROM order_log
+JOIN n a ON a.d = CAST(ts AS DATE) JOIN n b ON b.d = CAST(deadline AS DATE)
+JOIN n a1 ON a1.d = a.d + 1 JOIN n b1 ON b1.d = b.d + 1
+JOIN w ON w.k = b.k - {HORIZON_DAYS}""",
+)
+def busday_holidays(spark, folder):
+    """Workdays to the deadline, and the moment ten of them before it, with days off."""
+    log = samples.order_log(spark, folder)
+    off = calendar.Holidays(_DAYS_OFF)
+    made = {
+        "business_days": calendar.business_days_between(F.col("ts"), F.col("deadline"), off),
+        "start_by": calendar.minus_business_days(F.col("deadline"), HORIZON_DAYS, off),
+    }
+    return _order(log.with_columns(made), *made)
+
+
 @query(
     "busdays_inclusive",
     f"""WITH {CLICK_LOG}, {DAYS},

@@ -1,5 +1,7 @@
 """Closed forms against pandas and numpy over random pairs of moments."""
 
+import datetime
+
 import numpy as np
 import pandas as pd
 from pandas.tseries.offsets import BusinessDay
@@ -71,3 +73,39 @@ def test_weekend_and_null(spark):
     assert str(got[3]["k5"].date()) == "2024-03-04"
     assert str(saturday["friday"].date()) == "2024-03-15"
     assert got[4]["k1"] is None and got[4]["friday"] is None
+
+
+def test_holidays_against_numpy_and_pandas(spark):
+    rng = np.random.default_rng(9)
+    days = np.datetime64("2015-01-01") + np.sort(rng.choice(500, 60, replace=False)).astype("timedelta64[D]")
+    off = calendar.Holidays([d.item() for d in days])
+    pdf = moments()
+    df = spark.createDataFrame(pdf).select(
+        "i", F.col("a").cast("timestamp_ntz").alias("a"), F.col("b").cast("timestamp_ntz").alias("b"), "k"
+    )
+    made = df.select(
+        "i",
+        calendar.minus_business_days(F.col("a"), F.col("k"), off).alias("earlier"),
+        calendar.business_days_between(F.col("a"), F.col("b"), off).alias("between"),
+        calendar.business_days_left(F.col("a"), F.col("b"), off).alias("left"),
+        calendar.business_days_between(F.col("a"), F.col("b"), calendar.Holidays([])).alias("plain"),
+    )
+    got = made.toPandas().sort_values("i").reset_index(drop=True)
+    a, b = (pdf[c].to_numpy().astype("datetime64[D]") for c in "ab")
+    rolled = np.busday_offset(a, -pdf["k"].to_numpy(), roll="forward", holidays=days)
+    assert (got["earlier"].to_numpy().astype("datetime64[D]") == rolled).all()
+    assert (got["between"].to_numpy() == np.busday_count(a, b, holidays=days)).all()
+    assert (got["plain"].to_numpy() == np.busday_count(a, b)).all()
+    step = pd.offsets.CustomBusinessDay(holidays=list(days))
+    for i in range(0, N, 6):
+        want = len(pd.date_range(pdf["a"][i], pdf["b"][i], freq=step)) - 1
+        assert got["left"][i] == want, (pdf["a"][i], pdf["b"][i])
+
+
+def test_holidays_are_a_constant(spark):
+    """The tables are folded: no join, one literal."""
+    off = calendar.Holidays([datetime.date(2020, 1, 1), datetime.date(2024, 12, 25)])
+    made = spark.range(3).select(calendar.minus_business_days(F.lit("2024-12-27").cast("timestamp_ntz") , F.col("id").cast("int"), off).alias("m"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "split(" not in plan
+    assert [r.m.day for r in made.collect()] == [27, 26, 24]
