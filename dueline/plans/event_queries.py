@@ -299,6 +299,20 @@ def count_cases(spark, folder):
     return features.count_cases(samples.order_events(spark, folder), samples.ORDER_SPEC)
 
 
+@query(
+    "count_cases_approx",
+    "SELECT count(DISTINCT l_orderkey) AS n_cases, TRUE AS within_five_errors FROM lineitem",
+)
+def count_cases_approx(spark, folder):
+    """The exact number, and whether the sketch's is within five times its error of 2 %."""
+    events = samples.order_events(spark, folder)
+    exact = features.count_cases(events, samples.ORDER_SPEC)
+    rough = features.count_cases_approx(events, samples.ORDER_SPEC).withColumnRenamed("n_cases", "about")
+    off = F.abs(F.col("about") - F.col("n_cases"))
+    # One row each.
+    return exact.crossJoin(F.broadcast(rough)).select("n_cases", (off <= 0.1 * F.col("n_cases")).alias("within_five_errors"))
+
+
 @query(
     "activity_count",
     f"""WITH {ORDER_LOG}

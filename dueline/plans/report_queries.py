@@ -10,6 +10,7 @@ from dueline.plans import reports
 from dueline.plans.registry import (
     CLICK_LOG, DAYS, ORDER_LOG, RESULT_ROWS, in_days, labelled, query, r6, rounded,
 )
+from dueline.session import staged
 from dueline.sources import samples
 
 _LAST_EVENT = f"""WITH {ORDER_LOG}, {labelled("order_log", "NO", "RF")}, {DAYS},
@@ -209,7 +210,7 @@ def state_box(spark, folder):
     f"{_BOX} SELECT state, case_id, {r6('remaining', 'remaining')} FROM j WHERE NOT inside",
 )
 def state_outliers(spark, folder):
-    by_state = _by_state(spark, folder)
+    by_state = staged(_by_state(spark, folder), "by_state")
     return rounded(reports.state_outliers(by_state, reports.state_box(by_state)))
 
 

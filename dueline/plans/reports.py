@@ -15,12 +15,15 @@ from dueline.operators.features import (
 )
 from dueline.operators.filters import prefix_to_position
 from dueline.operators.ranges import group_percentiles
+from dueline.session import staged
 from dueline.spec import EventLogSpec, col, last_value
 
 # Inclusive ranges of business days in the share report, and
 # whiskers in units of the quartile distance.
 DAY_RANGES = ((0, 3), (4, 7), (8, 11), (12, 15))
 WHISKER = 1.5
+# Relative error of a sketch of distinct values, and errors that rule a count out.
+SKETCH_ERROR, SIGMAS = 0.02, 6
 
 
 def last_event_business_days(log: CaseLog) -> DataFrame:
@@ -139,7 +142,8 @@ def remaining_by_state(log: CaseLog, states: tuple[str, ...], label: int = 1) ->
 
 
 def state_stats(by_state: DataFrame) -> DataFrame:
-    """Median, mean and deviation per state."""
+    """Median, mean and deviation per state; the rows are written once, for two passes."""
+    by_state = staged(by_state, "by_state")
     middle = group_percentiles(by_state, ["state"], "remaining", {"median": 0.5})
     rest = by_state.groupBy("state").agg(
         F.avg("remaining").alias("mean"), F.stddev_samp("remaining").alias("std")
@@ -165,8 +169,10 @@ def state_box(by_state: DataFrame) -> DataFrame:
     """Quartiles, whiskers and number of outliers per state.
 
     Whiskers reach to the last values within 1.5 quartile distances. There is
-    one row of quartiles per state, which is broadcast back to the values.
+    one row of quartiles per state, which is broadcast back to the values. These
+    are written once, for two passes.
     """
+    by_state = staged(by_state, "by_state")
     quartiles = group_percentiles(
         by_state, ["state"], "remaining", {"q1": 0.25, "med": 0.5, "q3": 0.75}
     )
@@ -207,8 +213,26 @@ def _per_case(df: DataFrame, spec: EventLogSpec, label: str) -> DataFrame:
     )
 
 
+def _as_many_as_cases(df: DataFrame, spec: EventLogSpec, columns: list[str]) -> list[str]:
+    """Columns that may have exactly as many values as there are cases.
+
+    Sketches of all columns are merged in one pass, without a shuffle of values.
+    A column is ruled out if its estimate is ``SIGMAS`` errors off.
+    """
+    names = [spec.case, *columns]
+    found = df.agg(*[F.approx_count_distinct(col(c), SKETCH_ERROR).alias(f"d{i}") for i, c in enumerate(names)]).first()
+    room = 1 + SIGMAS * SKETCH_ERROR
+    low, high = found[0] / room**2, found[0] * room**2
+    return [c for c, n in zip(columns, list(found)[1:], strict=True) if low <= n <= high]
+
+
 def log_statistics(df: DataFrame, spec: EventLogSpec, label: str) -> DataFrame:
-    """Size, class ratio and kinds of attributes of a log."""
+    """Size, class ratio and kinds of attributes of a log.
+
+    Exact distinct counts are only taken of cases, activities and the columns that
+    a sketch does not rule out. The log is written once, as three passes read it.
+    """
+    df = staged(df, "log")
     fields = df.schema.fields
     numeric = [f.name for f in fields if isinstance(f.dataType, T.NumericType)]
     texts = [
@@ -223,19 +247,20 @@ def log_statistics(df: DataFrame, spec: EventLogSpec, label: str) -> DataFrame:
         F.avg("late").alias("positive_class_ratio"),
         F.median("events").alias("median_trace_length"),
     )
-    others = [f.name for f in fields if f.name != spec.case]
+    likely = _as_many_as_cases(df, spec, [f.name for f in fields if f.name != spec.case])
     distinct = df.agg(
         F.countDistinct(col(spec.case)).alias("cases"),
-        *[F.countDistinct(col(c)).alias(f"d{i}") for i, c in enumerate(others)],
+        F.countDistinct(col(spec.activity)).alias("activities"),
+        *[F.countDistinct(col(c)).alias(f"d{i}") for i, c in enumerate(likely)],
     )
     same = F.lit(1)
-    for i in range(len(others)):
+    for i in range(len(likely)):
         same = same + (F.col(f"d{i}") == F.col("cases")).cast("int")
     columns = distinct.select(
         F.lit(len(numeric)).alias("n_numerical_attributes"),
         same.alias("n_case_attributes"),
         F.lit(len(texts)).alias("n_cat_event_attributes"),
-        F.col(f"d{others.index(spec.activity)}").alias("n_activity_classes"),
+        F.col("activities").alias("n_activity_classes"),
     )
     return _metrics(cases).unionByName(_metrics(columns))
 
