@@ -31,10 +31,11 @@ FRAME_TOKENS = 1_000_000
 ROLL_BYTES = 16 << 20
 PAIRS_A_ROUND = 128
 #: Pairs with this share of the last one's count are replaced in the same round.
-ALIKE = 0.7
+ALIKE = 0.5
 #: A pair has to save more symbols than its rule takes.
 LEAST_COUNT = 16
 _SLOTS = 18  # bits of the table in which pairs are counted before the exact count
+_PIECE = 1 << 15
 _HEAD = struct.Struct("<4sIIIIQ")  # name, terminals, rules, documents, symbols, bytes of the frame
 _LEFT, _RIGHT, _SHIFT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(32 - _SLOTS)
 
@@ -51,9 +52,18 @@ def grammar(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarr
         found = (symbols[at] * _LEFT + after * _RIGHT) >> _SHIFT
         return np.where(last[at], 1 << _SLOTS, found).astype(np.intp)
 
+    def places(full: np.ndarray) -> np.ndarray:
+        """Where pairs of full slots begin, a piece that fits a cache at a time."""
+        found = []
+        for low in range(0, len(symbols) - 1, _PIECE):
+            piece = symbols[low : low + _PIECE + 1]
+            hit = full[(piece[:-1] * _LEFT + piece[1:] * _RIGHT) >> _SHIFT]
+            hit &= ~last[low : low + len(hit)]
+            found.append(np.flatnonzero(hit) + low)
+        return np.concatenate(found) if found else np.zeros(0, np.intp)
+
     # Kept up to date where symbols change, not counted anew.
-    slot = slots(np.arange(len(symbols)))
-    counts = np.bincount(slot, minlength=(1 << _SLOTS) + 1)
+    counts = np.bincount(slots(np.arange(len(symbols))), minlength=(1 << _SLOTS) + 1)
     counts[-1] = 0
     rules: list[np.ndarray] = []
     count = 0
@@ -62,7 +72,7 @@ def grammar(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarr
         floor = max(LEAST_COUNT, int(ALIKE * floor))
         # Full slots may hold nothing but rare pairs; then all others are looked at.
         for floor in (floor, LEAST_COUNT):
-            at = np.flatnonzero((counts >= floor)[slot])
+            at = places(counts >= floor)
             pair = symbols[at].astype(np.int64) << 32 | symbols[at + 1]
             order = np.argsort(pair)
             changes = np.concatenate([[True], np.diff(pair[order]) != 0]) if len(at) else np.zeros(0, bool)
@@ -95,15 +105,14 @@ def grammar(ids: np.ndarray, ends: np.ndarray, terminals: int) -> tuple[np.ndarr
         kind[before] = 1
         kind[gone] = 2
         around = np.flatnonzero(kind)
-        counts -= np.bincount(slot[around], minlength=len(counts))
+        counts -= np.bincount(slots(around), minlength=len(counts))
         symbols[at] = new
         last[at] = last[gone]
-        stays = np.flatnonzero(kind != 2)
-        symbols, last, slot = symbols.take(stays), last.take(stays), slot.take(stays)
+        stays = kind != 2
+        symbols, last = symbols[stays], last[stays]
         changed = around[kind[around] == 1]
         changed -= np.searchsorted(gone, changed)
-        slot[changed] = slots(changed)
-        counts += np.bincount(slot[changed], minlength=len(counts))
+        counts += np.bincount(slots(changed), minlength=len(counts))
         counts[-1] = 0
         rules.append(np.stack([found[best] >> 32, found[best] & 0xFFFFFFFF], axis=1))
         count += len(best)
@@ -223,7 +232,7 @@ def write_ids(
     )
 
     def run(batches):
-        table = library_table(path, pattern, space_counts=True, added=True, room=2)
+        table = library_table(path, pattern, space_counts=True, added=True)
         end = np.array([end_id], "<u4").tobytes()
         files, current, ids, codes, tokens = None, None, [], [], 0
 
