@@ -125,8 +125,7 @@ class CaseEncoder(Estimator, _Settings, DefaultParamsReadable, DefaultParamsWrit
         """
         dynamic, static = self.get(self.dynamicCols), self.get(self.staticCols)
         columns = list(dict.fromkeys([*dynamic, *static]))
-        values: dict[str, list[str]] = {c: [] for c in columns}
-        nulls: set[str] = set()
+        values: dict[str, list[str | None]] = {c: [] for c in columns}
         if columns:
             most = self.get(self.maxValues)
             pairs = category_pairs(df, columns).distinct()
@@ -134,13 +133,15 @@ class CaseEncoder(Estimator, _Settings, DefaultParamsReadable, DefaultParamsWrit
             if len(rows) > most:
                 raise ValueError(f"more than {most} values; use dynamic_counts or raise maxValues")
             for name, value in rows:
-                if value is None:
-                    nulls.add(name)
-                else:
-                    values[name].append(value)
+                values[name].append(value)
+        return self.knowing(values, df.schema)
+
+    def knowing(self, values: dict[str, list[str | None]], schema: T.StructType) -> CaseEncoderModel:
+        """The model of columns that take these values, None where one has nulls."""
+        kept = {c: [v for v in known if v is not None] for c, known in values.items()}
         learned = {
-            "values": {c: _sorted_values(values[c], df.schema[c].dataType) for c in columns},
-            "nulls": [c for c in columns if c in nulls],
+            "values": {c: _sorted_values(known, schema[c].dataType) for c, known in kept.items()},
+            "nulls": [c for c, known in values.items() if None in known],
         }
         model = CaseEncoderModel()
         self._copyValues(model)

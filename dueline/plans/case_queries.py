@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dueline.operators import cutting, encoding, features, filters, splits
+from dueline.operators import cutting, encoding, features, filters, horizons, splits
 from dueline.operators.labeling import late_payment_label
 from dueline.plans.registry import (
     CLICK_LOG, DAYS, ORDER_LOG, TURN_LOG, cut, hours, in_days, labelled, query, r6, rounded,
@@ -202,6 +202,26 @@ def case_features(spark, folder):
     return rounded(encoder.fit(log.df).transform(log.df))
 
 
+@query(
+    "horizon_features",
+    f"""WITH {ORDER_LOG}, {DAYS}, {labelled("order_log", "NO", "RF")},
+target AS (
+  SELECT a.d, CAST(range AS INTEGER) AS horizon, w.d AS latest
+  FROM days a CROSS JOIN range(15) JOIN workdays w ON w.wd = a.wd - range),
+cut AS (
+  SELECT g.*, horizon FROM lab g JOIN target t ON t.d = CAST(g.deadline AS DATE)
+  WHERE g.ts <= g.deadline + to_days(CAST(date_diff('day', t.d, t.latest) AS INTEGER)))
+SELECT horizon, case_id,
+       {", ".join([*_sql_numeric(), *_sql_dynamic(), *_sql_static()])}, arg_max(y, event_nr) AS y
+FROM cut GROUP BY horizon, case_id""",
+)
+def horizon_features(spark, folder):
+    """Feature rows of late orders at horizons 0 to 14, from one scan of the log."""
+    log = labelled_orders(spark, folder)
+    models = horizons.fit_horizons(log.df, log.spec, 15)
+    return rounded(horizons.horizon_rows(log.df, log.spec, 15, models[0]))
+
+
 @query(
     "feature_cardinality",
     f"""WITH {ORDER_LOG}, c AS ({_sql_encoded("order_log", _sql_static())}),
