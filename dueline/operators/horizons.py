@@ -10,9 +10,12 @@ running merge over at most as many rows per case as there are horizons.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dueline.functions import calendar
 from dueline.operators.cutting import horizons_reached
 from dueline.operators.encoding import (
     _DIRECT_COLUMNS,
@@ -26,12 +29,27 @@ HORIZON = "horizon"
 _REACH = "_reach"
 
 
-def with_reach(df: DataFrame, spec: EventLogSpec, horizons: int) -> DataFrame:
-    """Events that some horizon includes, with the number of horizons that do."""
-    return df.withColumn(_REACH, horizons_reached(spec, horizons)).filter(col(_REACH) > 0)
+def in_turn(horizons: Iterable[int]) -> list[int]:
+    """The horizons, each once, from the deadline back."""
+    return sorted(set(horizons))
+
+
+def with_reach(df: DataFrame, spec: EventLogSpec, horizons: list[int]) -> DataFrame:
+    """Events that some horizon includes, with the number of horizons that do.
+
+    An event belongs to the horizons up to some point, so their number says which.
+    """
+    if horizons == list(range(len(horizons))):
+        reach = horizons_reached(spec, len(horizons))
+    else:
+        left = calendar.workday_steps(col(spec.timestamp), col(spec.deadline))
+        reach = F.size(F.filter(F.lit(horizons), lambda h: h <= F.coalesce(left, F.lit(-1))))
+    return df.withColumn(_REACH, reach).filter(col(_REACH) > 0)
 
 
-def fit_horizons(df: DataFrame, spec: EventLogSpec, horizons: int, **more) -> list[CaseEncoderModel]:
+def fit_horizons(
+    df: DataFrame, spec: EventLogSpec, horizons: Iterable[int], **more
+) -> dict[int, CaseEncoderModel]:
     """The encoder of each horizon, equal to one fitted on the log cut there.
 
     One aggregate tells how far each value reaches; a horizon knows those beyond it.
@@ -39,6 +57,7 @@ def fit_horizons(df: DataFrame, spec: EventLogSpec, horizons: int, **more) -> li
     """
     encoder = CaseEncoder.for_spec(spec, **more)
     columns = list(dict.fromkeys([*spec.dynamic, *spec.static]))
+    horizons = in_turn(horizons)
     rows = []
     if columns:
         most = encoder.get(encoder.maxValues)
@@ -46,12 +65,12 @@ def fit_horizons(df: DataFrame, spec: EventLogSpec, horizons: int, **more) -> li
         rows = pairs.groupBy("column", "value").agg(F.max(_REACH)).limit(most + 1).collect()
         if len(rows) > most:
             raise ValueError(f"more than {most} values; use dynamic_counts or raise maxValues")
-    return [
-        encoder.knowing(
-            {c: [v for n, v, far in rows if n == c and far > h] for c in columns}, df.schema
+    return {
+        h: encoder.knowing(
+            {c: [v for n, v, far in rows if n == c and far > i] for c in columns}, df.schema
         )
-        for h in range(horizons)
-    ]
+        for i, h in enumerate(horizons)
+    }
 
 
 def _numeric(name: str) -> Column:
@@ -74,15 +93,17 @@ def _deviation(i: int, name: str) -> Column:
 
 
 def horizon_rows(
-    df: DataFrame, spec: EventLogSpec, horizons: int, model: CaseEncoderModel
+    df: DataFrame, spec: EventLogSpec, models: dict[int, CaseEncoderModel]
 ) -> DataFrame:
-    """One row per horizon and case with an event left there.
+    """One row per horizon of ``models`` and case with an event left there.
 
-    Columns are the case, ``horizon``, the numeric and dynamic columns of ``model``
-    (that of horizon 0, which knows the values of all others), the static columns as
+    Columns are the case, ``horizon``, the numeric and dynamic columns of the first
+    horizon's model (which knows the values of all others), the static columns as
     its codes, and its label column, if it has one. ``at_horizon`` makes the rows of
     one horizon's own encoder of them.
     """
+    horizons = in_turn(models)
+    model = models[horizons[0]]
     case, label = col(spec.case), model.get(model.labelCol)
     key = spec.order_key
     slots = list(zip(model._dynamic_slots(), model.dynamic_columns, strict=True))
@@ -135,9 +156,9 @@ def horizon_rows(
     rows = parted.select(*merged)
     rows = rows.withColumns({f"{c}_mean": col(f"{c}_sum") / col("_all") for c in spec.numeric})
     rows = rows.withColumns({f"{c}_std": _deviation(i, c) for i, c in enumerate(spec.numeric)})
-    rows = rows.withColumn(HORIZON, F.explode(spans))
+    rows = rows.withColumn(HORIZON, _horizon(spans, horizons))
     if not direct:
-        wide = _wide_counts(reached, spec, slots)
+        wide = _wide_counts(reached, spec, slots, horizons)
         same = [col("_case").eqNullSafe(col("_wide_case")), col(HORIZON) == col("_wide_horizon")]
         rows = rows.join(wide, same).drop("_wide_case", "_wide_horizon")
     names = [*model.numeric_columns, *model.dynamic_columns, *spec.static]
@@ -146,7 +167,14 @@ def horizon_rows(
     )
 
 
-def _wide_counts(reached: DataFrame, spec: EventLogSpec, slots: list) -> DataFrame:
+def _horizon(places: Column, horizons: list[int]) -> Column:
+    """One row per place, holding its horizon."""
+    return F.explode(F.transform(places, lambda i: F.get(F.lit(horizons), i)))
+
+
+def _wide_counts(
+    reached: DataFrame, spec: EventLogSpec, slots: list, horizons: list[int]
+) -> DataFrame:
     """Counts per horizon, case and slot, pivoted, for long value lists."""
     table = [(c, v, i) for i, ((c, v), _) in enumerate(slots)]
     # The fitted list, bounded by maxValues.
@@ -159,7 +187,7 @@ def _wide_counts(reached: DataFrame, spec: EventLogSpec, slots: list) -> DataFra
     same = (F.col("column") == F.col("_c")) & F.col("value").eqNullSafe(F.col("_v"))
     wide = (
         counts.join(F.broadcast(slot), same, "left")
-        .withColumn("_wide_horizon", F.explode(F.sequence(F.lit(0), col(_REACH) - 1)))
+        .withColumn("_wide_horizon", _horizon(F.sequence(F.lit(0), col(_REACH) - 1), horizons))
         .groupBy("_wide_case", "_wide_horizon")
         .pivot("_slot", list(range(len(slots))))
         .agg(F.sum("n"))
@@ -169,14 +197,14 @@ def _wide_counts(reached: DataFrame, spec: EventLogSpec, slots: list) -> DataFra
 
 
 def at_horizon(
-    rows: DataFrame, spec: EventLogSpec, horizon: int, models: list[CaseEncoderModel]
+    rows: DataFrame, spec: EventLogSpec, horizon: int, models: dict[int, CaseEncoderModel]
 ) -> DataFrame:
     """The rows of one horizon, as its own encoder would give them.
 
     Columns of values that its training cases have not yet shown go, and static codes
     become positions in its shorter lists.
     """
-    model, widest = models[horizon], models[0]
+    model, widest = models[horizon], models[min(models)]
     out = [col(spec.case), *[col(c) for c in (*model.numeric_columns, *model.dynamic_columns)]]
     one_hot = model.get(model.oneHotStatic)
     for c in spec.static:

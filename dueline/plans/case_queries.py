@@ -218,8 +218,8 @@ FROM cut GROUP BY horizon, case_id""",
 def horizon_features(spark, folder):
     """Feature rows of late orders at horizons 0 to 14, from one scan of the log."""
     log = labelled_orders(spark, folder)
-    models = horizons.fit_horizons(log.df, log.spec, 15)
-    return rounded(horizons.horizon_rows(log.df, log.spec, 15, models[0]))
+    models = horizons.fit_horizons(log.df, log.spec, range(15))
+    return rounded(horizons.horizon_rows(log.df, log.spec, models))
 
 
 @query(

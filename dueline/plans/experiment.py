@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from dueline.caselog import CaseLog
 from dueline.models.evaluation import roc_auc
 from dueline.models.tuning import PARAM_GRIDS, grid_search, score
-from dueline.plans.workflow import train_test_rows
-from dueline.sources.tables import RESULT_SCHEMA, is_complete, read_results, write_csv, write_parquet
+from dueline.plans.matrices import horizon_matrices
+from dueline.sources.tables import RESULT_SCHEMA, read_results, write_csv
 
 # Classifiers of the experiment and its number of horizons.
 CLASSIFIERS = ("XGBoost", "RandomForest", "LogisticRegression")
@@ -28,20 +28,15 @@ def run_experiment(
 ) -> DataFrame:
     """Test AUC per classifier and horizon; also written to ``folder``.
 
-    The loop runs on the driver over jobs; rows stay on the executors. The
-    encoded rows of a horizon are written once and read by every classifier, also
-    by a later run with the same folder, which must be given the same log and
-    sides. A horizon at which no case or one class is left gives a null AUC.
+    The loop runs on the driver over jobs; rows stay on the executors. The encoded
+    rows of all horizons come from one pass and are written once, under a key of their
+    inputs, and read by every classifier, also by a later run with the same folder. A
+    horizon at which no case or one class is left gives a null AUC.
     """
     spark = log.df.sparkSession
+    matrices = horizon_matrices(log, horizons, train_ids, test_ids, f"{folder}/matrices", label=label)
     for h in horizons:
-        paths = {name: f"{folder}/{h:02d}_{name}" for name in ("train", "test")}
-        # Both sides are of one encoder, so one that is not complete renews both.
-        if not all(is_complete(spark, path) for path in paths.values()):
-            sides = train_test_rows(log, h, train_ids, test_ids, label=label)
-            for name, rows in (("train", sides.train), ("test", sides.test)):
-                write_parquet(rows, paths[name], mode="overwrite")
-        saved = {name: spark.read.parquet(path) for name, path in paths.items()}
+        saved = {name: matrices.rows(name, h) for name in ("train", "test")}
         columns = [c for c in saved["train"].columns if c not in (log.spec.case, label)]
         classes = saved["train"].select(label).distinct().count()
         for classifier in classifiers:

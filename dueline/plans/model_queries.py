@@ -13,7 +13,8 @@ from dueline.operators import sparse
 from dueline.operators.cutting import cut_before_deadline
 from dueline.plans.case_queries import HORIZON, labelled_orders, year_split
 from dueline.plans.experiment import run_experiment
-from dueline.plans.registry import DAYS, ORDER_LOG, SCORE_LOG, cut, query, r6, rounded
+from dueline.plans.matrices import horizon_matrices
+from dueline.plans.registry import DAYS, ORDER_LOG, SCORE_LOG, cut, labelled, query, r6, rounded
 from dueline.operators.splits import stratified_folds
 from dueline.plans.workflow import train_test_rows
 from dueline.session import scratch_path
@@ -378,6 +379,52 @@ def model_roundtrip(spark, folder):
     return before.join(after, spec.case)
 
 
+@query(
+    "matrix_cache",
+    f"""WITH {ORDER_LOG}, {DAYS}, {labelled("order_log", "NO", "RF")},
+target AS (
+  SELECT a.d, CAST(range AS INTEGER) AS horizon, w.d AS latest
+  FROM days a CROSS JOIN range(15) JOIN workdays w ON w.wd = a.wd - range),
+c AS (
+  SELECT horizon, case_id, any_value(case_year) AS case_year, arg_max(y, event_nr) AS y,
+         sum(l_quantity) AS q, arg_min(status, event_nr) AS s
+  FROM lab g JOIN target t ON t.d = CAST(g.deadline AS DATE)
+  WHERE g.ts <= g.deadline + to_days(CAST(date_diff('day', t.d, t.latest) AS INTEGER))
+  GROUP BY 1, 2)
+SELECT horizon, CASE WHEN case_year <= 1998 THEN 'train' ELSE 'test' END AS part,
+       count(*) AS n_cases, CAST(sum(y) AS BIGINT) AS n_late, {r6("sum(q)", "quantity")},
+       count(*) FILTER (WHERE s = 'F') AS n_f, TRUE AS built, FALSE AS built_again
+FROM c GROUP BY 1, 2""",
+)
+def matrix_cache(spark, folder):
+    """Rows of all horizons as the second of two calls reads them, which builds nothing."""
+    place = scratch_path(spark, "matrices")
+
+    def made():
+        log = labelled_orders(spark, folder)
+        return horizon_matrices(log, range(15), *year_split(spark, folder, log.spec), place)
+
+    first, again = made(), made()
+    parts = [
+        again.rows(part, h).select(
+            F.lit(h).alias("horizon"), F.lit(part).alias("part"), "y", "l_quantity_sum", "status_0"
+        )
+        for h in range(15)
+        for part in ("train", "test")
+    ]
+    return rounded(
+        reduce(DataFrame.unionByName, parts)
+        .groupBy("horizon", "part")
+        .agg(
+            F.count("*").alias("n_cases"),
+            F.sum("y").alias("n_late"),
+            F.sum("l_quantity_sum").alias("quantity"),
+            F.sum("status_0").alias("n_f"),
+        )
+        .withColumns({"built": F.lit(first.built), "built_again": F.lit(again.built)})
+    )
+
+
 def _experiment(classifier):
     def run(spark, folder):
         """Test AUC of a classifier of the experiment at all horizons, whole grid in five folds."""

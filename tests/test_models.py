@@ -1,12 +1,13 @@
 """Training has no oracle: ranges, repeatability and agreement of the AUCs."""
 
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
 from dueline.models import evaluation, tuning
-from dueline.plans import catalog, experiment, model_queries
+from dueline.plans import catalog, experiment, matrices, model_queries
 from dueline.plans.case_queries import labelled_orders, year_split
 from dueline.plans.experiment import run_experiment
 from dueline.plans.workflow import train_test_rows
@@ -81,16 +82,17 @@ def test_second_run_reads_the_tables_of_horizons(spark, sides, folder, tmp_path,
         return run_experiment(log, *ids, str(tmp_path), ("DecisionTree",), (5,), grids, folds=2).collect()
 
     first = run()
-    saved = spark.read.parquet(f"{tmp_path}/05_train").columns
-    assert [c for c in saved if c not in (log.spec.case, "y")] == columns
+    made = matrices.horizon_matrices(log, (5,), *ids, f"{tmp_path}/matrices")
+    saved = made.rows("train", 5).columns
+    assert not made.built and [c for c in saved if c not in (log.spec.case, "y")] == columns
 
     def built(*args, **more):
         raise AssertionError("built anew")
 
     with monkeypatch.context() as m:
-        m.setattr(experiment, "train_test_rows", built)
+        m.setattr(matrices.sweep, "fit_horizons", built)
         assert run() == first
-        (tmp_path / "05_test" / "_SUCCESS").unlink()
+        (Path(made.path) / "table" / "_SUCCESS").unlink()
         with pytest.raises(AssertionError, match="built anew"):
             run()
 
@@ -118,7 +120,8 @@ def test_registered_searches_are_whole(spark, sides, folder, monkeypatch):
     monkeypatch.setattr(experiment, "grid_search", search)
     monkeypatch.setattr(experiment, "score", lambda *a: None)
     monkeypatch.setattr(experiment, "roc_auc", lambda *a: one)
-    monkeypatch.setattr(experiment, "train_test_rows", lambda *a, **m: SimpleNamespace(train=train, test=test))
+    kept = SimpleNamespace(rows=lambda side, h: {"train": train, "test": test}[side])
+    monkeypatch.setattr(experiment, "horizon_matrices", lambda *a, **m: kept)
     families = ["experiment_linear", "experiment_forest", "experiment_boosted"]
     got = {(r["Classifier"], r["timediff"]) for q in families for r in catalog.QUERIES[q](spark, folder).collect()}
     assert got == {(c, h) for c in experiment.CLASSIFIERS for h in range(15)}
