@@ -81,8 +81,6 @@ SEED = 42
 
 # Deepest tree Spark ML builds; stands for "no limit".
 _DEEPEST = 30
-# Fits pass over the rows again and again, so a task should have some of them.
-_ROWS_PER_TASK = 50_000
 
 
 def _depth(value: int | None) -> int:
@@ -180,9 +178,14 @@ def _width(rows: DataFrame, features: list[str]) -> int:
     return first[0].size if first else 0
 
 
-def _sized(rows: DataFrame, n: int) -> DataFrame:
-    """Fewer partitions if there are few rows; never more."""
-    return rows.coalesce(max(1, -(-n // _ROWS_PER_TASK)))
+def _placed(rows: DataFrame, spec: EventLogSpec) -> DataFrame:
+    """Rows by case, in as many partitions as the session is set to, whatever their number.
+
+    Bagging and sampling draw per partition, so a fit depends on the rows and this
+    setting, not on how its input was cut.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, col(spec.case)).sortWithinPartitions(col(spec.case))
 
 
 @dataclass
@@ -222,8 +225,8 @@ def grid_search(
     estimator = _base(classifier)
     n = rows.count()
     width = _width(rows, features)
-    with_folds = _sized(
-        stratified_folds(assemble(rows, spec, features, label), spec, "label", folds, SEED), n
+    with_folds = _placed(
+        stratified_folds(assemble(rows, spec, features, label), spec, "label", folds, SEED), spec
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         settings = spark_grid(classifier, grid or PARAM_GRIDS[classifier], n, width)
@@ -257,7 +260,7 @@ def fit_one(
 ) -> Search:
     """One grid point on all rows, without cross-validation."""
     n = rows.count()
-    train = _sized(assemble(rows, spec, features, label), n).persist(StorageLevel.MEMORY_AND_DISK)
+    train = _placed(assemble(rows, spec, features, label), spec).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         grid = {k: [v] for k, v in point.items()}
         settings = spark_grid(classifier, grid, n, _width(rows, features))

@@ -63,6 +63,17 @@ def test_unknown_names(sides):
         tuning.spark_grid("SVM", {"kernel": ["rbf"]}, 10, 2)
 
 
+def test_forest_does_not_depend_on_how_rows_were_cut(sides):
+    log, columns, train, test = sides
+    point = {"n_estimators": 3, "max_depth": 4, "max_features": "sqrt"}
+
+    def scores(rows):
+        found = tuning.fit_one(rows, log.spec, columns, "RandomForest", point)
+        return sorted(tuple(r) for r in tuning.score(found, test, log.spec).collect())
+
+    assert scores(train.coalesce(1)) == scores(train.repartition(7))
+
+
 def test_experiment(spark, sides, folder, tmp_path):
     log = sides[0]
     ids = year_split(spark, folder, log.spec)
