@@ -95,21 +95,26 @@ def equal_histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
-    """Count, mean, deviation, quartiles and ends of a whole-numbered column.
+    """Count, mean, deviation, quartiles and ends of a numeric column, as one row.
 
-    The percentile aggregate keeps one counter per distinct value, and day
-    counts have few.
+    The column is written once; quartiles come from its values in global order, so it
+    may have any number of them. Of no rows all but the count are null.
     """
     v = col(value)
-    quartile = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    return df.agg(
+    once = staged(df.select(F.lit(1).alias("_all"), v), "described")
+    quartiles = group_percentiles(once, ["_all"], value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    facts = once.agg(
+        F.lit(1).alias("_all"),
         F.count(v).alias("count"),
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"),
-        *[F.percentile(v, q).alias(n) for n, q in quartile.items()],
         F.max(v).alias("max"),
     )
+    # One row each.
+    return facts.join(quartiles, "_all", "left").select(
+        "count", "mean", "std", "min", "q25", "q50", "q75", "max"
+    )
 
 
 def range_shares(

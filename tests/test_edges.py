@@ -103,3 +103,11 @@ def test_broken_write_is_built_again(spark, tmp_path):
     (tmp_path / "t" / "_SUCCESS").unlink()
     assert read_or_build(spark, path, build).count() == 3
     assert read_or_build(spark, path, build).count() == 3 and len(built) == 2
+
+
+def test_description_of_many_values_and_of_none(spark):
+    rows = spark.range(1001).select((F.col("id") * 37 % 1001).alias("v"))
+    with_nulls = rows.union(spark.sql("select cast(null as bigint)"))
+    assert tuple(reports.describe(with_nulls, "v").first())[:2] == (1001, 500.0)
+    assert tuple(reports.describe(with_nulls, "v").first())[3:] == (0, 250.0, 500.0, 750.0, 1000)
+    assert tuple(reports.describe(rows.limit(0), "v").first()) == (0, *[None] * 7)
