@@ -47,7 +47,7 @@ def horizon_matrices(
 
     Encoders learn from the training cases left at their horizon. The log is read twice,
     for the values and for the rows of all horizons; a second call with unchanged input
-    files, plan and settings starts no job on it.
+    files, plan and settings does not read it.
     """
     spark, spec = log.df.sparkSession, log.spec
     settings = {"spec": repr(spec), "horizons": sweep.in_turn(horizons), "one_hot": one_hot_static, "label": label}
