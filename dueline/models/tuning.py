@@ -78,6 +78,8 @@ PARAM_GRIDS = {
     },
 }
 SEED = 42
+# Passes of a linear fit are short, so a task should have some rows.
+_ROWS_PER_TASK = 50_000
 
 # Deepest tree Spark ML builds; stands for "no limit".
 _DEEPEST = 30
@@ -178,12 +180,15 @@ def _width(rows: DataFrame, features: list[str]) -> int:
     return first[0].size if first else 0
 
 
-def _placed(rows: DataFrame, spec: EventLogSpec) -> DataFrame:
+def _placed(rows: DataFrame, spec: EventLogSpec, classifier: str, count: int) -> DataFrame:
     """Rows by case, in as many partitions as the session is set to, whatever their number.
 
     Bagging and sampling draw per partition, so a fit depends on the rows and this
-    setting, not on how its input was cut.
+    setting, not on how its input was cut. Linear models draw nothing and have one
+    optimum however rows lie, so few rows lie in few partitions there.
     """
+    if classifier in ("LogisticRegression", "SVM"):
+        return rows.coalesce(max(1, -(-count // _ROWS_PER_TASK)))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, col(spec.case)).sortWithinPartitions(col(spec.case))
 
@@ -226,7 +231,8 @@ def grid_search(
     n = rows.count()
     width = _width(rows, features)
     with_folds = _placed(
-        stratified_folds(assemble(rows, spec, features, label), spec, "label", folds, SEED), spec
+        stratified_folds(assemble(rows, spec, features, label), spec, "label", folds, SEED), spec,
+        classifier, n,
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         settings = spark_grid(classifier, grid or PARAM_GRIDS[classifier], n, width)
@@ -260,7 +266,7 @@ def fit_one(
 ) -> Search:
     """One grid point on all rows, without cross-validation."""
     n = rows.count()
-    train = _placed(assemble(rows, spec, features, label), spec).persist(StorageLevel.MEMORY_AND_DISK)
+    train = _placed(assemble(rows, spec, features, label), spec, classifier, n).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         grid = {k: [v] for k, v in point.items()}
         settings = spark_grid(classifier, grid, n, _width(rows, features))
