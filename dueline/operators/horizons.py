@@ -27,6 +27,8 @@ from dueline.spec import EventLogSpec, col
 
 HORIZON = "horizon"
 _REACH = "_reach"
+#: First and last but one place of the horizons (in turn) that a merged row stands for.
+FROM, TO = "_from", "_to"
 
 
 def in_turn(horizons: Iterable[int]) -> list[int]:
@@ -93,14 +95,33 @@ def _deviation(i: int, name: str) -> Column:
 
 
 def horizon_rows(
-    df: DataFrame, spec: EventLogSpec, models: dict[int, CaseEncoderModel]
+    df: DataFrame, spec: EventLogSpec, models: dict[int, CaseEncoderModel], merged: bool = False
 ) -> DataFrame:
     """One row per horizon of ``models`` and case with an event left there.
 
     Columns are the case, ``horizon``, the numeric and dynamic columns of the first
     horizon's model (which knows the values of all others), the static columns as
     its codes, and its label column, if it has one. ``at_horizon`` makes the rows of
-    one horizon's own encoder of them.
+    one horizon's own encoder of them. With ``merged`` a row stands once for all
+    horizons at which it is the same, see ``_merged_rows``.
+    """
+    rows = _merged_rows(df, spec, models)
+    if merged:
+        return rows
+    places = F.sequence(col(FROM), col(TO) - 1)
+    rows = rows.withColumn(HORIZON, _horizon(places, in_turn(models)))
+    names = [c for c in rows.columns if c not in (spec.case, HORIZON, FROM, TO)]
+    return rows.select(col(spec.case), HORIZON, *[col(c) for c in names])
+
+
+def _merged_rows(
+    df: DataFrame, spec: EventLogSpec, models: dict[int, CaseEncoderModel]
+) -> DataFrame:
+    """The rows of ``horizon_rows``, each once for all horizons at which it is the same.
+
+    A case's row only changes where a nearer horizon lets more events in, so there are
+    no more rows than pairs of case and reach. Instead of ``horizon`` it has the places
+    ``_from`` up to, without, ``_to`` of its horizons in turn.
     """
     horizons = in_turn(models)
     model = models[horizons[0]]
@@ -152,18 +173,19 @@ def horizon_rows(
     ]
     if label:
         merged.append(F.max_by("_label", "_last").over(beyond).alias(label))
-    spans = F.sequence(col("_nearest"), col(_REACH) - 1)
     rows = parted.select(*merged)
     rows = rows.withColumns({f"{c}_mean": col(f"{c}_sum") / col("_all") for c in spec.numeric})
     rows = rows.withColumns({f"{c}_std": _deviation(i, c) for i, c in enumerate(spec.numeric)})
-    rows = rows.withColumn(HORIZON, _horizon(spans, horizons))
     if not direct:
         wide = _wide_counts(reached, spec, slots, horizons)
-        same = [col("_case").eqNullSafe(col("_wide_case")), col(HORIZON) == col("_wide_horizon")]
+        # The farthest of the row's horizons; the counts are those of all of them.
+        farthest = F.get(F.lit(horizons), col(_REACH) - 1)
+        same = [col("_case").eqNullSafe(col("_wide_case")), farthest == col("_wide_horizon")]
         rows = rows.join(wide, same).drop("_wide_case", "_wide_horizon")
     names = [*model.numeric_columns, *model.dynamic_columns, *spec.static]
     return rows.select(
-        col("_case").alias(spec.case), HORIZON, *[col(x) for x in names], *([col(label)] if label else [])
+        col("_case").alias(spec.case), *[col(x) for x in names], *([col(label)] if label else []),
+        col("_nearest").alias(FROM), col(_REACH).alias(TO),
     )
 
 
@@ -201,7 +223,7 @@ def at_horizon(
 ) -> DataFrame:
     """The rows of one horizon, as its own encoder would give them.
 
-    Columns of values that its training cases have not yet shown go, and static codes
+    ``rows`` are those of ``horizon_rows``, merged or not. Columns of values that its training cases have not yet shown go, and static codes
     become positions in its shorter lists.
     """
     model, widest = models[horizon], models[min(models)]
@@ -218,4 +240,6 @@ def at_horizon(
         out += [F.when(code == k, 1).otherwise(0).alias(f"{c}_{k}") for k in model._codes(c)]
         out.append(F.lit(0).alias(f"{c}_nan"))
     label = model.get(model.labelCol)
-    return rows.filter(col(HORIZON) == horizon).select(*out, *([col(label)] if label else []))
+    place = in_turn(models).index(horizon)
+    here = (col(FROM) <= place) & (col(TO) > place) if TO in rows.columns else col(HORIZON) == horizon
+    return rows.filter(here).select(*out, *([col(label)] if label else []))

@@ -29,7 +29,7 @@ class HorizonMatrices:
     built: bool
 
     def rows(self, side: str, horizon: int) -> DataFrame:
-        """The rows of ``train`` or ``test``, of which only their own folder is read."""
+        """The rows of ``train`` or ``test``, of which only folders that reach the horizon are read."""
         table = self.spark.read.parquet(f"{self.path}/table").filter(col(SIDE) == side)
         return sweep.at_horizon(table, self.spec, horizon, self.models)
 
@@ -45,12 +45,17 @@ def horizon_matrices(
 ) -> HorizonMatrices:
     """Train and test rows of the horizons in ``folder``, read back if they are there.
 
-    Encoders learn from the training cases left at their horizon. The log is read twice,
+    Encoders learn from the training cases left at their horizon. A row that is the same at
+    several horizons is kept once, so what is written grows with the events, not with the
+    horizons. The log is read twice,
     for the values and for the rows of all horizons; a second call with unchanged input
     files, plan and settings does not read it.
     """
     spark, spec = log.df.sparkSession, log.spec
-    settings = {"spec": repr(spec), "horizons": sweep.in_turn(horizons), "one_hot": one_hot_static, "label": label}
+    settings = {
+        "spec": repr(spec), "horizons": sweep.in_turn(horizons), "one_hot": one_hot_static, "label": label,
+        "rows": "merged",
+    }
     key = content_key([log.df, train_ids, test_ids], settings)
 
     def build(path: str) -> None:
@@ -58,14 +63,14 @@ def horizon_matrices(
         models = sweep.fit_horizons(train, spec, horizons, oneHotStatic=one_hot_static, labelCol=label)
         told = [[h, m.getOrDefault(m.learned)] for h, m in models.items()]
         write_text(spark, f"{path}/encoders.json", json.dumps(told))
-        rows = sweep.horizon_rows(log.df, spec, models)
+        rows = sweep.horizon_rows(log.df, spec, models, True)
         sides = (
             train_ids.select(col(spec.case)).distinct().withColumn(SIDE, F.lit("train"))
             .unionByName(test_ids.select(col(spec.case)).distinct().withColumn(SIDE, F.lit("test")))
         )
         both = rows.join(sides, spec.case).select(*[col(c) for c in rows.columns], SIDE)
         both = both.withColumn(label, col(label).cast("int"))
-        both.write.mode("overwrite").partitionBy(SIDE, sweep.HORIZON).parquet(f"{path}/table")
+        both.write.mode("overwrite").partitionBy(SIDE, sweep.TO).parquet(f"{path}/table")
 
     path, built = kept_under(spark, folder, key, build)
     encoder = CaseEncoder.for_spec(spec, oneHotStatic=one_hot_static, labelCol=label)

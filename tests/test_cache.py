@@ -99,3 +99,12 @@ def test_key_follows_plan_columns_files_and_rows_at_hand(spark, tmp_path):
     assert key(spark.sql(listed.format(1))) == different[-2]
     held = spark.createDataFrame([(1,)], "x int")
     assert key(held) != key(held)
+
+
+def test_a_row_of_many_horizons_is_written_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = [(f"c{i}", "a", at("2024-03-01"), i, 1.0, 0, at("2024-03-29")) for i in range(10)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(path)
+    made = _made(spark, path, str(tmp_path / "kept"), 15)
+    assert spark.read.parquet(f"{made.path}/table").count() == 10
+    assert all(made.rows(s, h).count() == 5 for s in ("train", "test") for h in range(15))

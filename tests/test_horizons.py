@@ -84,3 +84,21 @@ def test_log_is_scanned_once(spark, folder):
     assert scans(rows) == scans(one)
     text = rows._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in text and "Python" not in text
+
+
+def test_merged_rows_stand_once_for_horizons_at_which_they_are_the_same(log, monkeypatch):
+    models = horizons.fit_horizons(log.df, log.spec, range(15))
+    rows = horizons.horizon_rows(log.df, log.spec, models).persist()
+    reached = horizons.with_reach(log.df, log.spec, list(range(15)))
+    pairs = reached.select("case_id", "_reach").distinct().count()
+    assert pairs < rows.count()
+    for direct in (200, 0):
+        monkeypatch.setattr(horizons, "_DIRECT_COLUMNS", direct)
+        merged = horizons.horizon_rows(log.df, log.spec, models, merged=True).persist()
+        assert merged.count() == pairs
+        for h in (0, 6, 14):
+            _same(
+                horizons.at_horizon(merged, log.spec, h, models), horizons.at_horizon(rows, log.spec, h, models)
+            )
+        merged.unpersist()
+    rows.unpersist()
