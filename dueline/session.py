@@ -7,6 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Bytes a task reads or gets from an exchange, instead of Spark's defaults.
+_TASK_BYTES = {
+    "spark.sql.files.maxPartitionBytes": ("134217728b", "16m"),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": ("67108864b", "16m"),
+}
+
 
 def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and local runs."""
@@ -29,11 +35,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     Event times are wall clock times (``timestamp_ntz``), and differences of
     them are taken in the session zone, which therefore has no clock changes.
-    AQE splits skewed join partitions and coalesces small ones.
+    AQE splits skewed join partitions and coalesces small ones. A task gets few bytes, as
+    ids pack well and their hash tables and sorts take many times what is read; settings
+    that differ from Spark's defaults are kept.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    for name, (default, smaller) in _TASK_BYTES.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, smaller)
     return spark
 
 
