@@ -119,7 +119,10 @@ def _derivatives(jobs: list[Job], w: np.ndarray, mean: np.ndarray, scale: np.nda
             seen = fold != (-1 if job.left_out is None else job.left_out)
             loss, first, second = _loss(job.kind, margins[:, j], smooth)
             gradient = x.T @ (seen * sign * first)
-            bent = (x * (seen * second)[:, None]).T @ x
+            weight = seen * second
+            # Rows left out or off the corner of the hinge bend nothing.
+            some = np.flatnonzero(weight)
+            bent = (x[some] * weight[some, None]).T @ x[some]
             out.append(job.c * np.concatenate([[(seen * loss).sum()], gradient, bent.ravel()]))
         return np.concatenate(out)
 
@@ -145,10 +148,14 @@ def fit(blocks: DataFrame, width: int, jobs: list[Job]) -> np.ndarray:
     n, mean, scale = _moments(blocks, width)
     ridge = np.append(1 / scale**2, 0.0)
     w = np.zeros((len(jobs), width + 1))
-    corners = SMOOTH if any(j.kind != "LogisticRegression" for j in jobs) else SMOOTH[-1:]
-    for smooth in corners:
-        close = _CLOSE if smooth == SMOOTH[-1] else _ROUGH
-        w = _newton(blocks, jobs, w, mean, scale, ridge, smooth, n, close)
+    if any(j.kind != "LogisticRegression" for j in jobs):
+        # One model of all rows for each C is near those of its folds, which start there.
+        whole = list(dict.fromkeys(Job(j.kind, j.c, None) for j in jobs))
+        start = np.zeros((len(whole), width + 1))
+        for smooth in SMOOTH:
+            start = _newton(blocks, whole, start, mean, scale, ridge, smooth, n, _ROUGH)
+        w = start[[whole.index(Job(j.kind, j.c, None)) for j in jobs]]
+    w = _newton(blocks, jobs, w, mean, scale, ridge, SMOOTH[-1], n, _CLOSE)
     weights = w[:, :-1] / scale
     return np.column_stack([weights, w[:, -1] - weights @ mean])
 

@@ -89,3 +89,19 @@ def test_areas_of_rows_not_seen(spark, blocks):
 def test_too_wide(blocks):
     with pytest.raises(ValueError, match="trained together"):
         joint.fit(blocks, joint.NEWTON_WIDTH + 1, JOBS)
+
+
+def test_folds_of_a_hinge_start_from_the_model_of_all_rows(blocks, monkeypatch):
+    jobs = [joint.Job("SVM", c, k) for c in (0.001, 1.0) for k in range(FOLDS)]
+    seen = []
+    real = joint._derivatives
+
+    def noted(some, w, mean, scale, smooth):
+        seen.append((smooth, {j.left_out for j in some}))
+        return real(some, w, mean, scale, smooth)
+
+    monkeypatch.setattr(joint, "_derivatives", noted)
+    weights = joint.fit(blocks, WIDTH, jobs)
+    assert all(folds == {None} for smooth, folds in seen if smooth > joint.SMOOTH[-1])
+    monkeypatch.undo()
+    assert (joint.steepness(blocks, WIDTH, jobs, weights) < 1e-9).all()
