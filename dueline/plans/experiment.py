@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from dueline.caselog import CaseLog
@@ -13,6 +16,8 @@ from dueline.sources.tables import RESULT_SCHEMA, read_results, write_csv
 # Classifiers of the experiment and its number of horizons.
 CLASSIFIERS = ("XGBoost", "RandomForest", "LogisticRegression")
 HORIZONS = 15
+# Horizons at work at a time: their many small jobs fill each other's gaps.
+_AT_ONCE = 4
 
 
 def run_experiment(
@@ -28,14 +33,16 @@ def run_experiment(
 ) -> DataFrame:
     """Test AUC per classifier and horizon; also written to ``folder``.
 
-    The loop runs on the driver over jobs; rows stay on the executors. The encoded
-    rows of all horizons come from one pass and are written once, under a key of their
-    inputs, and read by every classifier, also by a later run with the same folder. A
-    horizon at which no case or one class is left gives a null AUC.
+    Some horizons run at once, by threads of the driver that start jobs; rows stay on
+    the executors. The encoded rows of all horizons come from one pass and are written
+    once, under a key of their inputs, and read by every classifier, also by a later run
+    with the same folder. A horizon at which no case or one class is left gives a null AUC.
     """
     spark = log.df.sparkSession
     matrices = horizon_matrices(log, horizons, train_ids, test_ids, f"{folder}/matrices", label=label)
-    for h in horizons:
+
+    @inheritable_thread_target(spark)
+    def run(h: int) -> None:
         saved = {name: matrices.rows(name, h) for name in ("train", "test")}
         columns = [c for c in saved["train"].columns if c not in (log.spec.case, label)]
         classes = saved["train"].select(label).distinct().count()
@@ -53,4 +60,7 @@ def run_experiment(
                 auc = roc_auc(score(found, saved["test"], log.spec, label), "p", label).first()[0]
             row = spark.createDataFrame([(classifier, h, auc)], RESULT_SCHEMA)
             write_csv(row, f"{folder}/{classifier}{h:02d}_results.csv", "overwrite")
+
+    with ThreadPool(_AT_ONCE) as pool:
+        pool.map(run, horizons, chunksize=1)
     return read_results(spark, folder)
