@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from dueline.models import joint, network
+from dueline.models import joint, network, trees
 from dueline.operators.splits import stratified_folds
 from dueline.spec import EventLogSpec, col
 
@@ -251,7 +251,7 @@ def grid_search(
     """Cross-validated search by ROC AUC, refitted on all rows.
 
     Linear models of all points and folds are trained together, C counting the rows
-    of a fold, and so are networks. Other fits run as Spark jobs, ``parallelism`` of them at once. The
+    of a fold, and so are networks, trees and forests. Other fits run as Spark jobs, ``parallelism`` of them at once. The
     training rows (one per case, read once more to count them) are kept on the
     executors, spilling to disk.
     """
@@ -273,6 +273,11 @@ def grid_search(
             metrics = joint.cross_validated(with_folds, width, classifier, cs, folds)
             best = settings[max(range(len(cs)), key=lambda i: metrics[i])]
             return Search(estimator.setParams(**best).fit(with_folds), features, settings, metrics)
+        if classifier == "DecisionTree" and n and width and not holds_vectors(rows, features):
+            drawn = estimator.getBootstrap()
+            metrics = trees.cross_validated(with_folds, width, settings, folds, SEED, drawn)
+            best = settings[max(range(len(settings)), key=lambda i: metrics[i])]
+            return Search(estimator.setParams(**best).fit(with_folds), features, settings, metrics)
         maps = [{estimator.getParam(k): v for k, v in s.items()} for s in settings]
         scorer = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
         search = CrossValidator(
