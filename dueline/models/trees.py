@@ -121,7 +121,7 @@ def unpacked(b: pa.RecordBatch, folds: int) -> Iterator[tuple[np.ndarray, ...]]:
         yield np.frombuffer(x, "u1").reshape(folds, len(y), -1), y, np.frombuffer(fold, "u1"), np.frombuffer(row, "<i8")
 
 
-def _mixed(*parts: np.ndarray | int) -> np.ndarray:
+def mixed(*parts: np.ndarray | int) -> np.ndarray:
     """A hash of 64 bits of some numbers."""
     z = np.zeros(1, "u8")
     with np.errstate(over="ignore"):
@@ -135,14 +135,14 @@ def _mixed(*parts: np.ndarray | int) -> np.ndarray:
 
 def copies(seed: int, tree: int, row: np.ndarray) -> np.ndarray:
     """How often each row stands in the sample of a tree, drawn with replacement."""
-    return np.searchsorted(_COPIES, (_mixed(seed, tree, row) >> np.uint64(11)) / 2.0**53, side="right")
+    return np.searchsorted(_COPIES, (mixed(seed, tree, row) >> np.uint64(11)) / 2.0**53, side="right")
 
 
 def chosen(seed: int, tree: int, places: np.ndarray, width: int, k: int) -> np.ndarray:
     """The features that each node may split by, in order."""
     if k >= width:
         return np.broadcast_to(np.arange(width), (len(places), width))
-    spots = _mixed(seed + 1, tree, places[:, None], np.arange(width)[None, :])
+    spots = mixed(seed + 1, tree, places[:, None], np.arange(width)[None, :])
     return np.sort(np.argpartition(spots, k - 1, axis=1)[:, :k], axis=1)
 
 
