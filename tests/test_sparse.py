@@ -81,3 +81,20 @@ def test_more_values_than_columns_would_hold(spark):
     rows = sparse.encode_sparse(df, spec, slots)
     found = tuning.fit_one(rows, spec, [sparse.FEATURES], "LogisticRegression", {"C": 1.0})
     assert tuning.score(found, rows, spec).filter("p between 0 and 1").count() == 500
+
+
+def test_a_log_that_lies_by_case_stays_there(make_log):
+    log = make_log(ROWS, EXTRA, **ROLES)
+    slots = sparse.learn_slots(log.df, log.spec)
+    # One exchange of the rows for each of the two aggregates, none of counts or lists.
+    placed = log.df.repartition(3, "case_id")
+    plan = sparse.stored_vectors(placed, log.spec, slots)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "Expand" not in plan
+
+
+def test_slots_too_many_to_broadcast(make_log, monkeypatch):
+    log = make_log(ROWS, EXTRA, **ROLES)
+    slots = sparse.learn_slots(log.df, log.spec)
+    sent = by_name(sparse.encode_sparse(log.df, log.spec, slots), log, slots)
+    monkeypatch.setattr(sparse, "_BROADCAST_SLOTS", 0)
+    assert by_name(sparse.encode_sparse(log.df, log.spec, slots), log, slots) == sent and sent
