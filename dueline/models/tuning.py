@@ -78,8 +78,10 @@ PARAM_GRIDS = {
     },
 }
 SEED = 42
-# Passes of a linear fit are short, so a task should have some rows.
+# Passes of a linear fit are short, so a task should have some rows. Each sends one sum
+# per feature, so there are at most so many for a core, however many rows there are.
 _ROWS_PER_TASK = 50_000
+_TASKS_PER_CORE = 3
 
 # Deepest tree Spark ML builds; stands for "no limit".
 _DEEPEST = 30
@@ -188,7 +190,8 @@ def _placed(rows: DataFrame, spec: EventLogSpec, classifier: str, count: int) ->
     optimum however rows lie, so few rows lie in few partitions there.
     """
     if classifier in ("LogisticRegression", "SVM"):
-        return rows.coalesce(max(1, -(-count // _ROWS_PER_TASK)))
+        most = _TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
+        return rows.coalesce(min(max(1, -(-count // _ROWS_PER_TASK)), most))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, col(spec.case)).sortWithinPartitions(col(spec.case))
 

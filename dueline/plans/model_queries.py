@@ -302,11 +302,11 @@ def model_wide(spark, folder):
     log = labelled_orders(spark, folder).with_spec(**_WIDE)
     log = cut_before_deadline(log, HORIZON)
     train_ids, test_ids = year_split(spark, folder, log.spec)
-    train = log.keep_cases(train_ids).df
-    slots = sparse.learn_slots(train, log.spec)
-    rows = sparse.encode_sparse(train, log.spec, slots)
-    found = tuning.fit_one(rows, log.spec, [sparse.FEATURES], "LogisticRegression", {"C": 0.1})
-    test = sparse.encode_sparse(log.keep_cases(test_ids).df, log.spec, slots)
+    slots = sparse.learn_slots(log.keep_cases(train_ids).df, log.spec)
+    # All cases are encoded once; the sides part the vectors.
+    rows = sparse.encode_sparse(log.df, log.spec, slots)
+    train, test = (rows.join(ids.select("case_id"), "case_id", "left_semi") for ids in (train_ids, test_ids))
+    found = tuning.fit_one(train, log.spec, [sparse.FEATURES], "LogisticRegression", {"C": 0.1})
     facts = _facts(tuning.score(found, test, log.spec), probability=True)
     return spark.createDataFrame([facts], _FACTS)
 

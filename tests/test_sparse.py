@@ -98,3 +98,20 @@ def test_slots_too_many_to_broadcast(make_log, monkeypatch):
     sent = by_name(sparse.encode_sparse(log.df, log.spec, slots), log, slots)
     monkeypatch.setattr(sparse, "_BROADCAST_SLOTS", 0)
     assert by_name(sparse.encode_sparse(log.df, log.spec, slots), log, slots) == sent and sent
+
+
+def test_wide_model_encodes_once(spark, folder, monkeypatch):
+    from dueline.plans import model_queries
+
+    calls, real = [], sparse.encode_sparse
+    monkeypatch.setattr(sparse, "encode_sparse", lambda *a: calls.append(1) or real(*a))
+    assert model_queries.model_wide(spark, folder).first()["auc_agrees"] and len(calls) == 1
+
+
+def test_linear_fits_have_few_tasks_for_many_rows(spark):
+    from conftest import SMALL
+
+    most = tuning._TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 1000, 1, most + 10)
+    placed = tuning._placed(rows, SMALL, "LogisticRegression", 10**9)
+    assert placed.rdd.getNumPartitions() == most
