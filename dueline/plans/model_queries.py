@@ -161,14 +161,10 @@ def threshold_auc(spark, folder):
 
 
 def _sides(spark, folder, horizon=HORIZON):
-    """Train and test rows of the orders, written once and read by every fit."""
+    """Train and test rows of the orders, written once by ``train_test_rows`` and read by every fit."""
     log = labelled_orders(spark, folder)
     sides = train_test_rows(log, horizon, *year_split(spark, folder, log.spec))
-    path = scratch_path(spark, "rows")
-    write_parquet(sides.train, f"{path}/train")
-    write_parquet(sides.test, f"{path}/test")
-    train, test = (spark.read.parquet(f"{path}/{n}") for n in ("train", "test"))
-    return log.spec, sides.encoder.columns, train, test
+    return log.spec, sides.encoder.columns, sides.train, sides.test
 
 
 def _fitted(classifier, point):

@@ -137,3 +137,10 @@ def test_registered_searches_are_whole(spark, sides, folder, monkeypatch):
     got = {(r["Classifier"], r["timediff"]) for q in families for r in catalog.QUERIES[q](spark, folder).collect()}
     assert got == {(c, h) for c in experiment.CLASSIFIERS for h in range(15)}
     assert sorted(asked) == sorted((c, whole[c], 5) for _ in range(15) for c in experiment.CLASSIFIERS)
+
+
+def test_sides_are_written_once(spark, folder):
+    from dueline.plans import model_queries
+
+    _, _, train, test = model_queries._sides(spark, folder)
+    assert all("/sides-" in f for side in (train, test) for f in side.inputFiles())
