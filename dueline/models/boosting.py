@@ -13,19 +13,22 @@ up over the blocks; only the splits found come to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
 
 from dueline.models import joint, trees
 from dueline.session import shared_folder
 
+#: Bytes of bins that one task takes, and codes that some features may have together.
+ALONE, CODES = 1 << 26, 1024
 #: Rows of a block, points that share a copy of it, rounds between checkpoints.
 BLOCK, _MODELS, _KEPT = 60_000, 4, 20
 _KEEP = StorageLevel.MEMORY_AND_DISK
@@ -57,6 +60,151 @@ class Block:
     margins: dict[int, np.ndarray]
 
 
+def _joint(x: np.ndarray, rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features, in turn, as one code as long as few occur: the codes of all rows, and the bins of each code as flags."""
+    most = min(CODES, max(trees.BINS, rows // 64))
+    out, codes, bins = [], None, np.zeros((1, 0), int)
+
+    def close() -> None:
+        flags = np.zeros((len(bins), bins.shape[1], trees.BINS))
+        np.put_along_axis(flags, bins[:, :, None], 1.0, axis=2)
+        out.append((codes, flags.reshape(len(bins), -1)))
+
+    for f, v in enumerate(x):
+        both = v.astype(int) if codes is None else codes.astype(int) * trees.BINS + v
+        there = np.bincount(both, minlength=len(bins) * trees.BINS) > 0
+        if codes is not None and there.sum() > most:
+            close()
+            both, bins = v.astype(int), np.zeros((1, 0), int)
+            there = np.bincount(both, minlength=trees.BINS) > 0
+        found = np.flatnonzero(there)
+        bins = np.column_stack([bins[found // trees.BINS], found % trees.BINS])
+        codes = (np.cumsum(there) - 1).astype("u2")[both]
+    close()
+    return out
+
+
+@dataclass
+class Alone:
+    """All rows of a set of bins in one task, which trains whole models on them."""
+
+    x: np.ndarray
+    y: np.ndarray
+    held: np.ndarray
+    row: np.ndarray
+    seed: int
+
+    def __post_init__(self) -> None:
+        self.joint = _joint(self.x, len(self.y))
+        self.train, self.rest = np.flatnonzero(~self.held), np.flatnonzero(self.held)
+
+    def sample(self, draw: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows drawn for a tree, and those that only get its scores."""
+        if share >= 1:
+            return self.train, self.rest
+        some = (trees.mixed(self.seed + draw, 0, self.row[self.train]) >> np.uint64(11)) / 2.0**53 < share
+        return self.train[some], np.concatenate([self.train[~some], self.rest])
+
+    def counted(self, rows: np.ndarray, slopes: np.ndarray) -> np.ndarray:
+        """Rows and sums of slopes by feature and bin."""
+        own, out = slopes[rows], []
+        for codes, flags in self.joint:
+            c = codes[rows].astype(np.intp)
+            h = np.stack([np.bincount(c, minlength=len(flags)), np.bincount(c, own, len(flags))])
+            out.append((h @ flags).reshape(2, -1, trees.BINS))
+        return np.concatenate(out, axis=1)
+
+    def tree(self, jobs: list[Job], slopes: np.ndarray, draw: int) -> tuple[trees.Tree, list, np.ndarray] | None:
+        """A tree with the rows and the gain of every node, or None if it is not the same for all jobs.
+
+        Of two siblings the one with fewer rows is counted, the other has what is left of the parent.
+        """
+        job, width = jobs[0], len(self.x)
+        tree, rows, gains = trees.Tree.at(0, 1, np.zeros(2)), [self.sample(draw, jobs[0].share)], np.full(1, -1.0)
+        front, h = np.array([0]), self.counted(rows[0][0], slopes)[:, None]
+        while len(front):
+            may = trees.chosen(self.seed, draw, tree.place[front], width, job.seen)
+            found = [_best(h, j, may) for j in {j.least: j for j in jobs}.values()]
+            gain, feature, cut, left, own = found[0]
+            wins = gain > 0
+            for other in found[1:]:
+                if not all(np.array_equal(np.where(wins, u, 0), np.where(other[0] > 0, v, 0)) for u, v in zip(found[0][:3], other, strict=False)):
+                    return None
+            tree.weight[front], gains[front] = own, np.where(wins, gain, -1.0)
+            new = tree.split(front, np.broadcast_to(np.arange(width), (len(front), width)), (gain, feature, cut, left))
+            gains = np.append(gains, np.full(len(new), -1.0))
+            for p in front[wins]:
+                bins, parts = self.x[tree.feature[p]], rows[p]
+                right = [bins[r] > tree.cut[p] for r in parts]
+                rows += [tuple(r[~m] for r, m in zip(parts, right, strict=True)), tuple(r[m] for r, m in zip(parts, right, strict=True))]
+                rows[p] = None
+            if not len(new) or tree.level[new[0]] == job.depth:
+                break
+            parents, h = h[:, wins], np.empty((2, len(new), width, trees.BINS))
+            for i in range(0, len(new), 2):
+                less = i + (len(rows[new[i + 1]][0]) < len(rows[new[i]][0]))
+                h[:, less] = self.counted(rows[new[less]][0], slopes)
+                h[:, 2 * i + 1 - less] = parents[:, i // 2] - h[:, less]
+            front = new
+        return tree, rows, gains
+
+    def trained(self, jobs: list[tuple[int, Job]]) -> Iterator[tuple[int, np.ndarray, list]]:
+        """Margins and trees of models that differ only in the least rows of a leaf: one as long as they are the same."""
+        todo = [(jobs, 0, np.zeros(len(self.y)), [])]
+        while todo:
+            some, at, margin, made = todo.pop()
+            for draw in range(at, some[0][1].rounds):
+                with np.errstate(over="ignore"):
+                    slopes = 4 * self.y / (1 + np.exp(2 * self.y * margin)) if draw else self.y
+                found = self.tree([j for _, j in some], slopes, draw)
+                if found is None:
+                    todo += [([j], draw, margin.copy(), list(made)) for j in some]
+                    break
+                tree, rows, gains = found
+                value = tree.weight[:, 1] / np.maximum(tree.weight[:, 0], 1)
+                step = some[0][1].step if draw else 1.0
+                squares = np.zeros(len(value))
+                for node, parts in enumerate(rows):
+                    if parts is not None:
+                        for r in parts:
+                            margin[r] += value[node] * step
+                        squares[node] = slopes[parts[0]] @ slopes[parts[0]]
+                for node in range(len(value) - 1, 0, -1):
+                    squares[tree.parent[node]] += squares[node]
+                made.append((tree, value, gains, squares))
+            else:
+                for j, _ in some:
+                    yield j, margin, made
+
+
+def _alone(binned: DataFrame, jobs: list[Job], sets: list[int], folds: int, seed: int, give: Callable) -> tuple[RDD, RDD]:
+    """The rows by set of bins, and what ``give`` makes of every model, trained by tasks that hold all rows of a set."""
+    plan = []
+    for k in sets:
+        like: dict[Job, list] = {}
+        for j, job in enumerate(jobs):
+            if job.left_out == k:
+                like.setdefault(replace(job, least=0), []).append((j, job))
+        plan.append(sorted(like.values(), key=lambda some: -some[0][1].depth * some[0][1].rounds))
+    place = {k: i for i, k in enumerate(sets)}
+
+    def run(pairs: Iterator[tuple]) -> Iterator:
+        pairs = list(pairs)
+        if not pairs:
+            return
+        group, k = pairs[0][0], pairs[0][1][0]
+        own = plan[place[k]]
+        if group < len(own):
+            x, y, fold, row = trees.joined([b for _, b in pairs])
+            pairs.clear()
+            whole = Alone(x, 2.0 * y - 1, fold == k, row, seed)
+            for j, margin, made in whole.trained(own[group]):
+                yield from give(j, whole, margin, made)
+
+    whole = trees.gathered(binned, sets, folds).persist(_KEEP)
+    return whole, trees.dealt(whole, max(map(len, plan))).mapPartitions(run)
+
+
 def _blocks(binned: DataFrame, jobs: list[Job], folds: int) -> RDD:
     """One copy of the rows of a partition for each group of models."""
     groups = []
@@ -190,12 +338,14 @@ def fit(binned: DataFrame, jobs: list[Job], folds: int, width: int, seed: int) -
     return blocks
 
 
-def scored(blocks: RDD) -> DataFrame:
-    """(job, label, score) of the rows that a model has not seen."""
+def _held(b: Block) -> Iterator[tuple]:
+    """(job, label, score) of the rows that a model of a block has not seen, as bytes."""
+    for j, margin in b.margins.items():
+        yield j, bytearray(((b.y[b.held] + 1) / 2).tobytes()), bytearray(margin[b.held].tobytes())
 
-    def run(b: Block) -> Iterator[tuple]:
-        for j, margin in b.margins.items():
-            yield j, bytearray(((b.y[b.held] + 1) / 2).tobytes()), bytearray(margin[b.held].tobytes())
+
+def _scores(found: RDD) -> DataFrame:
+    """(job, label, score) of what ``_held`` gives."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,25 +356,67 @@ def scored(blocks: RDD) -> DataFrame:
                 )
 
     spark = SparkSession.active()
-    found = spark.createDataFrame(blocks.flatMap(run), "job int, label binary, score binary", verifySchema=False)
-    return found.mapInArrow(spread, "job int, label double, score double")
+    made = spark.createDataFrame(found, "job int, label binary, score binary", verifySchema=False)
+    return made.mapInArrow(spread, "job int, label double, score double")
+
+
+def scored(blocks: RDD) -> DataFrame:
+    """(job, label, score) of the rows that a model has not seen."""
+    return _scores(blocks.flatMap(_held))
+
+
+def _job(s: dict, left_out: int, width: int) -> Job:
+    return Job(
+        left_out, s["maxDepth"], s["minInstancesPerNode"], s["stepSize"], s["subsamplingRate"],
+        trees.seen(s["featureSubsetStrategy"], width, 1), s["maxIter"],
+    )
 
 
 def cross_validated(with_folds: DataFrame, n: int, width: int, settings: list[dict], folds: int, seed: int) -> list[float]:
-    """Mean area over the folds for each setting, from one training of all models."""
-    jobs = [
-        Job(k, s["maxDepth"], s["minInstancesPerNode"], s["stepSize"], s["subsamplingRate"],
-            trees.seen(s["featureSubsetStrategy"], width, 1), s["maxIter"])
-        for s in settings for k in range(folds)
-    ]
+    """Mean area over the folds for each setting, from one training of all models.
+
+    Where a task can hold the bins of all rows, it trains whole models.
+    """
+    jobs = [_job(s, k, width) for s in settings for k in range(folds)]
     cuts = trees.learnt_cuts(with_folds, folds, seed)
-    rows = trees.binned(with_folds, cuts).repartition(ceil(n / BLOCK)).persist(_KEEP)
+    rows = trees.binned(with_folds, cuts)
     blocks = None
     try:
-        blocks = fit(rows, jobs, folds, width, seed)
-        found = joint.areas(scored(blocks))
+        if n * width <= ALONE:
+            blocks, found = _alone(
+                rows, jobs, list(range(folds)), folds, seed,
+                lambda j, whole, margin, made: _held(Block(whole.x, whole.y, whole.held, whole.row, {j: margin})),
+            )
+            found = joint.areas(_scores(found.persist(_KEEP)))
+        else:
+            rows = rows.repartition(ceil(n / BLOCK)).persist(_KEEP)
+            blocks = fit(rows, jobs, folds, width, seed)
+            found = joint.areas(scored(blocks))
     finally:
         rows.unpersist()
         if blocks is not None:
             blocks.unpersist()
     return [sum(found.get(i * folds + k, 0.0) for k in range(folds)) / folds for i in range(len(settings))]
+
+
+def refitted(rows: DataFrame, n: int, width: int, estimator: GBTClassifier, setting: dict, seed: int) -> GBTClassificationModel:
+    """The model of one setting on all rows; by Spark ML where no task can hold their bins."""
+    estimator = estimator.setParams(**setting)
+    if n * width > ALONE:
+        return estimator.fit(rows)
+    job = _job(setting, -1, width)
+    cuts = trees.learnt_cuts(rows, 1, seed, whole=True)
+
+    def nodes(j: int, whole: Alone, margin: np.ndarray, made: list) -> Iterator[tuple]:
+        for t, (tree, value, gains, squares) in enumerate(made):
+            count, total = tree.weight.T
+            spread = squares / np.maximum(count, 1) - value * value
+            stats = np.column_stack([count, total, squares])
+            yield from trees.saved(t, tree, cuts[0], value, spread, stats, gains)
+
+    whole, found = _alone(trees.binned(rows, cuts), [job], [-1], 1, seed, nodes)
+    try:
+        weights = [1.0] + [job.step] * (job.rounds - 1)
+        return trees.loaded(estimator, GBTClassificationModel, "regression.DecisionTreeRegressionModel", found, weights, width)
+    finally:
+        whole.unpersist()

@@ -15,18 +15,23 @@ of the left-out fold go down the same way, without weight, and come back as scor
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
+from pyspark.ml import Estimator, Transformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from dueline.models import joint
+from dueline.session import scratch_path
+from dueline.sources.cache import write_text
 
 #: Bins of a feature, rows they are learnt from, training rows of a node one task grows.
 BINS, SAMPLE, LOCAL = 32, 10_000, 65_536
@@ -74,16 +79,21 @@ def _cuts(values: np.ndarray, bins: int) -> np.ndarray:
     return np.array(out)
 
 
-def learnt_cuts(rows: DataFrame, folds: int, seed: int) -> list[list[np.ndarray]]:
-    """Borders of every feature for each fold left out, from a sample of the rows it leaves."""
+def learnt_cuts(rows: DataFrame, folds: int, seed: int, whole: bool = False) -> list[list[np.ndarray]]:
+    """Borders of every feature for each fold left out, from a sample of the rows it leaves.
+
+    With ``whole`` they are those of all rows only.
+    """
     counts = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
     n = sum(counts.values())
-    share = SAMPLE * folds / (n * (folds - 1))
+    share = SAMPLE / n if whole else SAMPLE * folds / (n * (folds - 1))
     some = rows.sample(False, share, seed) if share < 1 else rows
     found = some.select(vector_to_array("features").alias("x"), F.col("fold").cast("int")).toArrow().combine_chunks()
     fold = found.column(1).to_numpy()
     x = found.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(fold), -1)
     out = []
+    if whole:
+        return [[_cuts(c, min(BINS, n)) for c in x.T]]
     for k in range(folds):
         bins = min(BINS, n - counts.get(k, 0))
         out.append([_cuts(c[fold != k], bins) for c in x.T])
@@ -121,6 +131,35 @@ def unpacked(b: pa.RecordBatch, folds: int) -> Iterator[tuple[np.ndarray, ...]]:
         yield np.frombuffer(x, "u1").reshape(folds, len(y), -1), y, np.frombuffer(fold, "u1"), np.frombuffer(row, "<i8")
 
 
+def gathered(blocks: DataFrame, sets: list[int], folds: int) -> RDD:
+    """One partition for each set of bins, with its (set, x, y, fold, row) of all blocks."""
+
+    def apart(records: Iterator) -> Iterator[tuple]:
+        for r in records:
+            block = pa.RecordBatch.from_pydict({n: [bytes(r[n])] for n in ("x", "y", "fold", "row")})
+            for x, y, fold, row in unpacked(block, folds):
+                for i, k in enumerate(sets):
+                    yield i, (k, x[k].copy(), y, fold, row)
+
+    return blocks.rdd.mapPartitions(apart).partitionBy(len(sets), lambda i: i).values()
+
+
+def dealt(whole: RDD, groups: int) -> RDD:
+    """(group, block) of every group and partition, one task for each pair; the first groups come first."""
+    return whole.context.parallelize(range(groups), groups).cartesian(whole)
+
+
+def joined(blocks: list[tuple]) -> tuple[np.ndarray, ...]:
+    """x by feature, y, fold and row of the blocks of a set, in the order of their rows."""
+    blocks.sort(key=lambda b: b[4][0])
+    x = np.empty((blocks[0][1].shape[1], sum(len(b[2]) for b in blocks)), "u1")
+    at = 0
+    for b in blocks:
+        x[:, at : at + len(b[2])] = b[1].T
+        at += len(b[2])
+    return x, *(np.concatenate([b[i] for b in blocks]) for i in (2, 3, 4))
+
+
 def mixed(*parts: np.ndarray | int) -> np.ndarray:
     """A hash of 64 bits of some numbers."""
     z = np.zeros(1, "u8")
@@ -495,3 +534,45 @@ def cross_validated(with_folds: DataFrame, width: int, settings: list[dict], fol
         return found.get((g * folds + k) * len(pairs) + pair, 0.0)
 
     return [sum(area(p, k) for k in range(folds)) / folds for p in points]
+
+
+_SAVED = (
+    "treeID int, nodeData struct<id: int, prediction: double, impurity: double, impurityStats: array<double>, rawCount: long, "
+    "gain: double, leftChild: int, rightChild: int, "
+    "split: struct<featureIndex: int, leftCategoriesOrThreshold: array<double>, numCategories: int>>"
+)
+
+
+def saved(number: int, tree: Tree, cuts: list[np.ndarray], value, impurity, stats: np.ndarray, gains) -> Iterator[tuple]:
+    """The nodes of a tree as Spark ML saves them."""
+    for i, left in enumerate(tree.left.tolist()):
+        split = (-1, [], -1)
+        if left >= 0:
+            split = (int(tree.feature[i]), [float(cuts[tree.feature[i]][tree.cut[i]])], -1)
+        yield number, (
+            i, float(value[i]), float(impurity[i]), stats[i].tolist(), int(stats[i].sum() if stats.shape[1] == 2 else stats[i, 0]),
+            float(gains[i]) if left >= 0 else -1.0, left, left + 1 if left >= 0 else -1, split,
+        )
+
+
+def loaded(estimator: Estimator, model: type, tree: str, nodes: RDD, weights: list[float], width: int, **facts) -> Transformer:
+    """A model of Spark ML from the nodes of its trees, read as one that it has saved."""
+    spark = SparkSession.active()
+    path = scratch_path(spark, "trees")
+    params = {
+        "paramMap": {p.name: v for p, v in estimator._paramMap.items()},
+        "defaultParamMap": {p.name: v for p, v in estimator._defaultParamMap.items()},
+    }
+    head = {"timestamp": 0, "sparkVersion": spark.version}
+    told = head | params | {
+        "class": f"org.apache.spark.ml.classification.{model.__name__}", "uid": estimator.uid,
+        "numFeatures": width, "numTrees": len(weights), **facts,
+    }
+    own = [json.dumps(head | {
+        "class": f"org.apache.spark.ml.{tree}", "uid": f"{estimator.uid}_{i}", "paramMap": {}, "defaultParamMap": {},
+    }) for i in range(len(weights))]
+    spark.createDataFrame(nodes, _SAVED, verifySchema=False).write.parquet(f"{path}/data")
+    each = spark.createDataFrame([(i, t, w) for i, (t, w) in enumerate(zip(own, weights, strict=True))], "_1 int, _2 string, _3 double")
+    each.coalesce(1).write.parquet(f"{path}/treesMetadata")
+    write_text(spark, f"{path}/metadata/part-00000", json.dumps(told))
+    return model.load(path)
