@@ -60,17 +60,21 @@ class Block:
     margins: dict[int, np.ndarray]
 
 
-def _joint(x: np.ndarray, rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Features, in turn, as one code as long as few occur: the codes of all rows, and the bins of each code as flags."""
-    most = min(CODES, max(trees.BINS, rows // 64))
-    out, codes, bins = [], None, np.zeros((1, 0), int)
+def _joint(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features, in turn, as one code as long as few occur: codes of all rows, places of the bins, flags of each code."""
+    most = min(CODES, max(trees.BINS, x.shape[1] // 64))
+    out, codes, bins, done = [], None, np.zeros((1, 0), int), 0
 
     def close() -> None:
-        flags = np.zeros((len(bins), bins.shape[1], trees.BINS))
-        np.put_along_axis(flags, bins[:, :, None], 1.0, axis=2)
-        out.append((codes, flags.reshape(len(bins), -1)))
-
-    for f, v in enumerate(x):
+        nonlocal done
+        places = (np.arange(done, done + bins.shape[1]) * trees.BINS + bins).ravel()
+        there, own = np.unique(places, return_inverse=True)
+        flags = np.zeros((len(bins), len(there)))
+        flags[np.repeat(np.arange(len(bins)), bins.shape[1]), own] = 1.0
+        out.append((codes, there, flags))
+        done += bins.shape[1]
+
+    for v in x:
         both = v.astype(int) if codes is None else codes.astype(int) * trees.BINS + v
         there = np.bincount(both, minlength=len(bins) * trees.BINS) > 0
         if codes is not None and there.sum() > most:
@@ -95,7 +99,7 @@ class Alone:
     seed: int
 
     def __post_init__(self) -> None:
-        self.joint = _joint(self.x, len(self.y))
+        self.joint = _joint(self.x)
         self.train, self.rest = np.flatnonzero(~self.held), np.flatnonzero(self.held)
 
     def sample(self, draw: int, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -105,14 +109,17 @@ class Alone:
         some = (trees.mixed(self.seed + draw, 0, self.row[self.train]) >> np.uint64(11)) / 2.0**53 < share
         return self.train[some], np.concatenate([self.train[~some], self.rest])
 
-    def counted(self, rows: np.ndarray, slopes: np.ndarray) -> np.ndarray:
-        """Rows and sums of slopes by feature and bin."""
-        own, out = slopes[rows], []
-        for codes, flags in self.joint:
-            c = codes[rows].astype(np.intp)
-            h = np.stack([np.bincount(c, minlength=len(flags)), np.bincount(c, own, len(flags))])
-            out.append((h @ flags).reshape(2, -1, trees.BINS))
-        return np.concatenate(out, axis=1)
+    def counted(self, nodes: list[np.ndarray], slopes: np.ndarray) -> np.ndarray:
+        """Rows and sums of slopes by node, feature and bin."""
+        own, out = [slopes[rows] for rows in nodes], np.zeros((2, len(nodes), len(self.x) * trees.BINS))
+        for codes, places, flags in self.joint:
+            h = np.empty((2, len(nodes), len(flags)))
+            for i, rows in enumerate(nodes):
+                c = codes[rows].astype(np.intp)
+                h[0, i] = np.bincount(c, minlength=len(flags))
+                h[1, i] = np.bincount(c, own[i], len(flags))
+            out[..., places] = h @ flags
+        return out.reshape(2, len(nodes), -1, trees.BINS)
 
     def tree(self, jobs: list[Job], slopes: np.ndarray, draw: int) -> tuple[trees.Tree, list, np.ndarray] | None:
         """A tree with the rows and the gain of every node, or None if it is not the same for all jobs.
@@ -121,7 +128,7 @@ class Alone:
         """
         job, width = jobs[0], len(self.x)
         tree, rows, gains = trees.Tree.at(0, 1, np.zeros(2)), [self.sample(draw, jobs[0].share)], np.full(1, -1.0)
-        front, h = np.array([0]), self.counted(rows[0][0], slopes)[:, None]
+        front, h = np.array([0]), self.counted([rows[0][0]], slopes)
         while len(front):
             may = trees.chosen(self.seed, draw, tree.place[front], width, job.seen)
             found = [_best(h, j, may) for j in {j.least: j for j in jobs}.values()]
@@ -141,10 +148,9 @@ class Alone:
             if not len(new) or tree.level[new[0]] == job.depth:
                 break
             parents, h = h[:, wins], np.empty((2, len(new), width, trees.BINS))
-            for i in range(0, len(new), 2):
-                less = i + (len(rows[new[i + 1]][0]) < len(rows[new[i]][0]))
-                h[:, less] = self.counted(rows[new[less]][0], slopes)
-                h[:, 2 * i + 1 - less] = parents[:, i // 2] - h[:, less]
+            fewer = np.array([i + (len(rows[new[i + 1]][0]) < len(rows[new[i]][0])) for i in range(0, len(new), 2)])
+            h[:, fewer] = self.counted([rows[new[i]][0] for i in fewer], slopes)
+            h[:, fewer ^ 1] = parents - h[:, fewer]
             front = new
         return tree, rows, gains
 

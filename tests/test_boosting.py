@@ -75,9 +75,9 @@ def test_features_are_counted_jointly_where_few_codes_occur():
     rng = np.random.default_rng(2)
     x = np.stack([rng.integers(0, 4, 5000), rng.integers(0, 3, 5000), *rng.integers(0, 32, (3, 5000)), np.zeros(5000)]).astype("u1")
     whole = boosting.Alone(x, rng.normal(size=5000), np.zeros(5000, bool), np.arange(5000), 42)
-    assert [flags.shape[1] // 32 for _, flags in whole.joint] == [2, 1, 1, 2]
+    assert [flags.shape for _, _, flags in whole.joint] == [(12, 7), (32, 32), (32, 32), (32, 33)]
     rows = np.flatnonzero(rng.random(5000) < 0.5)
-    counts, sums = whole.counted(rows, whole.y)
+    (counts,), (sums,) = whole.counted([rows], whole.y)
     for f in range(6):
         assert (counts[f] == np.bincount(x[f, rows], minlength=32)).all()
         assert sums[f] == pytest.approx(np.bincount(x[f, rows], whole.y[rows], 32), abs=1e-9)
