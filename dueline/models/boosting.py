@@ -201,7 +201,7 @@ def _alone(binned: DataFrame, jobs: list[Job], sets: list[int], folds: int, seed
         group, k = pairs[0][0], pairs[0][1][0]
         own = plan[place[k]]
         if group < len(own):
-            x, y, fold, row = trees.joined([b for _, b in pairs])
+            x, y, fold, row = trees.joined([b for _, b in pairs], True)
             pairs.clear()
             whole = Alone(x, 2.0 * y - 1, fold == k, row, seed)
             for j, margin, made in whole.trained(own[group]):

@@ -33,6 +33,8 @@ from dueline.models import joint
 from dueline.session import scratch_path
 from dueline.sources.cache import write_text
 
+#: Bytes of bins that one task takes.
+ALONE = 1 << 27
 #: Bins of a feature, rows they are learnt from, training rows of a node one task grows.
 BINS, SAMPLE, LOCAL = 32, 10_000, 65_536
 #: Nodes whose histograms are held at once by a task alone, sent as one, and how many such a pass makes.
@@ -149,15 +151,15 @@ def dealt(whole: RDD, groups: int) -> RDD:
     return whole.context.parallelize(range(groups), groups).cartesian(whole)
 
 
-def joined(blocks: list[tuple]) -> tuple[np.ndarray, ...]:
-    """x by feature, y, fold and row of the blocks of a set, in the order of their rows."""
+def joined(blocks: list[tuple], by_feature: bool) -> tuple[np.ndarray, ...]:
+    """x, y, fold and row of the blocks of a set, in the order of their rows."""
     blocks.sort(key=lambda b: b[4][0])
-    x = np.empty((blocks[0][1].shape[1], sum(len(b[2]) for b in blocks)), "u1")
-    at = 0
+    shape = sum(len(b[2]) for b in blocks), blocks[0][1].shape[1]
+    x, at = np.empty(shape, "u1", "F" if by_feature else "C"), 0
     for b in blocks:
-        x[:, at : at + len(b[2])] = b[1].T
+        x[at : at + len(b[2])] = b[1]
         at += len(b[2])
-    return x, *(np.concatenate([b[i] for b in blocks]) for i in (2, 3, 4))
+    return x.T if by_feature else x, *(np.concatenate([b[i] for b in blocks]) for i in (2, 3, 4))
 
 
 def mixed(*parts: np.ndarray | int) -> np.ndarray:
@@ -240,7 +242,8 @@ class Tree:
         """Those of the nodes that may be split."""
         w = self.weight[nodes]
         mixed = np.abs(_impurity(growth.impurity, w[:, 0], w[:, 1])) >= 2.0**-52
-        return nodes[mixed & (self.level[nodes] < depth)]
+        # Both children need the least rows.
+        return nodes[mixed & (self.level[nodes] < depth) & (w.sum(axis=1) >= 2 * growth.least)]
 
     def split(self, nodes: np.ndarray, features: np.ndarray, found: tuple[np.ndarray, ...]) -> np.ndarray:
         """Split nodes where there is a gain; gives the new nodes."""
@@ -304,29 +307,28 @@ class Tree:
         return self.weight[nodes, 1] / np.maximum(self.weight[nodes].sum(axis=1), 1)
 
 
-def grown(tree: Tree, x: np.ndarray, y: np.ndarray, weight: np.ndarray, growth: Growth, depth: int, key: tuple[int, int]) -> np.ndarray:
-    """Grow a tree of one node to its end; gives the leaf of every row."""
-    at = np.zeros(len(y), int)
+def grown(tree: Tree, x: np.ndarray, y: np.ndarray, weight: np.ndarray, growth: Growth, depth: int, key: tuple[int, int]) -> None:
+    """Grow a tree of one node to its end, from rows with a weight."""
+    some = np.flatnonzero(weight)
+    x, y, weight, at = x[some], y[some], weight[some], np.zeros(len(some), int)
     front = tree.open(np.array([0]), growth, depth)
-    train = np.flatnonzero(weight)
     while len(front):
         spot = np.full(len(tree.level), -1)
         spot[front] = np.arange(len(front))
-        own = spot[at[train]]
-        train, own = train[own >= 0], own[own >= 0]
-        order = np.argsort(own, kind="stable")
-        train, own = train[order], own[order]
+        own = spot[at]
+        # Rows of a node stand together, so that a level reads them in their order.
+        order = np.flatnonzero(own >= 0)
+        order = order[np.argsort(own[order], kind="stable")]
+        x, y, weight, at, own = x[order], y[order], weight[order], at[order], own[order]
         new = []
         for a in range(0, len(front), _NODES):
             nodes = front[a : a + _NODES]
             lo, hi = np.searchsorted(own, [a, a + len(nodes)])
-            rows = train[lo:hi]
             features = chosen(*key, tree.place[nodes], x.shape[1], growth.seen)
-            h = _histogram(x[rows], y[rows], weight[rows], own[lo:hi] - a, features)
+            h = _histogram(x[lo:hi], y[lo:hi], weight[lo:hi], own[lo:hi] - a, features)
             new.append(tree.split(nodes, features, _best(h, growth)))
         at = tree.down(x, at)
         front = tree.open(np.concatenate(new), growth, depth)
-    return at
 
 
 @dataclass
@@ -418,6 +420,50 @@ def _tops(blocks: DataFrame, search: Search, width: int) -> list[Tree]:
     return trees
 
 
+def _alone(whole: RDD, search: Search, pairs: list[tuple[int, int]], groups: int) -> DataFrame:
+    """(group, row, label, s0, s1, ..) of rows left out: sums of scores over some trees, which a task grows from all rows of a set."""
+    folds, most, last = search.folds, max(search.depths), max(search.counts)
+    units = [(g, t) for g in range(len(search.growths)) for t in range(last)]
+
+    def run(dealt: Iterator[tuple]) -> Iterator[tuple]:
+        some = list(dealt)
+        if not some:
+            return
+        share, k = some[0][0], some[0][1][0]
+        x, y, fold, row = joined([b for _, b in some], False)
+        some.clear()
+        y, held = y.astype(int), fold == k
+        out = x[held]
+        own = units[share::groups]
+        for g in dict.fromkeys(g for g, _ in own):
+            growth, total = search.growths[g], np.zeros((len(pairs), len(out)))
+            for t in (t for some, t in own if some == g):
+                weight = search.weights((g * folds + k) * last + t, fold, row)
+                tree = Tree.at(0, 1, np.bincount(y, weight, 2))
+                grown(tree, x, y, weight, growth, most, (search.seed, t))
+                leaf = tree.leaves(out)
+                scores = [tree.share(tree.tops(tree.classes(depth))[leaf]) for depth in search.depths]
+                for p, (j, n) in enumerate(pairs):
+                    if t < n:
+                        total[p] += scores[j]
+            parts = row[held], y[held].astype(float), *total
+            yield g * folds + k, *(bytearray(p.tobytes()) for p in parts)
+
+    names = ["row", "label", *(f"s{p}" for p in range(len(pairs)))]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, row, *values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                row = np.frombuffer(row, "<i8")
+                cols = [pa.array(np.full(len(row), g, "i4")), row, *map(np.frombuffer, values)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["group", *names])
+
+    bytes_of = "group int, " + ", ".join(f"{n} binary" for n in names)
+    sums = SparkSession.active().createDataFrame(dealt(whole, groups).mapPartitions(run), bytes_of, verifySchema=False)
+    parts = ", ".join(f"s{p} double" for p in range(len(pairs)))
+    return sums.mapInArrow(spread, f"group int, row long, label double, {parts}")
+
+
 def _ends(blocks: DataFrame, search: Search, trees: list[Tree]) -> DataFrame:
     """(tree, node, row, label, d0, d1, ..) of rows left out: the score each depth gives, by the node they came from.
 
@@ -451,7 +497,8 @@ def _ends(blocks: DataFrame, search: Search, trees: list[Tree]) -> DataFrame:
         growth, _, place = search.of(i)
         top = trees[i]
         tree = Tree.at(top.level[node], top.place[node], top.weight[node])
-        leaf = grown(tree, x, y, weight, growth, most, (search.seed, place))[held]
+        grown(tree, x, y, weight, growth, most, (search.seed, place))
+        leaf = tree.leaves(x[held])
         cols = [np.append(row[held], -1), np.append(y[held], 0)]
         for depth in search.depths:
             if tree.level[0] > depth:
@@ -509,25 +556,36 @@ def cross_validated(with_folds: DataFrame, width: int, settings: list[dict], fol
         points.append((growth, s["maxDepth"], trees))
     growths, depths, counts = (list(dict.fromkeys(p)) for p in zip(*points, strict=True))
     search = Search(growths, depths, counts, folds, seed)
-    blocks = binned(with_folds, learnt_cuts(with_folds, folds, seed)).persist(StorageLevel.MEMORY_AND_DISK)
-    ends = None
+    most = max(counts)
+    pairs = [(j, n) for j in range(len(depths)) for n in counts]
+    blocks = binned(with_folds, learnt_cuts(with_folds, folds, seed))
+    kept = []
+
+    def keep(made):
+        kept.append(made.persist(StorageLevel.MEMORY_AND_DISK))
+        return made
+
     try:
-        trees = _tops(blocks, search, width)
-        ends = _ends(blocks, search, trees).persist(StorageLevel.MEMORY_AND_DISK)
-        most = max(counts)
-        pairs = [(j, n) for j in range(len(depths)) for n in counts]
-        sums = [F.sum(F.when(F.col("tree") % most < n, F.col(f"d{j}"))).alias(f"s{p}") for p, (j, n) in enumerate(pairs)]
-        group = F.floor(F.col("tree") / most).cast("int").alias("group")
-        scores = _above(ends, search, trees).filter("row >= 0").groupBy(group, "row", "label").agg(*sums)
+        if with_folds.count() * width <= ALONE:
+            groups = min(len(growths) * most, with_folds.sparkSession.sparkContext.defaultParallelism)
+            parts = _alone(keep(gathered(blocks, list(range(folds)), folds)), search, pairs, groups)
+            sums = [F.sum(f"s{p}").alias(f"s{p}") for p in range(len(pairs))]
+            scores = parts.groupBy("group", "row", "label").agg(*sums)
+        else:
+            keep(blocks)
+            trees = _tops(blocks, search, width)
+            ends = keep(_ends(blocks, search, trees))
+            sums = [F.sum(F.when(F.col("tree") % most < n, F.col(f"d{j}"))).alias(f"s{p}") for p, (j, n) in enumerate(pairs)]
+            group = F.floor(F.col("tree") / most).cast("int").alias("group")
+            scores = _above(ends, search, trees).filter("row >= 0").groupBy(group, "row", "label").agg(*sums)
         each = F.explode(F.array(*[F.struct(F.lit(p).alias("pair"), F.col(f"s{p}").alias("score")) for p in range(len(pairs))]))
         long = scores.select("group", "label", each.alias("e")).select(
             (F.col("group") * len(pairs) + F.col("e.pair")).alias("job"), "label", F.round("e.score", 12).alias("score")
         )
         found = joint.areas(long)
     finally:
-        blocks.unpersist()
-        if ends is not None:
-            ends.unpersist()
+        for made in kept:
+            made.unpersist()
 
     def area(point: tuple, k: int) -> float:
         g, pair = growths.index(point[0]), pairs.index((depths.index(point[1]), point[2]))

@@ -99,3 +99,24 @@ def test_odd_labels_are_refused(spark):
     odd = spark.createDataFrame([(Vectors.dense([float(i)]), 2.0, i % 2) for i in range(4)], ["features", "label", "fold"])
     with pytest.raises(Exception, match="0 or 1"):
         trees.cross_validated(odd, 1, settings((2,)), 2, 42, False)
+
+
+def test_tasks_that_hold_all_rows_grow_whole_trees(rows, theirs, monkeypatch):
+    """The same as with nodes sent to tasks and upper ones split by sums; no rows are sent by node then."""
+    forest = settings((2, 30), kinds=("gini",), least=(2,), seen="sqrt", counts=(3, 9))
+    sent, ends = [], trees._ends
+    monkeypatch.setattr(trees, "_ends", lambda *a: sent.append(1) or ends(*a))
+    alone = trees.cross_validated(rows, 4, theirs[0], 2, 42, False), trees.cross_validated(rows, 4, forest, 2, 42, True)
+    assert not sent and alone[0] == pytest.approx(theirs[1], abs=1e-9)
+    monkeypatch.setattr(trees, "ALONE", 0)
+    for local in (trees.LOCAL, 30):
+        monkeypatch.setattr(trees, "LOCAL", local)
+        assert trees.cross_validated(rows, 4, theirs[0], 2, 42, False) == pytest.approx(theirs[1], abs=1e-9)
+        assert trees.cross_validated(rows, 4, forest, 2, 42, True) == pytest.approx(alone[1], abs=1e-9)
+    assert len(sent) == 4
+
+
+def test_nodes_too_small_for_two_leaves_stay_closed():
+    tree = trees.Tree.at(0, 1, np.array([2, 1]))
+    assert len(tree.open(np.array([0]), trees.Growth("gini", 2, 1, True), 9)) == 0
+    assert len(tree.open(np.array([0]), trees.Growth("gini", 1, 1, True), 9)) == 1
