@@ -418,7 +418,7 @@ def refitted(rows: DataFrame, n: int, width: int, estimator: GBTClassifier, sett
             count, total = tree.weight.T
             spread = squares / np.maximum(count, 1) - value * value
             stats = np.column_stack([count, total, squares])
-            yield from trees.saved(t, tree, cuts[0], value, spread, stats, gains)
+            yield trees.saved(t, tree, cuts[0], value, spread, stats, gains)
 
     whole, found = _alone(trees.binned(rows, cuts), [job], [-1], 1, seed, nodes)
     try:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import RDD
 from pyspark.ml import Estimator, Transformer
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -302,6 +303,16 @@ class Tree:
             out[nodes] = np.where(over >= 0, over, out[nodes])
         return out
 
+    def pruned(self, depth: int) -> Tree:
+        """The tree of a depth, without what lies below nodes that are one leaf."""
+        classes = self.classes(depth)
+        tops = self.tops(classes)
+        on = np.flatnonzero((tops < 0) | (tops == np.arange(len(tops))))
+        number = np.full(len(tops) + 1, -1)
+        number[on] = np.arange(len(on))
+        left = np.where(classes >= 0, -1, self.left)[on]
+        return Tree(self.level[on], self.place[on], self.weight[on], number[self.parent[on]], number[left], self.feature[on], self.cut[on])
+
     def share(self, nodes: np.ndarray) -> np.ndarray:
         """Share of class 1 in nodes."""
         return self.weight[nodes, 1] / np.maximum(self.weight[nodes].sum(axis=1), 1)
@@ -601,16 +612,31 @@ _SAVED = (
 )
 
 
-def saved(number: int, tree: Tree, cuts: list[np.ndarray], value, impurity, stats: np.ndarray, gains) -> Iterator[tuple]:
-    """The nodes of a tree as Spark ML saves them."""
-    for i, left in enumerate(tree.left.tolist()):
-        split = (-1, [], -1)
-        if left >= 0:
-            split = (int(tree.feature[i]), [float(cuts[tree.feature[i]][tree.cut[i]])], -1)
-        yield number, (
-            i, float(value[i]), float(impurity[i]), stats[i].tolist(), int(stats[i].sum() if stats.shape[1] == 2 else stats[i, 0]),
-            float(gains[i]) if left >= 0 else -1.0, left, left + 1 if left >= 0 else -1, split,
-        )
+def saved(number: int, tree: Tree, cuts: list[np.ndarray], value, impurity, stats: np.ndarray, gains) -> tuple[bytearray]:
+    """The nodes of a tree as Spark ML saves them, as the bytes of an Arrow table."""
+    n, inner = len(tree.left), tree.left >= 0
+    offsets = np.concatenate([[0], np.cumsum(inner)]).astype("i4")
+    most = max(map(len, cuts))
+    borders = np.array([np.pad(c, (0, most - len(c))) for c in cuts]).reshape(len(cuts), most)
+    limits = borders[tree.feature[inner], tree.cut[inner]]
+    split = pa.StructArray.from_arrays(
+        [np.where(inner, tree.feature, -1).astype("i4"), pa.ListArray.from_arrays(offsets, limits), np.full(n, -1, "i4")],
+        ["featureIndex", "leftCategoriesOrThreshold", "numCategories"],
+    )
+    rows = stats.sum(axis=1) if stats.shape[1] == 2 else stats[:, 0]
+    node = {
+        "id": np.arange(n, dtype="i4"), "prediction": value.astype(float), "impurity": impurity.astype(float),
+        "impurityStats": pa.ListArray.from_arrays(np.arange(n + 1, dtype="i4") * stats.shape[1], stats.astype(float).ravel()),
+        "rawCount": rows.astype("i8"), "gain": np.where(inner, gains, -1.0),
+        "leftChild": np.where(inner, tree.left, -1).astype("i4"), "rightChild": np.where(inner, tree.left + 1, -1).astype("i4"),
+        "split": split,
+    }
+    data = pa.StructArray.from_arrays([pa.array(v) for v in node.values()], list(node))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(n, number, "i4")), data], ["treeID", "nodeData"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as stream:
+        stream.write_batch(batch)
+    return (bytearray(out.getvalue().to_pybytes()),)
 
 
 def loaded(estimator: Estimator, model: type, tree: str, nodes: RDD, weights: list[float], width: int, **facts) -> Transformer:
@@ -629,8 +655,52 @@ def loaded(estimator: Estimator, model: type, tree: str, nodes: RDD, weights: li
     own = [json.dumps(head | {
         "class": f"org.apache.spark.ml.{tree}", "uid": f"{estimator.uid}_{i}", "paramMap": {}, "defaultParamMap": {},
     }) for i in range(len(weights))]
-    spark.createDataFrame(nodes, _SAVED, verifySchema=False).write.parquet(f"{path}/data")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for told in b.column(0).to_pylist():
+                yield from pa.ipc.open_stream(told)
+
+    made = spark.createDataFrame(nodes, "nodes binary", verifySchema=False).mapInArrow(read, _SAVED)
+    made.write.parquet(f"{path}/data")
     each = spark.createDataFrame([(i, t, w) for i, (t, w) in enumerate(zip(own, weights, strict=True))], "_1 int, _2 string, _3 double")
     each.coalesce(1).write.parquet(f"{path}/treesMetadata")
     write_text(spark, f"{path}/metadata/part-00000", json.dumps(told))
     return model.load(path)
+
+
+def refitted(rows: DataFrame, n: int, width: int, estimator: Estimator, setting: dict, seed: int, drawn: bool) -> Transformer:
+    """The forest of one setting on all rows; by Spark ML where no task can hold their bins."""
+    estimator = estimator.setParams(**setting)
+    if n * width > ALONE:
+        return estimator.fit(rows)
+    count, depth = setting.get("numTrees", 1), setting["maxDepth"]
+    growth = Growth(setting.get("impurity", "gini"), setting["minInstancesPerNode"], seen(setting["featureSubsetStrategy"], width, count), drawn)
+    cuts = learnt_cuts(rows, 1, seed, whole=True)
+    whole = gathered(binned(rows, cuts), [-1], 1).persist(StorageLevel.MEMORY_AND_DISK)
+    groups = min(count, rows.sparkSession.sparkContext.defaultParallelism)
+
+    def run(dealt: Iterator[tuple]) -> Iterator[tuple]:
+        some = list(dealt)
+        if not some:
+            return
+        share = some[0][0]
+        x, y, _, row = joined([b for _, b in some], False)
+        some.clear()
+        y = y.astype(int)
+        for t in range(share, count, groups):
+            weight = (copies(seed, t, row) if drawn else np.ones(len(y))).astype("u1")
+            tree = Tree.at(0, 1, np.bincount(y, weight, 2))
+            grown(tree, x, y, weight, growth, depth, (seed, t))
+            tree = tree.pruned(depth)
+            w, kids = tree.weight, np.where(tree.left >= 0, tree.left, 0)
+            impure, size = _impurity(growth.impurity, w[:, 0], w[:, 1]), w.sum(axis=1)
+            inside = size[kids] * impure[kids] + size[kids + 1 - (tree.left < 0)] * impure[kids + 1 - (tree.left < 0)]
+            yield saved(t, tree, cuts[0], w[:, 1] > w[:, 0], impure, w, impure - inside / np.maximum(size, 1))
+
+    try:
+        nodes = dealt(whole, groups).mapPartitions(run)
+        name = "classification.DecisionTreeClassificationModel"
+        return loaded(estimator, RandomForestClassificationModel, name, nodes, [1.0] * count, width, numClasses=2)
+    finally:
+        whole.unpersist()

@@ -120,3 +120,22 @@ def test_nodes_too_small_for_two_leaves_stay_closed():
     tree = trees.Tree.at(0, 1, np.array([2, 1]))
     assert len(tree.open(np.array([0]), trees.Growth("gini", 2, 1, True), 9)) == 0
     assert len(tree.open(np.array([0]), trees.Growth("gini", 1, 1, True), 9)) == 1
+
+
+def test_the_model_of_all_rows_is_that_of_spark_ml(rows, tmp_path):
+    """Without draws; with draws its facts are those of a forest."""
+    folded = rows.drop("fold").selectExpr("*", "0 AS fold")
+    for point in settings((2, 30), kinds=("gini",), least=(4,)):
+        alone = RandomForestClassifier(seed=42, numTrees=1, bootstrap=False)
+        theirs = alone.copy().setParams(**point).fit(folded)
+        ours = trees.refitted(folded, 400, 4, alone.copy(), point, 42, False)
+        assert ours.totalNumNodes == theirs.totalNumNodes
+        scores = [[r["probability"][1] for r in m.transform(rows).collect()] for m in (ours, theirs)]
+        assert scores[0] == pytest.approx(scores[1], abs=1e-9)
+        assert ours.featureImportances.toArray() == pytest.approx(theirs.featureImportances.toArray(), abs=1e-9)
+    point = settings((30,), kinds=("gini",), least=(2,), seen="sqrt", counts=(9,))[0]
+    forest = trees.refitted(folded, 400, 4, RandomForestClassifier(seed=42), point, 42, True)
+    assert forest.getNumTrees == 9 and forest.numClasses == 2
+    assert BinaryClassificationEvaluator(numBins=0).evaluate(forest.transform(rows)) > 0.9
+    forest.write().save(f"{tmp_path}/model")
+    assert type(forest).load(f"{tmp_path}/model").totalNumNodes == forest.totalNumNodes
