@@ -3,8 +3,11 @@
 The steps are those of Spark ML: labels -1 and 1, the first tree on them with weight
 1, each other one on the slopes of the logistic loss with weight ``stepSize``, by
 variance, in the bins of ``trees``. Rows are drawn without replacement and features
-by node, both from hashes, which is what differs. A pass splits one level of the trees
-of every model, so a search costs as many passes as one model of the deepest kind.
+by node, both from hashes, which is what differs.
+
+Where the bins of all rows fit in ``ALONE``, tasks that hold the rows of a fold left out
+train whole models. Else a pass splits one level of the trees of every model, so a
+search costs as many passes as one model of the deepest kind.
 
 Rows lie in blocks of about ``BLOCK``, one for each fold left out and ``_MODELS`` points, with
 the margins these models have reached. Tasks give histograms by model, which are added

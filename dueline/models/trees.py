@@ -7,7 +7,8 @@ row come from hashes of the tree and the node or row, so a tree of less depth is
 top of a deeper one, and a smaller forest is the first trees of a larger one. Points
 that differ only so share their trees.
 
-Rows are binned once into blocks kept on the executors. Nodes of more than ``LOCAL``
+Where the bins of all rows fit in ``ALONE``, tasks that hold the rows of a fold left out
+grow whole trees. Else rows are binned once into blocks kept on the executors. Nodes of more than ``LOCAL``
 training rows are split by sums of histograms over all blocks, a level of all trees in
 a pass; smaller ones go with their rows to one task each, which grows the rest. Rows
 of the left-out fold go down the same way, without weight, and come back as scores.
